@@ -377,10 +377,30 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", de
             parts[lane] = []
             return out
 
+        def prices_of(codes):
+            """The table's prices; sorted look-ups walk it once."""
+            order = np.argsort(codes)
+            out = np.empty(len(codes))
+            out[order] = tables[GRAMS][1][np.searchsorted(tables[GRAMS][0], codes[order])]
+            return out
+
+        def scored(held):
+            """Rows of the held texts of one block."""
+            grams = [gram_codes(joined, depth) for _, _, joined in held]
+            starts = np.cumsum([0] + [len(g) for g in grams[:-1]])
+            models = np.add.reduceat(prices_of(np.concatenate(grams)), starts).tolist()
+            for (doc_id, words, joined), model in zip(held, models, strict=True):
+                counts = tables[WORDS][1][np.searchsorted(tables[WORDS][0], word_codes(words))]
+                base = float((np.log10(counts + 1) - floor).sum())
+                yield doc_id, is_held_out(doc_id), len(counts), int((counts > 0).sum()), tokens, base, model, -model / np.log10(2) / (len(joined) + 1)
+
         for batch in batches:
-            rows = []
+            rows, held, size = [], [], 0
             cols = [batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), utf8(batch.column(3)), batch.column(4).to_pylist(), batch.column(5).to_pylist()]
             for block, lane, doc_id, text, codes, price in zip(*cols, strict=True):
+                if held and (block != now or size > HELD):
+                    rows += scored(held)
+                    held, size = [], 0
                 if block != now:
                     now, parts, tables = block, [[], []], [None, None]
                 if lane < 2:
@@ -388,12 +408,10 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", de
                     continue
                 if tables[0] is None:
                     tables = [table(GRAMS, np.float32), table(WORDS, np.float64)]
-                words, joined = normal(text)
-                grams, times = np.unique(gram_codes(joined, depth), return_counts=True)
-                model = float((tables[0][1][np.searchsorted(tables[0][0], grams)].astype(np.float64) * times).sum())
-                counts = tables[1][1][np.searchsorted(tables[1][0], word_codes(words))]
-                base = float((np.log10(counts + 1) - floor).sum())
-                rows.append((doc_id, is_held_out(doc_id), len(counts), int((counts > 0).sum()), tokens, base, model, -model / np.log10(2) / (len(joined) + 1)))
+                held.append((doc_id, *normal(text)))
+                size += len(text)
+            if held:
+                rows += scored(held)
             if rows:
                 kinds = (batch.schema.field(2).type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
