@@ -14,19 +14,24 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 4096
 
 
+def _paired(rows: DataFrame, n_rows: int | None):
+    """``rows`` grouped by pairs of blocks: those that ask and those that are asked."""
+    count = rows.count() if n_rows is None else n_rows
+    blocks = max(1, -(-count // BLOCK_ROWS))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    base = rows.withColumn("own_block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    left = base.withColumn("asks", F.lit(True)).withColumn("a", F.col("own_block")).withColumn("b", every)
+    right = base.withColumn("asks", F.lit(False)).withColumn("b", F.col("own_block")).withColumn("a", every)
+    return left.unionByName(right).drop("own_block").groupBy("a", "b")
+
+
 def knn(vectors: DataFrame, k: int, n_rows: int | None = None) -> DataFrame:
     """``src, dst, distance, rank``: the exact k nearest by Euclid, ties to the least id.
 
     Blocks of rows meet pairwise in NumPy, each pair keeps k partners of a
     row, and a window takes the k best of all blocks.
     """
-    rows = vectors.count() if n_rows is None else n_rows
-    blocks = max(1, -(-rows // BLOCK_ROWS))
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    base = vectors.select("id", F.col("vector").cast("array<double>").alias("vector"), block.alias("own"))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = base.select("id", "vector", F.col("own").alias("a"), F.explode(every).alias("b"), F.lit(True).alias("asks"))
-    right = base.select("id", "vector", F.explode(every).alias("a"), F.col("own").alias("b"), F.lit(False).alias("asks"))
+    base = vectors.select("id", F.col("vector").cast("array<double>").alias("vector"))
 
     def nearest(part: pd.DataFrame) -> pd.DataFrame:
         asks, has = part[part["asks"]], part[~part["asks"]].sort_values("id")
@@ -42,7 +47,7 @@ def knn(vectors: DataFrame, k: int, n_rows: int | None = None) -> DataFrame:
             out.append(pd.DataFrame({"src": i, "dst": ids[best], "distance": d[best]}))
         return pd.concat(out)
 
-    pairs = left.unionByName(right).groupBy("a", "b").applyInPandas(nearest, "src long, dst long, distance double")
+    pairs = _paired(base, n_rows).applyInPandas(nearest, "src long, dst long, distance double")
     rank = F.row_number().over(Window.partitionBy("src").orderBy("distance", "dst"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -129,6 +134,63 @@ def calinski_harabasz(vectors: DataFrame, partition: DataFrame) -> DataFrame:
     return sums.select(ch.alias("ch"), (ch / F.col("n")).alias("ch_over_n"))
 
 
+def silhouette(vectors: DataFrame, partition: DataFrame, n_rows: int | None = None) -> DataFrame:
+    """One row: the mean exact Euclidean silhouette and the share below nought.
+
+    A singleton cluster and a zero denominator give 0; one cluster gives NULL.
+    Blocks meet pairwise in NumPy and pass on sums by cluster, not distances.
+    """
+    base = vectors.select("id", F.col("vector").cast("array<double>").alias("vector")).join(partition.select("id", F.col("cluster").cast("long").alias("cluster")), "id")
+
+    def sums(part: pd.DataFrame) -> pd.DataFrame:
+        asks, has = part[part["asks"]], part[~part["asks"]]
+        if asks.empty or has.empty:
+            return pd.DataFrame({"id": [], "own": [], "other": [], "total": [], "n": []})
+        x, y = np.stack(asks["vector"]), np.stack(has["vector"])
+        names, place = np.unique(has["cluster"].to_numpy(), return_inverse=True)
+        n = np.bincount(place)
+        totals = [np.bincount(place, np.sqrt(((y - row) ** 2).sum(1)), len(names)) for row in x]
+        k = len(names)
+        return pd.DataFrame({"id": np.repeat(asks["id"].to_numpy(), k), "own": np.repeat(asks["cluster"].to_numpy(), k), "other": np.tile(names, len(x)), "total": np.concatenate(totals), "n": np.tile(n, len(x))})
+
+    met = _paired(base, n_rows).applyInPandas(sums, "id long, own long, other long, total double, n long")
+    whole = met.groupBy("id", "own", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    inside = F.col("own") == F.col("other")
+    near = whole.groupBy("id").agg(F.max(F.when(inside & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))).alias("a"), F.min(F.when(~inside, F.col("total") / F.col("n"))).alias("b"))
+    larger = F.greatest("a", "b")
+    sample = F.when(F.col("b").isNotNull(), F.when(F.col("a").isNull() | (larger == 0), 0.0).otherwise((F.col("b") - F.col("a")) / larger))
+    return near.select(sample.alias("s")).agg(F.avg("s").alias("silhouette"), F.avg((F.col("s") < 0).cast("double")).alias("negative_share"))
+
+
+def cluster_events(before: DataFrame, after: DataFrame, threshold: float = 0.3, size_change: float = 0.1) -> DataFrame:
+    """``event, sources, targets, size_before, size_after, jaccard`` of two partitions.
+
+    ``before`` and ``after`` have ``id, cluster``, each id once.  Groups are
+    linked if Jaccard's index reaches ``threshold``.  A lone link grows or
+    shrinks by more than ``size_change``, or continues; several links of one
+    group are a split or a merge, none a death or a birth.  Cluster numbers
+    are sorted and comma-joined.
+    """
+    old, new = before.select("id", F.col("cluster").alias("i")), after.select("id", F.col("cluster").alias("j"))
+    olds, news = old.groupBy("i").agg(F.count("*").alias("nb")), new.groupBy("j").agg(F.count("*").alias("na"))
+    common = old.join(new, "id").groupBy("i", "j").agg(F.count("*").alias("c"))
+    linked = common.join(olds, "i").join(news, "j").withColumn("jaccard", F.col("c") / (F.col("nb") + F.col("na") - F.col("c"))).where(F.col("jaccard") >= threshold)
+    degrees = {"outward": F.count("*").over(Window.partitionBy("i")), "inward": F.count("*").over(Window.partitionBy("j"))}
+    linked = linked.withColumns(degrees)
+    listed = lambda c: F.array_join(F.sort_array(F.collect_list(c)).cast("array<string>"), ",")
+    columns = ["event", "sources", "targets", "size_before", "size_after", "jaccard"]
+    none = F.lit(None).cast("double").alias("jaccard")
+
+    out = olds.join(linked.select("i", "j", "na"), "i", "left").groupBy("i", "nb").agg(F.count("j").alias("links"), listed("j").alias("targets"), F.coalesce(F.sum("na"), F.lit(0)).alias("size_after"))
+    out = out.where("links <> 1").select(F.when(F.col("links") == 0, "death").otherwise("split").alias("event"), F.col("i").cast("string").alias("sources"), "targets", F.col("nb").alias("size_before"), "size_after", none)
+    into = news.join(linked.select("i", "j", "nb"), "j", "left").groupBy("j", "na").agg(F.count("i").alias("links"), listed("i").alias("sources"), F.coalesce(F.sum("nb"), F.lit(0)).alias("size_before"))
+    into = into.where("links <> 1").select(F.when(F.col("links") == 0, "birth").otherwise("merge").alias("event"), "sources", F.col("j").cast("string").alias("targets"), "size_before", F.col("na").alias("size_after"), none)
+    ratio = F.col("na") / F.col("nb")
+    kind = F.when(ratio > 1 + size_change, "grow").when(ratio < 1 - size_change, "shrink").otherwise("continue")
+    lone = linked.where("outward = 1 and inward = 1").select(kind.alias("event"), F.col("i").cast("string").alias("sources"), F.col("j").cast("string").alias("targets"), F.col("nb").alias("size_before"), F.col("na").alias("size_after"), "jaccard")
+    return out.unionByName(into).unionByName(lone).select(*columns)
+
+
 def contingency(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """``a, b, n`` with the shares of the origin and of the destination."""
     n = pairs.groupBy(a, b).agg(F.count("*").alias("n"))

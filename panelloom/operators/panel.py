@@ -83,6 +83,13 @@ def duplicate_keys(table: DataFrame, *keys: str) -> DataFrame:
     return table.groupBy(*keys).count().where("count > 1").agg(F.count("*").alias("n_keys"), F.coalesce(F.sum("count"), F.lit(0)).alias("n_rows"))
 
 
+def multiset_difference(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
+    """``n_keys, n_differing``: keys of either table, and those not as often in both."""
+    both = a.select(*keys, F.lit(1).alias("d")).unionByName(b.select(*keys, F.lit(-1).alias("d")))
+    net = both.groupBy(*keys).agg(F.sum("d").alias("net"))
+    return net.agg(F.count("*").alias("n_keys"), F.count(F.when(F.col("net") != 0, 1)).alias("n_differing"))
+
+
 def unique_or_ambiguous(table: DataFrame, key: str, value: str) -> DataFrame:
     """``key, status``: matched, ambiguous or missing by the distinct values."""
     n = F.count_distinct(value)

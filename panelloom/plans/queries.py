@@ -142,6 +142,15 @@ def duplicate_key_audit(spark, sf_dir):
     return panel.duplicate_keys(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
 
 
+@query(
+    """WITH a AS (SELECT o_custkey, count(*) AS n FROM orders WHERE year(o_orderdate) <= 1997 GROUP BY ALL), b AS (SELECT o_custkey, count(*) AS n FROM orders WHERE year(o_orderdate) >= 1996 GROUP BY ALL)
+SELECT count(*) AS n_keys, count(*) FILTER (WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)) AS n_differing FROM a FULL JOIN b USING (o_custkey)"""
+)
+def multiset_reconcile(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_custkey", F.year("o_orderdate").alias("year"))
+    return panel.multiset_difference(orders.where("year <= 1997"), orders.where("year >= 1996"), "o_custkey")
+
+
 @query(
     """SELECT c_nationkey, CASE WHEN count(DISTINCT c_mktsegment) = 1 THEN 'matched' WHEN count(DISTINCT c_mktsegment) > 1 THEN 'ambiguous' ELSE 'missing' END AS status,
 CASE WHEN count(DISTINCT c_mktsegment) = 1 THEN max(c_mktsegment) END AS value FROM customer GROUP BY c_nationkey"""
@@ -236,6 +245,30 @@ def calinski_harabasz(spark, sf_dir):
     return rounded(graph.calinski_harabasz(vectors(spark, sf_dir), labels(spark, sf_dir)), "ch", "ch_over_n")
 
 
+@query(f"""WITH {_G}, pc AS (SELECT src, x.cluster AS own, y.cluster AS other, avg(distance) AS d FROM d JOIN l x ON src = x.id JOIN l y ON dst = y.id GROUP BY ALL),
+ab AS (SELECT src, max(d) FILTER (WHERE own = other) AS a, min(d) FILTER (WHERE own <> other) AS b FROM pc GROUP BY src),
+sil AS (SELECT CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END AS s FROM ab)
+SELECT round(avg(s), 6) AS silhouette, round(avg(CASE WHEN s < 0 THEN 1.0 ELSE 0.0 END), 6) AS negative_share FROM sil""")
+def silhouette(spark, sf_dir):
+    return rounded(graph.silhouette(vectors(spark, sf_dir), labels(spark, sf_dir)), "silhouette", "negative_share")
+
+
+#: A second partition that merges, splits, scatters and shifts groups of the first.
+_SECOND = "CASE WHEN label < 2 THEN 0 WHEN label = 2 THEN 20 + vec_id % 2 WHEN label = 3 AND vec_id % 3 = 0 THEN 4 WHEN label = 9 THEN 90 + vec_id % 7 ELSE label END"
+
+
+@query(f"""WITH p AS (SELECT label AS i, {_SECOND} AS j FROM embeddings), sb AS (SELECT i, count(*) AS nb FROM p GROUP BY i), sa AS (SELECT j, count(*) AS na FROM p GROUP BY j),
+c AS (SELECT i, j, nb, na, c / (nb + na - c) AS jaccard FROM (SELECT i, j, count(*) AS c FROM p GROUP BY ALL) JOIN sb USING (i) JOIN sa USING (j)),
+k AS (SELECT *, count(*) OVER (PARTITION BY i) AS o, count(*) OVER (PARTITION BY j) AS n FROM c WHERE jaccard >= 0.3)
+SELECT CASE WHEN count(k.j) = 0 THEN 'death' ELSE 'split' END AS event, CAST(sb.i AS VARCHAR) AS sources, coalesce(string_agg(CAST(k.j AS VARCHAR), ',' ORDER BY k.j), '') AS targets, any_value(sb.nb) AS size_before, CAST(coalesce(sum(k.na), 0) AS BIGINT) AS size_after, CAST(NULL AS DOUBLE) AS jaccard
+FROM sb LEFT JOIN k ON sb.i = k.i GROUP BY sb.i HAVING count(k.j) <> 1
+UNION ALL SELECT CASE WHEN count(k.i) = 0 THEN 'birth' ELSE 'merge' END, coalesce(string_agg(CAST(k.i AS VARCHAR), ',' ORDER BY k.i), ''), CAST(sa.j AS VARCHAR), CAST(coalesce(sum(k.nb), 0) AS BIGINT), any_value(sa.na), NULL FROM sa LEFT JOIN k ON sa.j = k.j GROUP BY sa.j HAVING count(k.i) <> 1
+UNION ALL SELECT CASE WHEN na / nb > 1.1 THEN 'grow' WHEN na / nb < 0.9 THEN 'shrink' ELSE 'continue' END, CAST(i AS VARCHAR), CAST(j AS VARCHAR), nb, na, round(jaccard, 6) FROM k WHERE o = 1 AND n = 1""")
+def cluster_events(spark, sf_dir):
+    second = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.expr(_SECOND).alias("cluster"))
+    return rounded(graph.cluster_events(labels(spark, sf_dir), second), "jaccard")
+
+
 # --- labels over time ----------------------------------------------------------
 
 _L = """c AS (SELECT user_id AS key, CAST(ts AS DATE) - DATE '2024-01-01' AS t, event_type, count(*) AS n FROM events GROUP BY ALL),
