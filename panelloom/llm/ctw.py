@@ -347,7 +347,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", de
 
     ``score`` is the model's log10 probability of the text, ``bits_per_byte``
     its code length over the bytes coded (the end among them); ``base_score``
-    that of a smoothed count of words.  Null and empty texts are an end alone.
+    that of add-one smoothed counts of words, log10((c + 1) / (N + V + 1)).  Null and empty texts are an end alone.
     A null id counts as the empty text for the fold.  Repeated rows are scored,
     and learned from, each time; without training texts every bit costs one.
     An empty table gives an empty one; other columns are ignored.  ``depth``
@@ -368,7 +368,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", de
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts, tables = None, [[], []], [None, None]
-        floor = np.log10(float(tokens + 1)) + np.log10(float(distinct + 1))
+        floor = np.log10(float(tokens + distinct + 1))
 
         def table(lane, dtype):
             codes = np.concatenate([c for c, _ in parts[lane]])
