@@ -31,7 +31,7 @@ from xxhash import xxh64_intdigest
 from panelloom.llm.store import bounded_batches, materialize
 from panelloom.llm.text import LOWER, mix64, utf8
 
-DEPTH = 6
+DEPTH = 7
 END = b"\xff"
 #: Text per block of documents and per bucket of n-grams.
 BLOCK_BYTES = 16 << 20
