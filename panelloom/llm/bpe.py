@@ -64,24 +64,22 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.cache: dict[str, list[int]] = {}
 
-    def _fill(self, missing: list[str]) -> None:
-        if len(self.cache) > CACHE:
-            self.cache.clear()
+    def _coded(self, missing: list[str]) -> dict[str, list[int]]:
         raw = [x.encode() for x in missing]
+        out = {x: [self.whole[b]] for x, b in zip(missing, raw, strict=True) if b in self.whole}
         rest = [(x, b) for x, b in zip(missing, raw, strict=True) if b not in self.whole]
-        self.cache.update((x, [self.whole[b]]) for x, b in zip(missing, raw, strict=True) if b in self.whole)
         coded = self.pieces.encode([b.decode("latin-1").translate(_LETTERS) for _, b in rest], num_threads=1) if rest else []
-        self.cache.update((x, ids) for (x, _), ids in zip(rest, coded, strict=True))
+        out.update((x, ids) for (x, _), ids in zip(rest, coded, strict=True))
+        return out
 
     def encode(self, text: str) -> list[int]:
+        if len(self.cache) > CACHE:  # only between texts, so that none loses what it needs
+            self.cache.clear()
         found = self.split(text)
         cache = self.cache
         missing = {x for x in found if x not in cache}
         if missing:
-            self._fill(list(missing))
-            cache = self.cache
-            if any(x not in cache for x in found):  # the cache was emptied meanwhile
-                self._fill([x for x in set(found) if x not in cache])
+            cache.update(self._coded(list(missing)))
         out: list[int] = []
         for x in found:
             out += cache[x]
