@@ -42,17 +42,27 @@ def simhash(text: bytes, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``doc_id`` and ``fp`` (the 64 bits as a signed long) of every row."""
+def _row_keys(id_col: str, text_col: str) -> list:
+    """Two hashes that tell a row's id and text, nulls among them, from any other."""
+    return [F.xxhash64(id_col, text_col), F.xxhash64(text_col, F.col(id_col).isNull(), id_col, F.lit(SEED))]
+
+
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, keys: bool = False) -> DataFrame:
+    """``doc_id`` and ``fp`` (the 64 bits as a signed long) of every row.
+
+    With ``keys`` also ``key_a`` and ``key_b``, hashes of the row's id and text.
+    """
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = np.array([simhash(x, shingle) for x in utf8(batch.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *names])
 
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fp long")
+    names = ["key_a", "key_b"] if keys else []
+    marks = [k.alias(n) for k, n in zip(_row_keys(id_col, text_col), names, strict=True)] if keys else []
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *marks)
+    return source.mapInArrow(run, ", ".join([f"doc_id {source.schema['doc_id'].dataType.simpleString()}", "fp long", *(f"{n} long" for n in names)]))
 
 
 def _pairs(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
@@ -181,6 +191,13 @@ def near_links(distinct: DataFrame, budget: int = 2, trie_rows: int = TRIE_ROWS)
     return dealt.select("fp", "mask", "value").mapInArrow(run, "a long, b long")
 
 
+def _rooted(table: DataFrame, least, budget: int) -> DataFrame:
+    """Each ``fp`` of ``table`` with the least value of its rows and its component's ``root``."""
+    classes = materialize(table.groupBy("fp").agg(F.min(least).alias("least")), "classes")
+    roots = materialize(connected_components(near_links(classes.select("fp"), budget)), "roots")
+    return classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 2) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, fingerprint, component_id``.
 
@@ -191,20 +208,23 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     texts are fingerprinted each; repeated rows are kept.
     """
     table = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
-    classes = materialize(table.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = materialize(connected_components(near_links(classes.select("fp"), budget)), "roots")
-    named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = _rooted(table, "doc_id", budget)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = named.join(least, "root").select("fp", "component_id")
     return table.join(labels, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_each(docs: DataFrame, *, shingle: int = 3, budget: int = 2) -> DataFrame:
-    """``docs``, columns unchanged, with only the least id of each component.
+    """``docs``, columns unchanged, with exactly one row of each component.
 
-    Rows without an id are kept.  Of rows that share an id one stays.
+    That is the row of the least id, null ids last; of rows that share it the
+    one of the least fingerprint, then of the least hash of id and text.  Of
+    rows alike in id and text any one stays.
     """
-    found = near_duplicates(docs, shingle=shingle, budget=budget)
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    table = materialize(fingerprints(docs, shingle=shingle, keys=True), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "key_a", "key_b")
+    best = _rooted(table, order, budget).groupBy("root").agg(F.min("least").alias("least"))
+    keep = best.select(F.col("least.key_a").alias("_key_a"), F.col("least.key_b").alias("_key_b"))
+    key_a, key_b = _row_keys("doc_id", "text")
+    marked = docs.withColumns({"_key_a": key_a, "_key_b": key_b})
+    return marked.join(keep, ["_key_a", "_key_b"], "left_semi").dropDuplicates(["_key_a", "_key_b"]).select(*docs.columns)
