@@ -1,9 +1,11 @@
-"""Document fingerprints: every shingle hash below a fixed share of its range.
-
-Sketches made with one ``SHARE`` merge by union, and the part of one that lies
-in another estimates containment however unequal the documents are.  A text
-of which no hash is that low keeps its least hash, marked, as an anchor that
-only equals other anchors.
+"""Document fingerprints: every shingle hash below a share of its range.
+
+Of a long text the share is ``SHARE``; of a shorter one as much more as holds
+its ``LEAST`` least hashes, which is all of a text of no more.  Two sketches
+are compared, and merged, below the lesser of their bounds; the merged one is
+that of both texts' shingles.  So the part of one that lies in another
+estimates containment however unequal the documents are, and is exact between
+texts of up to ``LEAST`` shingles.
 """
 
 from __future__ import annotations
@@ -23,50 +25,65 @@ from panelloom.llm.text import Rolling
 
 SHINGLE = 5
 SHARE = 1 / 8
-ANCHOR = "~"
+#: Hashes kept of any text that has them.
+LEAST = 256
+#: Marks a fingerprint that holds all hashes.
+ALL = "~"
+TOP = (1 << 64) - 1
 #: Stands for a null id, so that it comes last in descending order.
 NO_ID = -(1 << 63)
 
 
-def sketch(text: bytes, rolling: Rolling, shingle: int = SHINGLE, share: float = SHARE) -> tuple[np.ndarray, bool]:
-    """Sorted hashes, and whether they are an anchor."""
+def _cut(found: np.ndarray, bound: int, share: float) -> tuple[np.ndarray, int]:
+    """The sorted hashes, complete up to ``bound``, that a sketch keeps, and its bound."""
+    if len(found) > LEAST:
+        bound = min(bound, max(int(share * 2.0**64) - 1, int(found[LEAST - 1])))
+    return found[: np.searchsorted(found, np.uint64(bound), "right")], bound
+
+
+def sketch(text: bytes, rolling: Rolling, shingle: int = SHINGLE, share: float = SHARE) -> tuple[np.ndarray, int]:
+    """Sorted hashes, and the value up to which they are all there."""
     words = text.lower().split()
     if not words:
-        return np.empty(0, np.uint64), False
+        return np.empty(0, np.uint64), TOP
     hashes = np.array([xxh64_intdigest(w) for w in words], np.uint64)
-    found = np.unique(rolling.runs(hashes, min(shingle, len(words))))
-    low = found[: np.searchsorted(found, np.uint64(int(share * 2.0**64)))]
-    return (low, False) if len(low) else (found[:1], True)
+    return _cut(np.unique(rolling.runs(hashes, min(shingle, len(words)))), TOP, share)
 
 
-def written(found: tuple[np.ndarray, bool]) -> str:
-    return ANCHOR * found[1] + base64.b64encode(found[0].astype(">u8").tobytes()).decode()
+def written(found: tuple[np.ndarray, int]) -> str:
+    return ALL * (found[1] == TOP and len(found[0]) > 0) + base64.b64encode(found[0].astype(">u8").tobytes()).decode()
 
 
-def parsed(fingerprint: str) -> tuple[np.ndarray, bool]:
-    raw = base64.b64decode(fingerprint.removeprefix(ANCHOR))
-    return np.frombuffer(raw, ">u8").astype(np.uint64), fingerprint.startswith(ANCHOR)
+def parsed(fingerprint: str, share: float = SHARE) -> tuple[np.ndarray, int]:
+    found = np.frombuffer(base64.b64decode(fingerprint.removeprefix(ALL)), ">u8").astype(np.uint64)
+    if fingerprint.startswith(ALL) or not len(found):
+        return found, TOP
+    return found, max(int(share * 2.0**64) - 1, int(found[-1]))  # a bound above the share is the last hash
 
 
-def merged(a: str, b: str) -> str:
+def merged(a: str, b: str, share: float = SHARE) -> str:
     """The fingerprint of both documents' shingles together."""
-    (x, x_anchor), (y, y_anchor) = parsed(a), parsed(b)
-    if x_anchor != y_anchor and len(x) and len(y):  # an anchor yields to a sketch
-        return b if x_anchor else a
+    (x, x_bound), (y, y_bound) = parsed(a, share), parsed(b, share)
+    bound = min(x_bound, y_bound)
     both = np.union1d(x, y)
-    return written((both[:1], True) if x_anchor or y_anchor else (both, False))
+    return written(_cut(both[: np.searchsorted(both, np.uint64(bound), "right")], bound, share))
 
 
-def likeness(a: tuple[np.ndarray, bool], b: tuple[np.ndarray, bool]) -> tuple[float, float]:
+def likeness(a: tuple[np.ndarray, int], b: tuple[np.ndarray, int]) -> tuple[float, float]:
     """Estimates of the share of a's shingles in b, and of Jaccard's index.
 
-    Two empty sketches are alike (1.0); an empty one is like no other (0.0).
+    Two empty sketches are alike (1.0); an empty one is like no other (0.0),
+    as is one of which nothing lies below the other's bound.
     """
     if not len(a[0]) or not len(b[0]):
         both = float(len(a[0]) == len(b[0]))
         return both, both
-    common = len(np.intersect1d(a[0], b[0], assume_unique=True)) if a[1] == b[1] else 0
-    return common / len(a[0]), common / (len(a[0]) + len(b[0]) - common)
+    bound = np.uint64(min(a[1], b[1]))
+    x, y = (s[0][: np.searchsorted(s[0], bound, "right")] for s in (a, b))
+    if not len(x) or not len(y):
+        return 0.0, 0.0
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common / len(x), common / (len(x) + len(y) - common)
 
 
 def _dealt(docs: DataFrame, parts: int) -> DataFrame:
