@@ -35,6 +35,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def discard(df: DataFrame) -> None:
     """Delete what :func:`materialize` wrote; ``df`` must not be read afterwards."""
     path = getattr(df, "_written_path", None)
