@@ -12,13 +12,15 @@ Counts are taken by blocks of documents, so that an n-gram travels once per
 block and not once per occurrence.  They meet in buckets by the last two
 bytes, where all trees below depth two are whole; what lies above is dense
 arrays of fixed size.  The n-grams' probabilities then go back to the blocks
-that hold them, never to the driver.
+that hold them, never to the driver, and in the order of a block's own
+n-grams, which it takes from its texts again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from math import lgamma, log
+from typing import NamedTuple
 from zlib import crc32
 
 import numpy as np
@@ -42,7 +44,9 @@ FOLDS, HELD_OUT = 7, 2
 GRAMS, WORDS = 0, 1
 PACKED = "lane int, bucket int, block int, codes binary, counts binary"
 HALF = log(0.5)
-_TABLE = np.array([[lgamma(n + 0.5), lgamma(n + 1.0)] for n in range(4096)]).T
+_TABLE = np.array([[lgamma(n + 0.5), lgamma(n + 1.0)] for n in range(4096)]).T.copy()
+#: By the bits in which two bytes differ, the first bit at which their paths have parted.
+_FRESH = np.array([9 - x.bit_length() for x in range(256)], np.uint8)
 
 
 def is_held_out(doc_id) -> bool:
@@ -94,16 +98,22 @@ def _unzip_sorted(raw: bytes) -> np.ndarray:
     return np.cumsum(_unzip(raw, np.uint64), dtype=np.uint64)
 
 
-def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    """Log of the Krichevsky-Trofimov probability of n0 zeros and n1 ones."""
+def _stirling(x: np.ndarray) -> np.ndarray:
+    """lgamma of a large x."""
+    return (x - 0.5) * np.log(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x**3)
 
-    def lg(n: np.ndarray, shift: float, row: int) -> np.ndarray:
-        x = n + shift
-        big = np.maximum(x, 1.0)
-        stirling = (big - 0.5) * np.log(big) - big + 0.9189385332046727 + 1 / (12 * big) - 1 / (360 * big**3)
-        return np.where(n < 4096, _TABLE[row][np.minimum(n, 4095).astype(np.int64)], stirling)
 
-    return lg(n0, 0.5, 0) + lg(n1, 0.5, 0) - log(np.pi) - lg(n0 + n1, 1.0, 1)
+def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """Log of the Krichevsky-Trofimov probability of n0 zeros and n1 ones."""
+    half, whole = _TABLE
+    last = len(half) - 1
+    n = n0 + n1
+    out = half[np.minimum(n0, last)] + half[np.minimum(n1, last)] - whole[np.minimum(n, last)]
+    big = n > last
+    if big.any():
+        parts = [np.where(x > last, _stirling(np.maximum(x, 1) + 0.5), half[np.minimum(x, last)]) for x in (n0[big], n1[big])]
+        out[big] = parts[0] + parts[1] - _stirling(n[big] + 1.0)
+    return out - log(np.pi)
 
 
 def _up(codes: np.ndarray) -> np.ndarray:
@@ -111,38 +121,61 @@ def _up(codes: np.ndarray) -> np.ndarray:
     return ((codes >> np.uint64(16)) << np.uint64(8)) | (codes & np.uint64(255))
 
 
+class Level(NamedTuple):
+    """The trees' nodes at one depth, for one bit of the byte."""
+
+    first: np.ndarray  #: first entry of each node
+    node: np.ndarray  #: each entry's node
+    n: np.ndarray
+    ones: np.ndarray
+    log_w: np.ndarray
+    stop: np.ndarray | None  #: weight of the node's own estimate; None at the deepest
+    above: np.ndarray | None  #: the node one byte shorter; None at the shallowest
+
+
 class Forest:
     """The trees from depth ``top`` to ``depth`` of some n-grams, a bit at a time."""
 
     def __init__(self, codes: np.ndarray, counts: np.ndarray, depth: int, top: int = 2) -> None:
-        self.codes, self.counts, self.up = [codes], [counts], []
-        for _ in range(depth - top):
-            values, at = np.unique(_up(self.codes[-1]), return_inverse=True)
-            self.counts.append(np.bincount(at, self.counts[-1], len(values)).astype(np.int64))
-            self.codes.append(values)
-            self.up.append(at)
-
-    def bit(self, i: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Of each depth, deepest first: first entry and entries' node, zeros and
-        ones of each node, log P_e less log P_w."""
-        below = None
+        self.codes, self.counts, self.fresh, self.up = [], [], [], []
+        for d in range(depth, top - 1, -1):
+            fresh = np.zeros(len(codes), np.uint8)  # the bit from which an entry parts from the one before
+            differ = codes[1:] ^ codes[:-1]
+            np.copyto(fresh[1:], _FRESH[(differ & np.uint64(255)).astype(np.uint8)], where=differ < 256)
+            self.codes.append(codes)
+            self.counts.append(counts)
+            self.fresh.append(fresh)
+            if d > top:
+                above = _up(codes)
+                order = np.argsort(above, kind="stable")  # nearly sorted
+                above = above[order]
+                begins = np.r_[True, above[1:] != above[:-1]]
+                first = np.flatnonzero(begins)
+                up = np.empty(len(codes), np.int32)
+                up[order] = np.cumsum(begins, dtype=np.int32) - 1
+                self.up.append(up)
+                codes, counts = above[first], np.add.reduceat(counts[order], first)
+
+    def bit(self, i: int) -> list[Level]:
+        """The nodes of each depth, deepest first."""
+        out: list[Level] = []
         for k, (codes, counts) in enumerate(zip(self.codes, self.counts, strict=True)):
-            keys = codes >> np.uint64(8 - i)
-            begins = np.r_[True, keys[1:] != keys[:-1]]
-            first, node = np.flatnonzero(begins), np.cumsum(begins) - 1
-            ones = np.where((codes >> np.uint64(7 - i)) & np.uint64(1), counts, 0)
-            n1 = np.add.reduceat(ones, first)
-            n0 = np.add.reduceat(counts, first) - n1
-            log_e = log_kt(n0, n1)
-            if below is None:
-                log_w = log_e
-            else:
-                first_below, log_below = below
-                children = np.bincount(node[self.up[k - 1][first_below]], log_below, len(first))
-                log_w = np.logaddexp(HALF + log_e, HALF + children)
-            below = (first, log_w)
-            yield first, node, n0, n1, log_e - log_w
-        self.top_first, self.top_log_w = below
+            begins = self.fresh[k] <= i
+            first, node = np.flatnonzero(begins), np.cumsum(begins, dtype=np.int32) - 1
+            n = np.add.reduceat(counts, first)
+            ones = np.add.reduceat(counts * ((codes >> np.uint64(7 - i)) & np.uint64(1)).astype(np.int64), first)
+            log_e = log_kt(n - ones, ones)
+            if not out:
+                out.append(Level(first, node, n, ones, log_e, None, None))
+                continue
+            below = out[-1]
+            out[-1] = below._replace(above=node[self.up[k - 1][below.first]])
+            children = np.bincount(out[-1].above, below.log_w, len(first))
+            gap = children - log_e
+            small = np.exp(-np.abs(gap))
+            log_w = HALF + np.maximum(children, log_e) + np.log(1 + small)
+            out.append(Level(first, node, n, ones, log_w, np.where(gap > 0, small, 1.0) / (1 + small), None))
+        return out
 
 
 def _node(codes: np.ndarray, i: int) -> np.ndarray:
@@ -159,14 +192,13 @@ def top_sums(codes: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.ndar
         top = forest.codes[-1]
         np.add.at(next_counts, ((top >> np.uint64(16)).astype(np.int64), (top & np.uint64(255)).astype(np.int64)), forest.counts[-1])
         for i in range(8):
-            for _ in forest.bit(i):
-                pass
-            at = top[forest.top_first]
-            np.add.at(sums, ((at >> np.uint64(16)).astype(np.int64), _node(at, i)), forest.top_log_w)
+            level = forest.bit(i)[-1]
+            at = top[level.first]
+            np.add.at(sums, ((at >> np.uint64(16)).astype(np.int64), _node(at, i)), level.log_w)
     return next_counts, sums
 
 
-def _pairs(codes: np.ndarray, depth: int, rows: int = 500_000) -> Iterator[slice]:
+def _pairs(codes: np.ndarray, depth: int, rows: int = 100_000) -> Iterator[slice]:
     """Runs of about ``rows`` sorted n-grams that end where a pair of last bytes does."""
     if not len(codes):
         return
@@ -185,7 +217,7 @@ class Crown:
     def __init__(self, next_counts: np.ndarray, sums: np.ndarray) -> None:
         self.kt, self.stop = [], []
         for i in range(8):
-            n = next_counts.reshape(256, 1 << i, 2, -1).sum(-1).astype(np.float64)
+            n = next_counts.reshape(256, 1 << i, 2, -1).sum(-1)
             log_e = log_kt(n[..., 0], n[..., 1])
             log_w = np.logaddexp(HALF + log_e, HALF + sums[:, 1 << i : 2 << i])
             n_root = n.sum(0)
@@ -196,35 +228,41 @@ class Crown:
 
 
 def log10_probabilities(codes: np.ndarray, counts: np.ndarray, depth: int, crown: Crown) -> np.ndarray:
-    """log10 of the mixed probability of each n-gram's byte in its context."""
-    out = np.zeros(len(codes))
+    """log10 of the mixed probability of each n-gram's byte in its context.
+
+    Down from the root: ``settled`` is the part of a node's mixture that its
+    shallower contexts give, ``left`` the weight that remains for it and the
+    deeper ones, and ``p`` the probability of a one if it is the last reached.
+    """
+    out = np.empty(len(codes))
     for part in _pairs(codes, depth):
         forest = Forest(codes[part], counts[part], depth)
-        here = codes[part]
-        last = (here >> np.uint64(8 * depth)).astype(np.int64)
+        here, top = codes[part], forest.codes[-1]
+        product = np.ones(len(here))
         for i in range(8):
-            bit = ((here >> np.uint64(7 - i)) & np.uint64(1)).astype(np.int64)
-            at, p, reached = np.arange(len(here)), None, None
-            for k, (_, node, n0, n1, log_ratio) in enumerate(forest.bit(i)):
-                if k:
-                    at = forest.up[k - 1][at]
-                where = node[at]
-                total = (n0 + n1)[where]
-                kt = (np.where(bit == 1, n1[where], n0[where]) + 0.5) / (total + 1)
-                if p is None:
-                    p = kt
-                else:
-                    stop = np.where(reached, np.exp(HALF + log_ratio)[where], 1.0)
-                    p = stop * kt + (1 - stop) * p
-                reached = total > 0
-            inner = _node(here, i) - (1 << i)
+            levels = forest.bit(i)
+            at = top[levels[-1].first]
+            last, inner = (at >> np.uint64(16)).astype(np.int64), _node(at, i) - (1 << i)
             one, root, n_one = crown.kt[i]
             stop_one, stop_root = crown.stop[i]
-            stop = np.where(reached, stop_one[last, inner], 1.0)
-            p = stop * one[last, inner, bit] + (1 - stop) * p
             stop = np.where(n_one[last, inner] > 0, stop_root[inner], 1.0)
-            p = stop * root[inner, bit] + (1 - stop) * p
-            out[part] += np.log10(p)
+            settled, left = stop * root[inner, 1], 1 - stop
+            kt, stop = one[last, inner, 1], stop_one[last, inner]
+            p = settled + left * kt
+            settled, left = settled + left * stop * kt, left * (1 - stop)
+            for k in range(len(levels) - 1, -1, -1):
+                level = levels[k]
+                kt = (level.ones + 0.5) / (level.n + 1)
+                settled = np.where(level.n > 0, settled, p)
+                left = np.where(level.n > 0, left, 0.0)
+                p = settled + left * kt
+                if k:
+                    above = levels[k - 1].above
+                    settled, left, p = (settled + left * level.stop * kt)[above], (left * (1 - level.stop))[above], p[above]
+            bit = (here >> np.uint64(7 - i)) & np.uint64(1) == 1
+            x = p[levels[0].node]
+            product *= np.where(bit, x, 1 - x)
+        out[part] = np.log10(product)
     return out
 
 
@@ -242,18 +280,30 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
         yield now, rows
 
 
+def _portions(joined: bytes, depth: int) -> Iterator[np.ndarray]:
+    """The n-grams of a text, some millions at a time."""
+    for i in range(0, len(joined) + 1, HELD):
+        piece = joined[max(0, i - depth) : i + HELD]
+        codes = gram_codes(piece, depth)
+        skip = min(i, depth)  # these bytes are context here
+        yield codes[skip:] if i + HELD > len(joined) else codes[skip:-1]
+
+
 def _count(source: DataFrame, depth: int, blocks: int) -> DataFrame:
     """Distinct n-grams and words of each block, with their training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, kept, size = None, [[], []], 0
+        now, size = None, 0
+        kept: list[list[list[np.ndarray]]] = [[[], []], [[], []]]  # by lane, of held-out and of training texts
         found: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
 
         def fold():
             for lane in (GRAMS, WORDS):
-                if kept[lane]:
-                    found[lane].append(_merge([c for c, _ in kept[lane]], [np.full(len(c), w, np.int64) for c, w in kept[lane]]))
-                    kept[lane].clear()
+                for learn, codes in enumerate(kept[lane]):
+                    if codes:
+                        values, counts = np.unique(np.concatenate(codes), return_counts=True)
+                        found[lane].append((values, counts * learn))
+                        codes.clear()
                 if len(found[lane]) > 8:
                     found[lane][:] = [_merge(*map(list, zip(*found[lane], strict=True)))]
 
@@ -262,11 +312,8 @@ def _count(source: DataFrame, depth: int, blocks: int) -> DataFrame:
             for lane in (GRAMS, WORDS):
                 codes, counts = _merge(*map(list, zip(*found[lane], strict=True)))
                 found[lane].clear()
-                key = codes >> np.uint64(8 * (depth - 1)) if lane == GRAMS else codes
-                bucket = (mix64(key) % np.uint64(blocks)).astype(np.int32)
                 rows = []
-                for b in np.unique(bucket).tolist():
-                    mine = bucket == b
+                for b, mine in _by_bucket(codes, lane, depth, blocks):
                     rows.append((lane, b, now, _zip_sorted(codes[mine]), _zip(counts[mine])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["lane", "bucket", "block", "codes", "counts"])
 
@@ -278,30 +325,58 @@ def _count(source: DataFrame, depth: int, blocks: int) -> DataFrame:
                     now, size = block, 0
                 words, joined = normal(text)
                 learn = 0 if is_held_out(doc_id) else 1
-                kept[GRAMS].append((gram_codes(joined, depth), learn))
-                kept[WORDS].append((word_codes(words), learn))
-                size += len(joined)
-                if size > HELD:
-                    fold()
-                    size = 0
+                kept[WORDS][learn].append(word_codes(words))
+                for codes in _portions(joined, depth):
+                    kept[GRAMS][learn].append(codes)
+                    size += len(codes)
+                    if size > HELD:
+                        fold()
+                        size = 0
         if now is not None:
             yield from out()
 
     return source.select("block", "doc_id", "text").mapInArrow(run, PACKED)
 
 
-def _merged(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    return _merge([_unzip_sorted(r[3]) for r in rows], [_unzip(r[4], np.int64) for r in rows])
+def _by_bucket(codes: np.ndarray, lane: int, depth: int, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Buckets in order, each with the places of its codes in theirs."""
+    key = codes >> np.uint64(8 * (depth - 1)) if lane == GRAMS else codes
+    bucket = (mix64(key) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.empty(0, np.int64)
+    for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(bucket)], strict=True):
+        yield int(bucket[i]), order[i:j]
+
 
+def _gathered(dealt: DataFrame) -> DataFrame:
+    """One row per lane and bucket: all its codes with their counts, and for
+    each block which of them it holds."""
 
-def _summaries(dealt: DataFrame, depth: int) -> tuple[Crown, int, int]:
-    """The crown, and tokens and distinct tokens of the training texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (lane, bucket), rows in _groups(batches, 2):
+            parts = [_unzip_sorted(r[3]) for r in rows]
+            codes, counts = _merge(parts, [_unzip(r[4], np.int64) for r in rows])
+            members = [_zip(np.diff(np.searchsorted(codes, p), prepend=0).astype(np.uint32)) for p in parts]
+            yield pa.RecordBatch.from_arrays([pa.array([lane], pa.int32()), pa.array([bucket], pa.int32()), pa.array([_zip_sorted(codes)], pa.binary()), pa.array([_zip(counts)], pa.binary()), pa.array([[r[2] for r in rows]], pa.list_(pa.int32())), pa.array([members], pa.list_(pa.binary()))], ["lane", "bucket", "codes", "counts", "blocks", "members"])
+
+    return dealt.mapInArrow(run, "lane int, bucket int, codes binary, counts binary, blocks array<int>, members array<binary>")
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield tuple(c[i].as_py() for c in batch.columns)
+
+
+def _summaries(gathered: DataFrame, depth: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """What :class:`Crown` takes, and tokens and distinct tokens of the training texts."""
     schema = "place int, a binary, b binary"
     names = ["place", "a", "b"]
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (lane, _), rows in _groups(batches, 2):
-            codes, counts = _merged(rows)
+        for lane, codes, counts in _each(batches):
+            codes, counts = _unzip_sorted(codes), _unzip(counts, np.int64)
             if lane == WORDS:
                 made = [(256, np.array([counts.sum()]).tobytes(), np.array([float((counts > 0).sum())]).tobytes())]
             else:
@@ -320,26 +395,98 @@ def _summaries(dealt: DataFrame, depth: int) -> tuple[Crown, int, int]:
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([p[0].tobytes() for p in held.values()], pa.binary()), pa.array([p[1].tobytes() for p in held.values()], pa.binary())], names)
 
     next_counts, log_w, tokens, distinct = np.zeros((256, 256), np.int64), np.zeros((256, 256)), 0, 0
-    for r in dealt.mapInArrow(sums, schema).repartition("place").mapInArrow(add, schema).collect():  # 257 rows at most
+    parts = gathered.select("lane", "codes", "counts").mapInArrow(sums, schema)
+    for r in parts.repartition("place").mapInArrow(add, schema).collect():  # 257 rows at most
         if r["place"] == 256:
             tokens, distinct = int(np.frombuffer(r["a"], np.int64)[0]), int(np.frombuffer(r["b"], np.float64)[0])
         else:
             next_counts[r["place"]], log_w[r["place"]] = np.frombuffer(r["a"], np.int64), np.frombuffer(r["b"], np.float64)
-    return Crown(next_counts, log_w), tokens, distinct
+    return next_counts, log_w, tokens, distinct
 
 
-def _priced(dealt: DataFrame, depth: int, crown) -> DataFrame:
-    """For each block: its n-grams' log10 probabilities and its words' counts."""
+def _short(values: np.ndarray) -> np.ndarray:
+    """float32 with 20 bits of precision, which compress better."""
+    bits = values.astype(np.float32).view(np.uint32)
+    return ((bits + np.uint32(8)) & np.uint32(0xFFFFFFF0)).view(np.float32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (lane, _), rows in _groups(batches, 2):
-            codes, counts = _merged(rows)
-            values = counts.astype(np.float64) if lane == WORDS else log10_probabilities(codes, counts, depth, crown.value)
-            for r in rows:
-                mine = values[np.searchsorted(codes, _unzip_sorted(r[3]))]
-                yield pa.RecordBatch.from_arrays([pa.array([r[2]], pa.int32()), pa.array([lane], pa.int32()), pa.array([r[3]], pa.binary()), pa.array([_zip(mine if lane == WORDS else mine.astype(np.float32))], pa.binary())], ["block", "lane", "codes", "prices"])
 
-    return dealt.mapInArrow(run, "block int, lane int, codes binary, prices binary")
+def _priced(gathered: DataFrame, depth: int, crown) -> DataFrame:
+    """For each block and bucket, in the order of the block's own codes: log10
+    probabilities of n-grams, counts of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mixed = Crown(*crown.value)
+        for lane, bucket, codes, counts, blocks, members in _each(batches):
+            codes, counts = _unzip_sorted(codes), _unzip(counts, np.int64)
+            values = counts if lane == WORDS else _short(log10_probabilities(codes, counts, depth, mixed))
+            prices = [_zip(values[np.cumsum(_unzip(m, np.uint32), dtype=np.int64)]) for m in members]
+            n = len(blocks)
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([lane] * n, pa.int32()), pa.array([bucket] * n, pa.int32()), pa.array(prices, pa.binary())], ["block", "lane", "bucket", "prices"])
+
+    return gathered.mapInArrow(run, "block int, lane int, bucket int, prices binary")
+
+
+class _Numbered:
+    """Codes that come in portions, and each one's place among the distinct ones."""
+
+    def __init__(self) -> None:
+        self.values: list[np.ndarray] = []
+        self.places: list[np.ndarray] = []
+
+    def add(self, codes: list[np.ndarray]) -> None:
+        values, places = np.unique(np.concatenate(codes), return_inverse=True)
+        self.values.append(values)
+        self.places.append(places.astype(np.int32))
+
+    def whole(self) -> tuple[np.ndarray, Iterator[np.ndarray]]:
+        """The sorted distinct codes, and the places in them of each portion."""
+        values, places = np.unique(np.concatenate(self.values), return_inverse=True)
+        starts = np.cumsum([0] + [len(v) for v in self.values]).tolist()
+        return values, (places[a:b][p] for a, b, p in zip(starts, starts[1:], self.places, strict=False))
+
+
+def _scored(texts: list[tuple], prices: dict[tuple[int, int], bytes], depth: int, buckets: int, tokens: int, floor: float) -> Iterator[tuple]:
+    """Rows of the texts of one block."""
+    lengths: tuple[list[int], list[int]] = ([], [])
+    per_doc: list[list[np.ndarray]] = []
+    for lane, dtype in ((GRAMS, np.float32), (WORDS, np.int64)):
+        numbered, held, size = _Numbered(), [], 0
+        for _, text in texts:
+            words, joined = normal(text)
+            n = 0
+            for codes in _portions(joined, depth) if lane == GRAMS else (word_codes(words),):
+                held.append(codes)
+                n += len(codes)
+                size += len(codes)
+                if size > HELD:
+                    numbered.add(held)
+                    held, size = [], 0
+            lengths[lane].append(n)
+        if held:
+            numbered.add(held)
+        codes, portions = numbered.whole()
+        price = np.empty(len(codes), np.float64 if lane == GRAMS else np.int64)
+        for b, mine in _by_bucket(codes, lane, depth, buckets):
+            price[mine] = _unzip(prices[lane, b], dtype)
+        ends = np.cumsum(lengths[lane])
+        if lane == GRAMS:
+            per_doc.append([_sums((price[p] for p in portions), ends)])
+        else:
+            known = [price[p] for p in portions]
+            per_doc.append([_sums((np.log10(c + 1.0) - floor for c in known), ends), _sums(((c > 0).astype(np.float64) for c in known), ends)])
+    (model,), (base, n_known) = per_doc
+    for k, (doc_id, _) in enumerate(texts):
+        yield doc_id, is_held_out(doc_id), lengths[WORDS][k], int(n_known[k]), tokens, float(base[k]), float(model[k]), float(-model[k] / np.log10(2) / lengths[GRAMS][k])
+
+
+def _sums(portions: Iterator[np.ndarray], ends: np.ndarray) -> np.ndarray:
+    """Sums of runs that end at ``ends`` of numbers that come in portions."""
+    out, at = np.zeros(len(ends)), 0
+    for x in portions:
+        here = np.diff(np.clip(ends, at, at + len(x)), prepend=at)
+        out += np.bincount(np.repeat(np.arange(len(ends)), here), x, len(ends))
+        at += len(x)
+    return out
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
@@ -351,7 +498,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", de
     A null id counts as the empty text for the fold.  Repeated rows are scored,
     and learned from, each time; without training texts every bit costs one.
     An empty table gives an empty one; other columns are ignored.  ``depth``
-    is 3 to 7.  N-gram probabilities travel with 24 bits of precision.
+    is 3 to 7.  N-gram probabilities travel with 20 bits of precision.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -359,65 +506,38 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", de
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(LEAST_BLOCKS, -(-total // BLOCK_BYTES))
     source = source.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    together = source.repartition(blocks, "block").sortWithinPartitions("block")
-    counted = materialize(_count(together, depth, blocks), "grams")
-    dealt = counted.repartition(2 * blocks, "lane", "bucket").sortWithinPartitions("lane", "bucket")
-    crown, tokens, distinct = _summaries(dealt, depth)
-    prices = _priced(dealt, depth, spark.sparkContext.broadcast(crown))
+    together = source.repartitionById(blocks, F.col("block")).sortWithinPartitions("block")
+    dealt = _count(together, depth, blocks).repartitionById(2 * blocks, F.col("lane") * blocks + F.col("bucket")).sortWithinPartitions("lane", "bucket")
+    gathered = materialize(_gathered(dealt), "grams")
+    next_counts, log_w, tokens, distinct = _summaries(gathered, depth)
+    prices = _priced(gathered, depth, spark.sparkContext.broadcast((next_counts, log_w)))
     kind = source.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts, tables = None, [[], []], [None, None]
-        floor = np.log10(float(tokens + distinct + 1))
-
-        def table(lane, dtype):
-            codes = np.concatenate([c for c, _ in parts[lane]])
-            order = np.argsort(codes)
-            out = codes[order], np.concatenate([_unzip(p, dtype) for _, p in parts[lane]])[order]
-            parts[lane] = []
-            return out
-
-        def prices_of(codes):
-            """The table's prices; sorted look-ups walk it once."""
-            order = np.argsort(codes)
-            out = np.empty(len(codes))
-            out[order] = tables[GRAMS][1][np.searchsorted(tables[GRAMS][0], codes[order])]
-            return out
-
-        def scored(held):
-            """Rows of the held texts of one block."""
-            grams = [gram_codes(joined, depth) for _, _, joined in held]
-            starts = np.cumsum([0] + [len(g) for g in grams[:-1]])
-            models = np.add.reduceat(prices_of(np.concatenate(grams)), starts).tolist()
-            for (doc_id, words, joined), model in zip(held, models, strict=True):
-                counts = tables[WORDS][1][np.searchsorted(tables[WORDS][0], word_codes(words))]
-                base = float((np.log10(counts + 1) - floor).sum())
-                yield doc_id, is_held_out(doc_id), len(counts), int((counts > 0).sum()), tokens, base, model, -model / np.log10(2) / (len(joined) + 1)
+        now, table, texts = None, {}, []
+        floor = float(np.log10(tokens + distinct + 1))
+        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
+
+        def out(kind):
+            kinds = (kind, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+            rows = list(_scored(texts, table, depth, blocks, tokens, floor))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
         for batch in batches:
-            rows, held, size = [], [], 0
-            cols = [batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), utf8(batch.column(3)), batch.column(4).to_pylist(), batch.column(5).to_pylist()]
-            for block, lane, doc_id, text, codes, price in zip(*cols, strict=True):
-                if held and (block != now or size > HELD):
-                    rows += scored(held)
-                    held, size = [], 0
+            for block, lane, bucket, doc_id, text, price in zip(*(batch.column(i).to_pylist() for i in range(4)), utf8(batch.column(4)), batch.column(5).to_pylist(), strict=True):
                 if block != now:
-                    now, parts, tables = block, [[], []], [None, None]
+                    if texts:
+                        yield out(batch.schema.field(3).type)
+                    now, table, texts = block, {}, []
                 if lane < 2:
-                    parts[lane].append((_unzip_sorted(codes), price))
-                    continue
-                if tables[0] is None:
-                    tables = [table(GRAMS, np.float32), table(WORDS, np.float64)]
-                held.append((doc_id, *normal(text)))
-                size += len(text)
-            if held:
-                rows += scored(held)
-            if rows:
-                kinds = (batch.schema.field(2).type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
+                    table[lane, bucket] = price
+                else:
+                    texts.append((doc_id, text))
+        if texts:
+            yield out(batch.schema.field(3).type)
 
     none = lambda t: F.lit(None).cast(t)
-    texts = source.select("block", F.lit(2).alias("lane"), "doc_id", "text", none("binary").alias("codes"), none("binary").alias("prices"))
-    tables = prices.select("block", "lane", none(kind).alias("doc_id"), none("string").alias("text"), "codes", "prices")
-    both = tables.unionByName(texts).repartition(blocks, "block").sortWithinPartitions("block", "lane")
+    asked = source.select("block", F.lit(2).alias("lane"), F.lit(0).alias("bucket"), "doc_id", "text", none("binary").alias("prices"))
+    told = prices.select("block", "lane", "bucket", none(kind).alias("doc_id"), none("string").alias("text"), "prices")
+    both = told.unionByName(asked).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "lane")
     return both.mapInArrow(run, f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
