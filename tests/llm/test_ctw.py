@@ -67,7 +67,7 @@ def brute_base(rows):
     out = {}
     for i, t in rows:
         tokens = [*ctw.normal((t or "").encode())[0], None]
-        out[i] = (ctw.is_held_out(i), len(tokens), sum(train[w] > 0 for w in tokens), n, sum(log10((train[w] + 1) / ((n + 1) * (v + 1))) for w in tokens))
+        out[i] = (ctw.is_held_out(i), len(tokens), sum(train[w] > 0 for w in tokens), n, sum(log10((train[w] + 1) / (n + v + 1)) for w in tokens))
     return out
 
 
