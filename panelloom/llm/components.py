@@ -1,45 +1,5 @@
-"""Connected components by alternating large-star and small-star rounds."""
+"""Connected components of links between documents."""
 
-from __future__ import annotations
+from panelloom.operators.components import connected_components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from panelloom.llm.store import discard, materialize
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Link each node's larger neighbours to the least of it and its neighbours."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Link each node and its smaller neighbours to the least of these."""
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    linked = down.join(least, "a")
-    return linked.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-
-
-def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """``node, root`` for all nodes of ``edges`` (long ``a``, ``b``), root the least.
-
-    Each round is written to the shared folder; the driver sees only a count
-    and a checksum.  Self-links and repeated links are harmless, links with a
-    null end are ignored, no links give no rows.
-    """
-    clean = edges.where("a is not null and b is not null and a <> b").distinct()
-    now, seen = materialize(clean, "links"), None
-    for _ in range(rounds):
-        after = materialize(_small_star(_large_star(now)).distinct(), "links")
-        state = after.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        discard(now)
-        now = after
-        if state == seen:
-            break
-        seen = state
-    else:
-        raise RuntimeError("components did not settle")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+__all__ = ["connected_components"]

@@ -30,6 +30,9 @@ LEAST = 256
 #: Marks a fingerprint that holds all hashes.
 ALL = "~"
 TOP = (1 << 64) - 1
+#: Text per bucket of ids, and the least number of buckets.
+BUCKET_BYTES = 16 << 20
+LEAST_BUCKETS = 8
 #: Stands for a null id, so that it comes last in descending order.
 NO_ID = -(1 << 63)
 
@@ -125,7 +128,7 @@ def _dealt(docs: DataFrame, parts: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([take.column(0), take.column(1), pa.array([guests[values[i]] for i in again], pa.int64()), pa.array(np.ones(len(again), np.int8))], ["doc_id", "text", "bucket", "guest"])
 
     dealt = docs.mapInArrow(deal, "doc_id long, text string, bucket long, guest byte")
-    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", F.desc("doc_id"), F.xxhash64("text"))
+    return dealt.repartitionById(parts, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "guest", F.desc("doc_id"), F.xxhash64("text"))
 
 
 def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, share: float = SHARE) -> DataFrame:
@@ -167,6 +170,7 @@ def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
 
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "jaccard_edited", "jaccard_next"]
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, jaccard_edited double, jaccard_next double"
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(LEAST_BUCKETS, -(-total // BUCKET_BYTES))
     made = _dealt(source, parts).mapInArrow(run, schema)
     return made.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelloom.llm import bpe, chat, ctw, decontam, fingerprints, quality, secrets, sharding, simhash, substrings
+from panelloom.llm.store import shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +29,8 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.report(_table(spark, sf_dir, "documents"))
+    ledger = secrets.Ledger(spark, f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}")
+    return secrets.report_increments(_table(spark, sf_dir, "documents"), ledger)
 
 
 #: The contract's own conversation: its text looks like markers of templates.
@@ -49,8 +52,12 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.report(_table(spark, sf_dir, "documents"))
 
 
+#: Small enough to split the least tables into many shards.
+SHARD_BYTES = 256 << 10
+
+
 def op7_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign(_table(spark, sf_dir, "documents"))
+    return sharding.assign(_table(spark, sf_dir, "documents"), limit=SHARD_BYTES)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

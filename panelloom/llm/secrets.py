@@ -3,17 +3,19 @@
 Every version of a text is addressed by the SHA-256 of its content.  A ledger
 records which blobs have been scanned under which version of the rules; only
 pairs that it lacks are scanned, once however many paths share the blob, and
-findings are joined back to all paths.
+findings are joined back to all paths.  The version is a digest of the rules
+themselves.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+from dataclasses import astuple, dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm.store import materialize
+from panelloom.llm.store import exists, free_name, materialize
 
 
 @dataclass(frozen=True)
@@ -42,9 +44,32 @@ EXTRA_RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
 )
 RULES = BASE_RULES + EXTRA_RULES
-RULES_VERSION = "2"
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
 REDACTED = "[REDACTED]"
+#: Blobs of more than one in so many rows are joined by broadcast.
+HEAVY = 256
+
+
+def version_of(rules: tuple[Rule, ...]) -> str:
+    """The rules' version: a digest of all that they say, in their order."""
+    return hashlib.sha256(repr([astuple(r) for r in rules]).encode()).hexdigest()[:16]
+
+
+class Ledger:
+    """``blob, rules_version, spans`` of all that was scanned, in a folder that only grows.
+
+    Appends are whole or absent, so a run that failed is repeated; a pair that
+    two runs append both counts once when it is read.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def read(self) -> DataFrame | None:
+        return self.spark.read.parquet(self.path) if exists(self.spark, self.path) else None
+
+    def append(self, fresh: DataFrame) -> None:
+        fresh.select("blob", "rules_version", "spans").write.mode("append").parquet(self.path)
 
 
 def _spans(text: Column, rank: int, rule: Rule) -> Column:
@@ -80,35 +105,63 @@ def blob(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
-def scan_versions(versions: DataFrame, *, path: str = "path", text: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, rules_version: str = RULES_VERSION) -> tuple[DataFrame, DataFrame]:
+def _with_spans(rows: DataFrame, key: str, found: DataFrame, counts: DataFrame, total: int) -> DataFrame:
+    """``rows`` left-joined to ``found`` (blob, spans) by blob.
+
+    Copies of one text would all go to one task: the blobs of more than one in
+    ``HEAVY`` rows, of which there are no more than that, are broadcast.
+    """
+    many = counts.where(F.col("n") > max(HEAVY // 4, total // HEAVY)).select("blob")
+    heavy = F.broadcast(found.join(F.broadcast(many), "blob", "left_semi"))
+    light = found.join(F.broadcast(many), "blob", "left_anti")
+    is_heavy = rows.join(F.broadcast(many).withColumnRenamed("blob", key), key, "left_semi")
+    rest = rows.join(F.broadcast(many).withColumnRenamed("blob", key), key, "left_anti")
+    first = is_heavy.join(heavy.withColumnRenamed("blob", key), key, "left")
+    return first.unionByName(rest.join(light.withColumnRenamed("blob", key), key, "left"))
+
+
+def _scanned(source: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...], version: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, int]:
+    """Of ``path, text``: paths with blobs, their numbers, all spans found, the new ones, rows."""
+    index = materialize(source.select("path", blob(F.col("text")).alias("blob")), "blobs")
+    counts = materialize(index.groupBy("blob").agg(F.min("path").alias("chosen"), F.count("*").alias("n")), "counts")
+    wanted, known = counts, None
+    if ledger is not None:
+        known = ledger.where(F.col("rules_version") == version).groupBy("blob").agg(F.first("spans").alias("spans"))
+        wanted = wanted.join(known, "blob", "left_anti")
+    address = source.withColumn("address", blob(F.col("text")))
+    unseen = address.join(wanted, (F.col("address") == F.col("blob")) & F.col("path").eqNullSafe(F.col("chosen")))
+    scanned = unseen.select("blob", find_spans(F.col("text"), rules).alias("spans")).dropDuplicates(["blob"])
+    fresh = materialize(scanned.select("blob", F.lit(version).alias("rules_version"), "spans"), "ledger")
+    found = fresh.select("blob", "spans")
+    if known is not None:
+        found = found.unionByName(known.join(counts, "blob", "left_semi"))
+    return index, counts, found.where(F.size("spans") > 0), fresh, index.count()
+
+
+def scan_versions(versions: DataFrame, *, path: str = "path", text: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, rules_version: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Findings of every row of ``versions`` and the rows to append to the ledger.
 
     Findings have ``path, blob, spans``, one row per row of ``versions``;
     null and empty texts have no spans, paths may be null or repeated, other
     columns are left out.  Ledger rows have ``blob, rules_version, spans``, one
-    per pair that was not in ``ledger`` (none is an empty ledger).
+    per pair that was not in ``ledger`` (none is an empty ledger).  The version
+    is that of the rules unless another is named.
 
     Addresses and findings are small tables, written once; texts move in one
     shuffle, on (blob, path), so that copies of a text spread evenly, and only
     one row per blob is left to scan.
     """
     source = versions.select(F.col(path).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    index = materialize(source.select("path", blob(F.col("text")).alias("blob")), "blobs")
-    wanted = index.groupBy("blob").agg(F.min("path").alias("chosen"))
-    known = None
-    if ledger is not None:
-        known = ledger.where(F.col("rules_version") == rules_version).select("blob", "spans")
-        wanted = wanted.join(known, "blob", "left_anti")
-    address = source.withColumn("address", blob(F.col("text")))
-    unseen = address.join(wanted, (F.col("address") == F.col("blob")) & F.col("path").eqNullSafe(F.col("chosen")))
-    scanned = unseen.select("blob", find_spans(F.col("text"), rules).alias("spans")).dropDuplicates(["blob"])
-    fresh = materialize(scanned.select("blob", F.lit(rules_version).alias("rules_version"), "spans"), "ledger")
-    found = fresh.select("blob", "spans")
-    if known is not None:
-        found = found.unionByName(known)
-    found = found.where(F.size("spans") > 0)
-    findings = index.join(found, "blob", "left").select("path", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
-    return findings, fresh
+    index, counts, found, fresh, total = _scanned(source, ledger, rules, rules_version or version_of(rules))
+    findings = _with_spans(index, "blob", found, counts, total)
+    return findings.select("path", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans")), fresh
+
+
+def scan_increment(versions: DataFrame, ledger: Ledger, *, path: str = "path", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Findings of ``versions``; what the ledger lacked is scanned and appended to it."""
+    findings, fresh = scan_versions(versions, path=path, text=text, ledger=ledger.read(), rules=rules)
+    ledger.append(fresh)
+    return findings
 
 
 def joined(spans: Column) -> Column:
@@ -116,14 +169,30 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None) -> DataFrame:
-    """Counts by kind, a digest of the base spans, and all spans of each row."""
-    findings, _ = scan_versions(docs, path=id_col, text=text_col, ledger=ledger)
+def _reported(findings: DataFrame) -> DataFrame:
     number = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
     base = F.filter("spans", lambda x: x["rank"] < len(BASE_RULES))
     return findings.select(F.col("path").alias("doc_id"), number("assign").alias("n_assign"), number("access").alias("n_access"), number("hex").alias("n_hex"), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None) -> DataFrame:
+    """Counts by kind, a digest of the base spans, and all spans of each row."""
+    findings, _ = scan_versions(docs, path=id_col, text=text_col, ledger=ledger)
+    return _reported(findings)
+
+
+def report_increments(docs: DataFrame, ledger: Ledger, *, id_col: str = "doc_id", text_col: str = "text", increments: int = 2) -> DataFrame:
+    """:func:`report` of all rows, which reach the ledger in increments.
+
+    The rows are dealt by a hash of the id; each increment but the last scans
+    its own part, the last all rows, of which only texts that no part before
+    had are new.
+    """
+    for k in range(increments - 1):
+        scan_increment(docs.where(F.pmod(F.xxhash64(id_col), F.lit(increments)) == k), ledger, path=id_col, text=text_col)
+    return _reported(scan_increment(docs, ledger, path=id_col, text=text_col))
+
+
 def _redacted(text: Column, spans: Column) -> Column:
     """``text`` with each run of overlapping spans replaced."""
 
@@ -136,19 +205,24 @@ def _redacted(text: Column, spans: Column) -> Column:
     return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text) - acc["at"])))
 
 
-def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", ledger: DataFrame | None = None) -> DataFrame:
+def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", ledger: Ledger | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs``, all rows and columns kept, with secrets replaced in the text.
 
     ``length_col`` is brought up to date where a text changed, if present.
+    Null texts stay null, null and repeated ids are told apart by their texts
+    alone, runs of overlapping spans become one replacement, an empty table
+    stays empty and columns may have any names.  What ``ledger`` lacks is
+    scanned and appended to it.
     """
-    _, fresh = scan_versions(docs, path=id_col, text=text_col, ledger=ledger)
-    found = fresh.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    if ledger is not None:
-        found = found.unionByName(ledger.where((F.col("rules_version") == RULES_VERSION) & (F.size("spans") > 0)).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")))
-    out = docs.join(found, blob(F.col(text_col)) == F.col("_blob"), "left")
+    source = docs.select(F.col(id_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    _, counts, found, fresh, total = _scanned(source, ledger.read() if ledger else None, rules, version_of(rules))
+    if ledger:
+        ledger.append(fresh)
+    key, spans, redacted = (free_name(docs, x) for x in ("_blob", "_spans", "_redacted"))
+    out = _with_spans(docs.withColumn(key, blob(F.col(text_col))), key, found.withColumnRenamed("spans", spans), counts, total)
     # under a name of its own: an alias "text" would be seen by the lambdas beside it
-    out = out.withColumn("_redacted", F.when(F.col("_spans").isNotNull(), _redacted(F.col(text_col), F.col("_spans"))))
-    changed = {text_col: F.coalesce("_redacted", text_col)}
+    out = out.withColumn(redacted, F.when(F.col(spans).isNotNull(), _redacted(F.col(text_col), F.col(spans))))
+    changed = {text_col: F.coalesce(redacted, text_col)}
     if length_col in docs.columns:
-        changed[length_col] = F.when(F.col("_redacted").isNull(), F.col(length_col)).otherwise(F.length("_redacted").cast(docs.schema[length_col].dataType))
+        changed[length_col] = F.when(F.col(redacted).isNull(), F.col(length_col)).otherwise(F.length(redacted).cast(docs.schema[length_col].dataType))
     return out.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.llm.store import materialize
+from panelloom.llm.store import free_name, materialize
 
 LIMIT_BYTES = 64 << 20
 #: Bits by which an oversized shard is examined in one round.
@@ -24,7 +24,7 @@ def _bits(value: Column) -> Column:
     return F.lpad(F.conv(F.substring(F.md5(value.cast("binary")), 1, BITS // 4), 16, 2), BITS, "0")
 
 
-def assign(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT_BYTES) -> DataFrame:
+def assign(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT_BYTES, row_col: str | None = None) -> DataFrame:
     """Each row's shard: ``doc_id, n_bytes, shard, depth, shard_bytes, shard_rows``.
 
     ``shard`` is the shortest prefix of the row's bits whose rows fit
@@ -33,11 +33,13 @@ def assign(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     bits of their place in the table that is written below, so that no group
     of copies is too large to split.  A single row over the limit is a shard
     of its own.  Null texts have no bytes, null ids share one hash; every row
-    has one result and an empty table has none.
+    has one result and an empty table has none.  ``row_col``, if named, is
+    carried along as ``row``.
     """
+    carried = ["row"] if row_col else []
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.concat(_bits(key), _bits(text)).alias("bits"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.concat(_bits(key), _bits(text)).alias("bits"), *([F.col(row_col).alias("row")] if row_col else []))
     rows = materialize(rows, "rows")
     active = rows.withColumn("bits", F.concat("bits", _bits(F.monotonically_increasing_id().cast("string"))))
     active, done, depth = materialize(active, "keys"), None, 0
@@ -52,18 +54,25 @@ def assign(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
         first = at.groupBy("path").agg(F.min_by(F.struct("shard", "depth", "shard_bytes", "shard_rows"), "depth").alias("found"))
         directory = materialize(nodes.select("path").join(first, "path", "left"), "directory")
         looked = active.withColumn("path", F.substring("bits", 1, reach)).join(directory, "path")
-        here = looked.where("found is not null").select("doc_id", "n_bytes", "found.shard", "found.depth", "found.shard_bytes", "found.shard_rows")
+        here = looked.where("found is not null").select("doc_id", "n_bytes", "found.shard", "found.depth", "found.shard_bytes", "found.shard_rows", *carried)
         done = here if done is None else done.unionByName(here)
         if directory.where("found is null").isEmpty():
             return done
-        active, depth = looked.where("found is null").select("doc_id", "n_bytes", "bits"), reach
+        active, depth = looked.where("found is null").select("doc_id", "n_bytes", "bits", *carried), reach
 
 
-def write_shards(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT_BYTES) -> None:
-    """Write ``docs`` as one folder per shard (``shard=0b...``).
+def write_shards(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT_BYTES) -> str:
+    """Write ``docs`` as one folder per shard (``shard=0b...``); returns that column's name.
 
-    Rows are joined to their shard by id, so ids must be unique here.
+    Rows are numbered in a table written to the shared folder and joined to
+    their shards by number, so every row is written once whatever the ids:
+    null, repeated, or rows alike in all.  If ``docs`` has a column ``shard``
+    it stays, and the folders' one is called ``shard_``.  An empty table
+    writes no shard.
     """
-    found = assign(docs, id_col=id_col, text_col=text_col, limit=limit).select(F.col("doc_id").alias("_id"), F.concat(F.lit("0b"), "shard").alias("shard"))
-    out = docs.drop("shard").join(found, F.col(id_col).eqNullSafe(F.col("_id"))).drop("_id")
-    out.repartition("shard").write.partitionBy("shard").parquet(path)
+    row, shard = free_name(docs, "_row"), free_name(docs, "shard")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = assign(numbered, id_col=id_col, text_col=text_col, limit=limit, row_col=row).select(F.col("row").alias(row), F.concat(F.lit("0b"), "shard").alias(shard))
+    out = numbered.join(found, row).drop(row)
+    out.repartition(shard).write.partitionBy(shard).parquet(path)
+    return shard

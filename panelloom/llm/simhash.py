@@ -5,6 +5,11 @@ each block's value names a trie over the other bits.  A trie is joined with
 itself by walking pairs of nodes together: a pair is dropped once the bits in
 which its paths differ exceed the budget.  The walk covers all tries of a
 chunk of rows at once, a level at a time, in NumPy.
+
+:func:`near_duplicates` links fingerprints of 64 bits by their distance alone.
+:func:`keep_one_each` wants texts of which 0.8 of the five-word shingles are
+shared, which 64 bits cannot tell: it takes ``WIDE`` times 64 bits, joins each
+run of 32 of them in tries of its own, and links texts by the distance of all.
 """
 
 from __future__ import annotations
@@ -18,71 +23,124 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from panelloom.llm.components import connected_components
-from panelloom.llm.store import bounded_batches, materialize
-from panelloom.llm.text import utf8
+from panelloom.llm.store import bounded_batches, free_name, materialize
+from panelloom.llm.text import mix64, utf8
 
 SEED = 42
 #: A trie of more fingerprints is split into tries that agree on more bits.
 TRIE_ROWS = 50_000
-
-
-def simhash(text: bytes, shingle: int = 3) -> int:
-    """Majority of the XXH64 bits of lower-cased word shingles; 0 without words."""
+#: Words of 64 bits in a wide fingerprint, each of two halves that are joined.
+WIDE = 5
+#: Bits in which two halves may differ to be compared in full.
+HALF_BUDGET = 3
+#: Bits in which wide fingerprints may differ.  Texts that share 0.8 of their
+#: shingles differ in 49 of 320 in the mean, with a deviation of 6.
+WIDE_BUDGET = 57
+#: Equal halves of more fingerprints are linked through leaders.
+CROWD = 64
+#: Pairs that are compared at once.
+PAIRS = 1_000_000
+
+
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of the lower-cased word shingles of a text, in order."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     joined = b" ".join(words)
     size = min(shingle, len(words))
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - size + 1].tolist()
-    hashes = np.array([xxh64_intdigest(joined[i:j], SEED) for i, j in zip(starts, ends[size - 1 :].tolist(), strict=True)], "<u8")
+    return np.array([xxh64_intdigest(joined[i:j], SEED) for i, j in zip(starts, ends[size - 1 :].tolist(), strict=True)], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 16):  # bounded memory for very long texts
         ones += np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def simhash(text: bytes, shingle: int = 3) -> int:
+    """Majority of the XXH64 bits of lower-cased word shingles; 0 without words."""
+    hashes = shingle_hashes(text, shingle)
+    return majority(hashes) if len(hashes) else 0
+
+
+def wide_simhash(text: bytes, shingle: int = 5) -> list[int]:
+    """Majorities of ``WIDE`` independent hashes of the distinct shingles."""
+    hashes = np.unique(shingle_hashes(text, shingle))
+    return [majority(mix64(hashes + np.uint64(k + 1))) if len(hashes) else 0 for k in range(WIDE)]
+
+
 def _row_keys(id_col: str, text_col: str) -> list:
     """Two hashes that tell a row's id and text, nulls among them, from any other."""
     return [F.xxhash64(id_col, text_col), F.xxhash64(text_col, F.col(id_col).isNull(), id_col, F.lit(SEED))]
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, keys: bool = False) -> DataFrame:
-    """``doc_id`` and ``fp`` (the 64 bits as a signed long) of every row.
-
-    With ``keys`` also ``key_a`` and ``key_b``, hashes of the row's id and text.
-    """
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """``doc_id`` and ``fp`` (the 64 bits as a signed long) of every row."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = np.array([simhash(x, shingle) for x in utf8(batch.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.view(np.int64))], ["doc_id", "fp"])
+
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fp long")
+
+
+WORDS = [f"w{k}" for k in range(WIDE)]
+
+
+def wide_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """``doc_id, w0, w1, ...`` of every row, with ``key_a`` and ``key_b``, hashes of its id and text."""
+    bounded_batches(docs.sparkSession)
 
-    names = ["key_a", "key_b"] if keys else []
-    marks = [k.alias(n) for k, n in zip(_row_keys(id_col, text_col), names, strict=True)] if keys else []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.array([wide_simhash(x, shingle) for x in utf8(batch.column(1))], np.uint64).reshape(-1, WIDE)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(bits[:, k]).view(np.int64)) for k in range(WIDE)), *batch.columns[2:]], names)
+
+    names = ["doc_id", *WORDS, "key_a", "key_b"]
+    marks = [k.alias(n) for k, n in zip(_row_keys(id_col, text_col), names[-2:], strict=True)]
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *marks)
-    return source.mapInArrow(run, ", ".join([f"doc_id {source.schema['doc_id'].dataType.simpleString()}", "fp long", *(f"{n} long" for n in names)]))
+    return source.mapInArrow(run, ", ".join([f"doc_id {source.schema['doc_id'].dataType.simpleString()}", *(f"{n} long" for n in names[1:])]))
 
 
-def _pairs(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of linked fingerprints; each [start, end) is one sorted trie."""
+def _pairs(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int, top: int = 63, wide: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of linked fingerprints; each [start, end) is one sorted trie.
+
+    Paths run from bit ``top`` down.  With ``wide``, a row of words for each
+    fingerprint, a link must also keep ``WIDE_BUDGET`` there.
+    """
     out_a, out_b = [], []
     a0, a1, b0, b1 = starts, ends, starts, ends
     diff = np.zeros(len(starts), np.int64)
-    for bit in range(63, -2, -1):
-        small = (a1 - a0) * (b1 - b0) <= 16 if bit >= 0 else np.ones(len(a0), bool)
-        if small.any():  # leaves: compare the few left directly
-            x0, y0, nx, ny = a0[small], b0[small], (a1 - a0)[small], (b1 - b0)[small]
-            reps = nx * ny
+
+    def leaves(x0, y0, nx, ny):
+        reps = nx * ny
+        cut = np.flatnonzero(np.diff(np.cumsum(reps) // PAIRS)) + 1  # so many pairs at a time
+        for x0, y0, ny, reps in zip(*(np.split(v, cut) for v in (x0, y0, ny, reps)), strict=True):
             which = np.repeat(np.arange(len(reps)), reps)
             k = np.arange(len(which)) - np.repeat(np.cumsum(reps) - reps, reps)
             i, j = x0[which] + k // ny[which], y0[which] + k % ny[which]
             keep = i < j
             i, j = i[keep], j[keep]
             near = np.bitwise_count(fps[i] ^ fps[j]) <= budget
-            out_a.append(i[near])
-            out_b.append(j[near])
+            i, j = i[near], j[near]
+            if wide is not None:
+                near = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1) <= WIDE_BUDGET
+                i, j = i[near], j[near]
+            out_a.append(i)
+            out_b.append(j)
+
+    for bit in range(top, -2, -1):
+        small = (a1 - a0) * (b1 - b0) <= 16 if bit >= 0 else np.ones(len(a0), bool)
+        if small.any():  # leaves: compare the few left directly
+            leaves(a0[small], b0[small], (a1 - a0)[small], (b1 - b0)[small])
             a0, a1, b0, b1, diff = (v[~small] for v in (a0, a1, b0, b1, diff))
         if not len(a0):
             break
@@ -112,16 +170,53 @@ def _spanning(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndar
     return moved, label[moved]
 
 
-def _join_tries(keys: np.ndarray, fps: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within each run of equal keys, as fingerprints: a spanning set."""
+def _join_tries(keys: np.ndarray, fps: np.ndarray, budget: int, wide: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links within each run of equal keys, as rows: a spanning set."""
     edge = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1 if len(keys) else np.empty(0, np.int64)
     starts, ends = np.concatenate(([0], edge)), np.concatenate((edge, [len(keys)]))
     group = np.repeat(np.arange(len(starts)), ends - starts)
-    fps = fps[np.lexsort((fps, group))]
-    many = ends - starts > 1
-    a, b = _pairs(fps, starts[many], ends[many], budget)
+    order = np.lexsort((fps, group))
+    fps = fps[order]
+    if wide is None:
+        many = ends - starts > 1
+        a, b = _pairs(fps, starts[many], ends[many], budget)
+    else:
+        wide = wide[order]
+        stays, a, b = _through_leaders(group, fps, wide)
+        before = np.concatenate(([0], np.cumsum(stays)))
+        starts, ends = before[starts], before[ends]
+        many = ends - starts > 1
+        place = np.flatnonzero(stays)
+        x, y = _pairs(fps[place], starts[many], ends[many], budget, 31, wide[place])
+        a, b = np.concatenate((a, place[x])), np.concatenate((b, place[y]))
     moved, root = _spanning(len(fps), a, b)
-    return fps[moved], fps[root]
+    return order[moved], order[root]
+
+
+def _through_leaders(group: np.ndarray, fps: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which rows go on into the tries, and links among crowds of equal halves.
+
+    A crowd's first row leads; all rows near it are linked to it, and the
+    first that is near no leader leads next.  Only leaders go on.
+    """
+    stays, a, b = np.ones(len(fps), bool), [], []
+    edge = np.flatnonzero((fps[1:] != fps[:-1]) | (group[1:] != group[:-1])) + 1
+    starts, ends = np.concatenate(([0], edge)), np.concatenate((edge, [len(fps)]))
+    for i, j in zip(starts.tolist(), ends.tolist(), strict=True):
+        if j - i <= CROWD:
+            continue
+        free = np.ones(j - i, bool)
+        while free.any():
+            leader = i + int(np.argmax(free))
+            near = np.bitwise_count(wide[i:j] ^ wide[leader]).sum(axis=1) <= WIDE_BUDGET
+            rows = i + np.flatnonzero(near)
+            a.append(rows)
+            b.append(np.full(len(rows), leader))
+            free &= ~near
+            stays[rows] = False
+        stays[np.unique(np.concatenate([x[:1] for x in b if i <= x[0] < j]))] = True
+    none = np.empty(0, np.int64)
+    return stays, np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
 def _masks(blocks: list[int], bits: int, parts: int) -> list[list[int]]:
@@ -142,8 +237,31 @@ def near_links(distinct: DataFrame, budget: int = 2, trie_rows: int = TRIE_ROWS)
     A trie of more than ``trie_rows`` fingerprints is dealt into smaller ones
     by blocks of its other bits, again and again while bits last.
     """
-    chosen: list[list[int]] = _masks(list(range(64)), 64, budget + 1)
-    keyed = distinct.select("fp", F.explode(F.array(*[F.lit(_mask(m)) for m in chosen])).alias("mask"))
+    return _linked(_in_tries(distinct, list(range(64)), 0, budget, trie_rows), budget, [])
+
+
+def wide_links(classes: DataFrame, trie_rows: int = TRIE_ROWS) -> DataFrame:
+    """Links ``a, b`` between the numbers (``node``) of near wide fingerprints.
+
+    Two are compared in full if any of their halves differ in ``HALF_BUDGET``
+    bits or fewer.
+    """
+    halves = [F.col(w).bitwiseAND(0xFFFFFFFF) if low else F.shiftrightunsigned(w, 32) for w in WORDS for low in (True, False)]
+    lanes = F.array(*[h.bitwiseOR(F.lit(k << 32)) for k, h in enumerate(halves)])
+    rows = classes.select("node", *WORDS, F.explode(lanes).alias("fp"))
+    lane_bits = sum(1 << b for b in range(32, 32 + (2 * WIDE - 1).bit_length()))
+    return _linked(_in_tries(rows, list(range(32)), lane_bits, HALF_BUDGET, trie_rows), HALF_BUDGET, WORDS)
+
+
+def _in_tries(rows: DataFrame, bits: list[int], always: int, budget: int, trie_rows: int) -> DataFrame:
+    """``rows`` with the ``mask`` and ``value`` of each trie that they lie in.
+
+    Masks take some of ``bits`` and those of ``always``.
+    """
+    columns = rows.columns
+    mask_of = lambda m: _mask(m) | always if always else _mask(m)
+    chosen: list[list[int]] = _masks(bits, len(bits), budget + 1)
+    keyed = rows.withColumn("mask", F.explode(F.array(*[F.lit(mask_of(m)) for m in chosen])))
     keyed = keyed.withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
     done = None
     for _ in range(3):
@@ -155,47 +273,47 @@ def near_links(distinct: DataFrame, budget: int = 2, trie_rows: int = TRIE_ROWS)
         done = rest if done is None else done.unionByName(rest)
         deeper, nexts = [], []
         for m in chosen:
-            free = [b for b in range(64) if b not in m]
+            free = [b for b in bits if b not in m]
             for more in _masks(free, len(free), budget + 1):
                 nexts.append(m + more)
-                deeper.append((_mask(m), _mask(m + more)))
+                deeper.append((mask_of(m), mask_of(m + more)))
         chosen = nexts
         table = F.create_map(*[x for m in dict.fromkeys(d[0] for d in deeper) for x in (F.lit(m), F.array(*[F.lit(n) for k, n in deeper if k == m]))])
-        keyed = keyed.join(big, ["mask", "value"], "left_semi").select("fp", F.explode(table[F.col("mask")]).alias("mask"))
+        keyed = keyed.join(big, ["mask", "value"], "left_semi").select(*columns, F.explode(table[F.col("mask")]).alias("mask"))
         keyed = keyed.withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
-    keyed = keyed if done is None else done.unionByName(keyed)
+    return keyed if done is None else done.unionByName(keyed)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-            a, b = _join_tries(keys, fps, budget)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        rows = 0
+def _linked(keyed: DataFrame, budget: int, words: list[str]) -> DataFrame:
+    """Links within tries: between fingerprints, or nodes if there are wide ``words``."""
+    at_once = 20_000 if words else 200_000
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(rows: np.ndarray) -> pa.RecordBatch:
+            wide = np.ascontiguousarray(rows[:, 4:]).view(np.uint64) if words else None
+            a, b = _join_tries(rows[:, 1:3], np.ascontiguousarray(rows[:, 0]).view(np.uint64) & low, budget, wide)
+            names = rows[:, 3 if words else 0]
+            return pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b])], ["a", "b"])
+
+        low = np.uint64(0xFFFFFFFF if words else 0xFFFFFFFFFFFFFFFF)
+        held: list[np.ndarray] = []
+        count = 0
         for batch in batches:
-            key = np.column_stack([batch.column(1).to_numpy(), batch.column(2).to_numpy()])
-            held.append((key, batch.column(0).to_numpy().view(np.uint64)))
-            rows += len(key)
-            if rows < 200_000:
+            held.append(np.column_stack([c.to_numpy() for c in batch.columns]))
+            count += len(held[-1])
+            if count < at_once:
                 continue
-            keys, fps = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            whole = np.flatnonzero(np.any(keys != keys[-1], axis=1))
+            rows = np.concatenate(held)
+            whole = np.flatnonzero(np.any(rows[:, 1:3] != rows[-1, 1:3], axis=1))
             cut = whole[-1] + 1 if len(whole) else 0  # the last trie may go on
             if cut:
-                yield links(keys[:cut], fps[:cut])
-            held, rows = [(keys[cut:], fps[cut:])], len(keys) - cut
-        if rows:
-            yield links(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+                yield links(rows[:cut])
+            held, count = [rows[cut:]], len(rows) - cut
+        if count:
+            yield links(np.concatenate(held))
 
     dealt = keyed.repartition("mask", "value").sortWithinPartitions("mask", "value")
-    return dealt.select("fp", "mask", "value").mapInArrow(run, "a long, b long")
-
-
-def _rooted(table: DataFrame, least, budget: int) -> DataFrame:
-    """Each ``fp`` of ``table`` with the least value of its rows and its component's ``root``."""
-    classes = materialize(table.groupBy("fp").agg(F.min(least).alias("least")), "classes")
-    roots = materialize(connected_components(near_links(classes.select("fp"), budget)), "roots")
-    return classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return dealt.select("fp", "mask", "value", *(["node", *words] if words else [])).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 2) -> DataFrame:
@@ -208,23 +326,40 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     texts are fingerprinted each; repeated rows are kept.
     """
     table = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
-    named = _rooted(table, "doc_id", budget)
+    classes = materialize(table.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    roots = materialize(connected_components(near_links(classes.select("fp"), budget)), "roots")
+    named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = named.join(least, "root").select("fp", "component_id")
     return table.join(labels, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_each(docs: DataFrame, *, shingle: int = 3, budget: int = 2) -> DataFrame:
+def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """``doc_id, key_a, key_b, root`` of every row: its component of near copies.
+
+    Texts are near if their wide fingerprints differ in ``WIDE_BUDGET`` bits or
+    fewer, about a similarity (Jaccard's, of the sets of ``shingle`` words) of
+    0.8; ``root`` is a number that means nothing but the component.  Texts
+    without words are one another's copies, null ones too.
+    """
+    table = materialize(wide_fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
+    classes = materialize(table.groupBy(*WORDS).agg(F.count("*").alias("n")).drop("n").withColumn("node", F.monotonically_increasing_id()), "classes")
+    roots = materialize(connected_components(wide_links(classes)), "roots").withColumnRenamed("node", "linked")
+    named = classes.join(roots, classes.node == roots.linked, "left").select(*WORDS, F.coalesce("root", "node").alias("root"))
+    return table.join(named, WORDS).select("doc_id", "key_a", "key_b", "root")
+
+
+def keep_one_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """``docs``, columns unchanged, with exactly one row of each component.
 
-    That is the row of the least id, null ids last; of rows that share it the
-    one of the least fingerprint, then of the least hash of id and text.  Of
-    rows alike in id and text any one stays.
+    See :func:`near_components`.  The row kept is that of the least id, null
+    ids last; of rows that share it the one of the least hash of id and text.
+    Of rows alike in id and text any one stays.
     """
-    table = materialize(fingerprints(docs, shingle=shingle, keys=True), "fingerprints")
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "key_a", "key_b")
-    best = _rooted(table, order, budget).groupBy("root").agg(F.min("least").alias("least"))
-    keep = best.select(F.col("least.key_a").alias("_key_a"), F.col("least.key_b").alias("_key_b"))
-    key_a, key_b = _row_keys("doc_id", "text")
-    marked = docs.withColumns({"_key_a": key_a, "_key_b": key_b})
-    return marked.join(keep, ["_key_a", "_key_b"], "left_semi").dropDuplicates(["_key_a", "_key_b"]).select(*docs.columns)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key_a", "key_b")
+    best = near_components(docs, id_col=id_col, text_col=text_col, shingle=shingle).groupBy("root").agg(F.min(order).alias("least"))
+    a, b = free_name(docs, "_key_a"), free_name(docs, "_key_b")
+    keep = best.select(F.col("least.key_a").alias(a), F.col("least.key_b").alias(b))
+    key_a, key_b = _row_keys(id_col, text_col)
+    marked = docs.withColumns({a: key_a, b: key_b})
+    return marked.join(keep, [a, b], "left_semi").dropDuplicates([a, b]).select(*docs.columns)

@@ -1,55 +1,16 @@
-"""Tables that cut lineage, in the folder that the cluster shares.
+"""Tables that cut lineage, and batches of bounded size.
 
-``spark.checkpoint.dir`` names that folder.  It is read from the session; only
-where it is unset (local tests) a temporary folder is made, which is safe there
-because driver and executors are one process.
+The tables lie in the folder that the cluster shares: see
+:mod:`panelloom.sources.shared`.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from panelloom.sources.shared import discard, exists, free_name, materialize, shared_dir
 
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for tables that are written and read again."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="panelloom-"))
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_path = path
-    return out
-
-
-def free_name(df: DataFrame, name: str) -> str:
-    """``name``, with underscores added until no column of ``df`` has it."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
-def discard(df: DataFrame) -> None:
-    """Delete what :func:`materialize` wrote; ``df`` must not be read afterwards."""
-    path = getattr(df, "_written_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+__all__ = ["bounded_batches", "discard", "exists", "free_name", "materialize", "shared_dir"]
 
 
 def bounded_batches(spark: SparkSession, rows: int = 2000, mb: int = 16) -> None:
