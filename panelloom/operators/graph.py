@@ -11,12 +11,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelloom.operators.components import connected_components
+
 BLOCK_ROWS = 4096
 
 
-def _paired(rows: DataFrame, n_rows: int | None):
+def _paired(rows: DataFrame, count: int):
     """``rows`` grouped by pairs of blocks: those that ask and those that are asked."""
-    count = rows.count() if n_rows is None else n_rows
     blocks = max(1, -(-count // BLOCK_ROWS))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     base = rows.withColumn("own_block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
@@ -25,29 +26,51 @@ def _paired(rows: DataFrame, n_rows: int | None):
     return left.unionByName(right).drop("own_block").groupBy("a", "b")
 
 
+def whole_vectors(vectors: DataFrame) -> DataFrame:
+    """``id, vector`` in doubles of the rows that have an id and no missing coordinate."""
+    x = F.col("vector").cast("array<double>")
+    return vectors.where(F.col("id").isNotNull() & F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v)), F.lit(False))).select("id", x.alias("vector"))
+
+
+def _nearest_in(y: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ``x`` and ``y`` and distances: at least the k nearest ``y`` of each ``x``.
+
+    One matrix product finds candidates; distances are then taken from the
+    differences, so that they do not suffer from cancellation.
+    """
+    rough = (y * y).sum(1) - 2 * (x @ y.T)
+    size = (x * x).sum(1)
+    slack = 1e-9 * (size + np.abs(rough).max(initial=0.0)) + 1e-12
+    near = rough <= (np.partition(rough, k - 1, axis=1)[:, k - 1] + slack)[:, None] if k < len(y) else np.ones(rough.shape, bool)
+    i, j = np.nonzero(near)
+    return i, j, np.sqrt(((y[j] - x[i]) ** 2).sum(1))
+
+
 def knn(vectors: DataFrame, k: int, n_rows: int | None = None) -> DataFrame:
     """``src, dst, distance, rank``: the exact k nearest by Euclid, ties to the least id.
 
-    Blocks of rows meet pairwise in NumPy, each pair keeps k partners of a
-    row, and a window takes the k best of all blocks.
+    Rows without an id or with a missing coordinate are left out; ids are
+    distinct, and ``k`` must be less than their number.  Blocks of rows meet
+    pairwise in NumPy, each pair keeps k partners of a row, and a window takes
+    the k best of all blocks.
     """
-    base = vectors.select("id", F.col("vector").cast("array<double>").alias("vector"))
+    base = whole_vectors(vectors)
+    count = base.count() if n_rows is None else n_rows
+    if not 0 < k < count:
+        raise ValueError("k must be positive and less than the number of rows")
 
     def nearest(part: pd.DataFrame) -> pd.DataFrame:
         asks, has = part[part["asks"]], part[~part["asks"]].sort_values("id")
         if asks.empty or has.empty:
             return pd.DataFrame({"src": [], "dst": [], "distance": []})
-        x, y, ids = np.stack(asks["vector"]), np.stack(has["vector"]), has["id"].to_numpy()
-        out = []
-        for i, row in zip(asks["id"].to_numpy(), x, strict=True):
-            d = np.sqrt(((y - row) ** 2).sum(1))
-            d[ids == i] = np.inf
-            best = np.argsort(d, kind="stable")[:k]
-            best = best[np.isfinite(d[best])]
-            out.append(pd.DataFrame({"src": i, "dst": ids[best], "distance": d[best]}))
-        return pd.concat(out)
-
-    pairs = _paired(base, n_rows).applyInPandas(nearest, "src long, dst long, distance double")
+        x, y = np.stack(asks["vector"]), np.stack(has["vector"])
+        i, j, d = _nearest_in(y, x, k + 1)  # one may be the row itself
+        src, dst = asks["id"].to_numpy()[i], has["id"].to_numpy()[j]
+        others = src != dst
+        out = pd.DataFrame({"src": src[others], "dst": dst[others], "distance": d[others]}).sort_values(["src", "distance", "dst"])
+        return out.groupby("src", sort=False).head(k)
+
+    pairs = _paired(base, count).applyInPandas(nearest, "src long, dst long, distance double")
     rank = F.row_number().over(Window.partitionBy("src").orderBy("distance", "dst"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -75,14 +98,46 @@ def mirrored(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
 
 
-def structure(edges: DataFrame) -> DataFrame:
-    """One row: edges, nodes with edges, mean degree, triangles, transitivity."""
-    degree = mirrored(edges).groupBy("src").agg(F.count("*").alias("d"))
-    totals = degree.agg(F.count("*").alias("n_nodes"), F.avg("d").alias("mean_degree"), F.sum(F.expr("d * (d - 1) / 2")).alias("triples"), (F.sum("d") / 2).cast("long").alias("n_edges"))
-    e = edges.select("src", "dst")
-    wedge = e.alias("x").join(e.alias("y"), F.col("x.dst") == F.col("y.src")).select(F.col("x.src").alias("src"), F.col("y.dst").alias("dst"))
-    triangles = wedge.join(e, ["src", "dst"]).agg(F.count("*").alias("n_triangles"))
-    return totals.join(F.broadcast(triangles)).select("n_nodes", "n_edges", "mean_degree", "n_triangles", F.try_divide(3 * F.col("n_triangles"), "triples").alias("transitivity"))
+def summary(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row over ``nodes`` (id): edges, components, isolates, mean degree, median strength.
+
+    Edges of no weight do not count.  Ends that are not among the nodes are
+    not looked for; the median is over all nodes, isolates having none.
+    """
+    live = edges.where("weight > 0")
+    per = nodes.select("id").distinct().join(mirrored(live).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("d"), F.sum("weight").alias("s")), "id", "left").fillna(0, ["d", "s"])
+    inner = connected_components(live.select(F.col("src").alias("a"), F.col("dst").alias("b"))).agg(F.count_distinct("root").alias("inner"))
+    totals = per.agg((F.sum("d") / 2).cast("long").alias("n_edges"), F.count(F.when(F.col("d") == 0, 1)).alias("n_isolates"), F.avg("d").alias("mean_degree"), F.median("s").alias("median_strength"))
+    return totals.crossJoin(F.broadcast(inner)).select("n_edges", (F.col("inner") + F.col("n_isolates")).alias("n_components"), "n_isolates", "mean_degree", "median_strength")
+
+
+def triangles(edges: DataFrame) -> DataFrame:
+    """One row: how many triangles.  Wedges start at the end of lesser degree,
+    so that a hub does not square."""
+    degree = mirrored(edges).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("d"))
+    rank = lambda end: degree.select(F.col("node").alias(end), F.struct("d", "node").alias(f"r_{end}"))
+    ranked = edges.select("src", "dst").join(rank("src"), "src").join(rank("dst"), "dst")
+    up = ranked.select(F.least("r_src", "r_dst").alias("low"), F.greatest("r_src", "r_dst").alias("high"))
+    wedge = up.alias("x").join(up.alias("y"), (F.col("x.low") == F.col("y.low")) & (F.col("x.high") < F.col("y.high"))).select(F.col("x.high").alias("low"), F.col("y.high").alias("high"))
+    return wedge.join(up, ["low", "high"]).agg(F.count("*").alias("n_triangles"))
+
+
+def structure(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row over ``nodes`` (id and any groupings): degree, triangles and shares within groups.
+
+    ``within_x`` is the share of edges that join members of one group of
+    column ``x``, null without edges; transitivity is null without triples.
+    """
+    degree = mirrored(edges).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("d"))
+    groupings = [c for c in nodes.columns if c != "id"]
+    totals = nodes.select("id").join(degree, "id", "left").fillna(0, ["d"]).agg(F.count("*").alias("n_nodes"), F.avg("d").alias("mean_degree"), F.sum(F.expr("d * (d - 1) / 2")).alias("triples"), (F.sum("d") / 2).cast("long").alias("n_edges"), F.count(F.when(F.col("d") == 0, 1)).alias("n_isolates"))
+    ends = edges.select("src", "dst")
+    for end in ("src", "dst"):
+        ends = ends.join(nodes.select(F.col("id").alias(end), *[F.col(g).alias(f"{end}_{g}") for g in groupings]), end)
+    same = ends.agg(F.count("*").alias("joined"), *[F.avg((F.col(f"src_{g}") == F.col(f"dst_{g}")).cast("double")).alias(f"within_{g}") for g in groupings]).drop("joined")
+    inner = connected_components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))).agg(F.count_distinct("root").alias("inner"))
+    one = totals.crossJoin(F.broadcast(triangles(edges))).crossJoin(F.broadcast(same)).crossJoin(F.broadcast(inner)) if groupings else totals.crossJoin(F.broadcast(triangles(edges))).crossJoin(F.broadcast(inner))
+    return one.select("n_nodes", "n_edges", (F.col("inner") + F.col("n_isolates")).alias("n_components"), "n_isolates", "mean_degree", "n_triangles", F.try_divide(3 * F.col("n_triangles"), "triples").alias("transitivity"), *[f"within_{g}" for g in groupings])
 
 
 def edge_jaccard(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -91,32 +146,53 @@ def edge_jaccard(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def block_sums(edges: DataFrame, partition: DataFrame, binary: bool = True) -> DataFrame:
-    """``ci, cj, b``: weight between clusters, inside counted twice."""
-    ends = mirrored(edges).join(partition.select(F.col("id").alias("src"), F.col("cluster").alias("ci")), "src").join(partition.select(F.col("id").alias("dst"), F.col("cluster").alias("cj")), "dst")
+    """``ci, cj, b``: weight between clusters, inside counted twice; edges of no weight do not count."""
+    live = mirrored(edges.where("weight > 0")) if "weight" in edges.columns else mirrored(edges.withColumn("weight", F.lit(1.0)))
+    ends = live.join(partition.select(F.col("id").alias("src"), F.col("cluster").alias("ci")), "src").join(partition.select(F.col("id").alias("dst"), F.col("cluster").alias("cj")), "dst")
     return ends.groupBy("ci", "cj").agg((F.count("*").cast("double") if binary else F.sum("weight")).alias("b"))
 
 
-def network_indices(blocks: DataFrame) -> DataFrame:
-    """One row: AVI, Newman's Q and TurboMQ of :func:`block_sums`."""
+def _per_cluster(blocks: DataFrame, partition: DataFrame) -> DataFrame:
+    """``ci, inside, s`` of every cluster of the partition, those without edges too."""
     inside = F.sum(F.when(F.col("ci") == F.col("cj"), F.col("b")).otherwise(0.0))
-    per = blocks.groupBy("ci").agg(inside.alias("inside"), F.sum("b").alias("s"))
+    sums = blocks.groupBy("ci").agg(inside.alias("inside"), F.sum("b").alias("s"))
+    return partition.select(F.col("cluster").alias("ci")).distinct().join(sums, "ci", "left").fillna(0.0, ["inside", "s"])
+
+
+def network_indices(blocks: DataFrame, partition: DataFrame) -> DataFrame:
+    """One row: k, AVI, Newman's Q and TurboMQ of :func:`block_sums` of a partition.
+
+    With fewer than two clusters all are null.  A cluster without edges makes
+    AVI null (``avi_undefined`` counts such) and adds nothing to TurboMQ; Q is
+    null without any edge.
+    """
+    per = _per_cluster(blocks, partition)
     total = per.agg(F.sum("s").alias("m2"))
-    out = F.col("s") - F.col("inside")
+    some = F.count("*") > 1
+    undefined = F.count(F.when(F.col("s") == 0, 1))
     return per.join(F.broadcast(total)).agg(
-        F.avg(F.try_divide("inside", "s")).alias("avi"),
-        F.sum(F.try_divide("inside", "m2") - F.pow(F.try_divide("s", "m2"), 2)).alias("newman_q"),
-        F.sum(F.coalesce(F.try_divide("inside", F.col("inside") + out), F.lit(0.0))).alias("turbo_mq"),
+        F.count("*").alias("k"),
+        F.when(some & (undefined == 0), F.avg(F.try_divide("inside", "s"))).alias("avi"),
+        undefined.alias("avi_undefined"),
+        F.when(some, F.sum(F.try_divide("inside", "m2") - F.pow(F.try_divide("s", "m2"), 2))).alias("newman_q"),
+        F.when(some, F.sum(F.coalesce(F.try_divide("inside", "s"), F.lit(0.0)))).alias("turbo_mq"),
     )
 
 
-def avu(blocks: DataFrame) -> DataFrame:
-    """One row: the mean over clusters of B_ij / (out_i + out_j - B_ij), NULL if undefined."""
-    outs = blocks.where("ci <> cj").groupBy("ci").agg(F.sum("b").alias("o"))
-    clusters = blocks.select("ci").distinct()
-    pairs = clusters.select("ci").join(F.broadcast(clusters.select(F.col("ci").alias("cj"))), F.col("ci") != F.col("cj"))
-    full = pairs.join(blocks, ["ci", "cj"], "left").join(outs, "ci", "left").join(outs.select(F.col("ci").alias("cj"), F.col("o").alias("oj")), "cj", "left").fillna(0.0, ["b", "o", "oj"])
-    term = F.try_divide(F.col("b"), F.col("o") + F.col("oj") - F.col("b"))
-    return full.agg(F.when(F.count(term) == F.count("*"), F.sum(term) / F.count_distinct("ci")).alias("avu"))
+def avu(blocks: DataFrame, partition: DataFrame) -> DataFrame:
+    """One row: the sum over ordered pairs of B_ij / (out_i + out_j - B_ij), over k.
+
+    Null if any term has no positive denominator, which ``undefined_pairs``
+    counts, and for fewer than two clusters.  Pairs of clusters without edges
+    between them add nothing and are not made: among the k clusters only those
+    that no edge leaves can have an undefined pair.
+    """
+    outs = _per_cluster(blocks, partition).select("ci", (F.col("s") - F.col("inside")).alias("o"))
+    cross = blocks.where("ci <> cj").join(outs, "ci").join(outs.select(F.col("ci").alias("cj"), F.col("o").alias("oj")), "cj")
+    terms = cross.agg(F.coalesce(F.sum(F.try_divide(F.col("b"), F.col("o") + F.col("oj") - F.col("b"))), F.lit(0.0)).alias("terms"), F.count(F.when(F.col("o") + F.col("oj") - F.col("b") <= 0, 1)).alias("zero_linked"))
+    closed = outs.agg(F.count("*").alias("k"), F.count(F.when(F.col("o") == 0, 1)).alias("shut"))
+    one = closed.crossJoin(F.broadcast(terms)).withColumn("undefined_pairs", F.col("shut") * (F.col("shut") - 1) + F.col("zero_linked"))
+    return one.select(F.when((F.col("k") > 1) & (F.col("undefined_pairs") == 0), F.col("terms") / F.col("k")).alias("avu"), "undefined_pairs")
 
 
 def calinski_harabasz(vectors: DataFrame, partition: DataFrame) -> DataFrame:
@@ -134,13 +210,12 @@ def calinski_harabasz(vectors: DataFrame, partition: DataFrame) -> DataFrame:
     return sums.select(ch.alias("ch"), (ch / F.col("n")).alias("ch_over_n"))
 
 
-def silhouette(vectors: DataFrame, partition: DataFrame, n_rows: int | None = None) -> DataFrame:
-    """One row: the mean exact Euclidean silhouette and the share below nought.
+def distance_sums(vectors: DataFrame, partition: DataFrame, n_rows: int | None = None) -> DataFrame:
+    """``id, own, other, total, n``: the sum of each row's distances to each cluster's ``n`` members.
 
-    A singleton cluster and a zero denominator give 0; one cluster gives NULL.
     Blocks meet pairwise in NumPy and pass on sums by cluster, not distances.
     """
-    base = vectors.select("id", F.col("vector").cast("array<double>").alias("vector")).join(partition.select("id", F.col("cluster").cast("long").alias("cluster")), "id")
+    base = whole_vectors(vectors).join(partition.select("id", F.col("cluster").cast("long").alias("cluster")), "id")
 
     def sums(part: pd.DataFrame) -> pd.DataFrame:
         asks, has = part[part["asks"]], part[~part["asks"]]
@@ -149,12 +224,24 @@ def silhouette(vectors: DataFrame, partition: DataFrame, n_rows: int | None = No
         x, y = np.stack(asks["vector"]), np.stack(has["vector"])
         names, place = np.unique(has["cluster"].to_numpy(), return_inverse=True)
         n = np.bincount(place)
-        totals = [np.bincount(place, np.sqrt(((y - row) ** 2).sum(1)), len(names)) for row in x]
         k = len(names)
-        return pd.DataFrame({"id": np.repeat(asks["id"].to_numpy(), k), "own": np.repeat(asks["cluster"].to_numpy(), k), "other": np.tile(names, len(x)), "total": np.concatenate(totals), "n": np.tile(n, len(x))})
+        member = np.zeros((len(y), k))
+        member[np.arange(len(y)), place] = 1.0
+        totals = []
+        for i in range(0, len(x), 16):  # differences, not products, for the sake of small distances
+            totals.append(np.sqrt(((x[i : i + 16, None, :] - y[None]) ** 2).sum(2)) @ member)
+        return pd.DataFrame({"id": np.repeat(asks["id"].to_numpy(), k), "own": np.repeat(asks["cluster"].to_numpy(), k), "other": np.tile(names, len(x)), "total": np.concatenate(totals).ravel(), "n": np.tile(n, len(x))})
+
+    met = _paired(base, base.count() if n_rows is None else n_rows).applyInPandas(sums, "id long, own long, other long, total double, n long")
+    return met.groupBy("id", "own", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+
+
+def silhouette(vectors: DataFrame, partition: DataFrame, n_rows: int | None = None) -> DataFrame:
+    """One row: the mean exact Euclidean silhouette and the share below nought.
 
-    met = _paired(base, n_rows).applyInPandas(sums, "id long, own long, other long, total double, n long")
-    whole = met.groupBy("id", "own", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    A singleton cluster and a zero denominator give 0; one cluster gives NULL.
+    """
+    whole = distance_sums(vectors, partition, n_rows)
     inside = F.col("own") == F.col("other")
     near = whole.groupBy("id").agg(F.max(F.when(inside & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))).alias("a"), F.min(F.when(~inside, F.col("total") / F.col("n"))).alias("b"))
     larger = F.greatest("a", "b")

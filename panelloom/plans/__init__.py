@@ -1 +1,3 @@
+"""Queries over the driver's tables; importing this package registers them all."""
 
+from panelloom.plans import graphs, queries  # noqa: F401

@@ -2,35 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelloom.operators import graph, panel, series, stats
+from panelloom.plans.registry import ORACLE_SQL, QUERIES, query, rounded, table
 
-YEARS, SEGMENTS, CUTOFF, FIRST_YEAR = 6, 5, 1998, 1995
-PLACES = 6
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str):
-    def add(function):
-        QUERIES[function.__name__] = function
-        ORACLE_SQL[function.__name__] = sql
-        return function
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, PLACES) for c in columns})
+YEARS, SEGMENTS, CUTOFF, FIRST_YEAR = 6, 5, 1998, 1995
 
 
 def brand_year(spark: SparkSession, sf_dir: str, months: bool = False) -> DataFrame:
@@ -206,11 +186,23 @@ def local_scale_graph(spark, sf_dir):
     return rounded(graph.local_scale(graph.knn(vectors(spark, sf_dir), 15)), "weight")
 
 
-@query(f"""WITH {_G}, g AS (SELECT src, count(*) AS d FROM m GROUP BY src),
-tri AS (SELECT count(*) AS n_triangles FROM e x JOIN e y ON x.dst = y.src JOIN e z ON z.src = x.src AND z.dst = y.dst)
-SELECT count(*) AS n_nodes, CAST(sum(d) / 2 AS BIGINT) AS n_edges, round(avg(d), 6) AS mean_degree, any_value(n_triangles) AS n_triangles, round(3 * any_value(n_triangles) / sum(d * (d - 1) / 2), 6) AS transitivity FROM g, tri""")
+#: Components of the graph: each node's least reachable one.
+_REACH = """WITH RECURSIVE {0}, nodes AS (SELECT vec_id AS id, label FROM embeddings), reach AS (SELECT id, id AS root FROM nodes UNION SELECT m.dst, r.root FROM reach r JOIN m ON m.src = r.id),
+comp AS (SELECT id, min(root) AS root FROM reach GROUP BY id)"""
+
+
+@query(_REACH.format(_G) + """, g AS (SELECT nodes.id, count(src) AS d FROM nodes LEFT JOIN m ON src = id GROUP BY nodes.id),
+tri AS (SELECT count(*) AS t FROM e x JOIN e y ON x.dst = y.src JOIN e z ON z.src = x.src AND z.dst = y.dst), wi AS (SELECT avg((a.label = b.label)::INT::DOUBLE) AS s FROM e JOIN nodes a ON src = a.id JOIN nodes b ON dst = b.id)
+SELECT count(*) AS n_nodes, CAST(sum(d) / 2 AS BIGINT) AS n_edges, (SELECT count(DISTINCT root) FROM comp) AS n_components, count(*) FILTER (WHERE d = 0) AS n_isolates, round(avg(d), 6) AS mean_degree, (SELECT t FROM tri) AS n_triangles,
+round(3 * (SELECT t FROM tri) / sum(d * (d - 1) / 2), 6) AS transitivity, round((SELECT s FROM wi), 6) AS within_cluster FROM g""")
 def graph_structure(spark, sf_dir):
-    return rounded(graph.structure(knn_edges(spark, sf_dir)), "mean_degree", "transitivity")
+    return rounded(graph.structure(knn_edges(spark, sf_dir), labels(spark, sf_dir)), "mean_degree", "transitivity", "within_cluster")
+
+
+@query(_REACH.format(_G.replace("e AS (SELECT src, dst, max(weight)", "e AS (SELECT src, dst, max(weight)").replace("rank <= 15", "rank <= 2")) + """, st AS (SELECT nodes.id, count(e1.src) AS d, coalesce(sum(e1.weight), 0) AS s FROM nodes LEFT JOIN (SELECT src, dst, weight FROM e UNION ALL SELECT dst, src, weight FROM e) e1 ON e1.src = nodes.id GROUP BY nodes.id)
+SELECT CAST(sum(d) / 2 AS BIGINT) AS n_edges, (SELECT count(DISTINCT root) FROM comp) AS n_components, count(*) FILTER (WHERE d = 0) AS n_isolates, round(avg(d), 6) AS mean_degree, round(median(s), 6) AS median_strength FROM st""")
+def graph_summary(spark, sf_dir):
+    return rounded(graph.summary(knn_edges(spark, sf_dir, 2), labels(spark, sf_dir)), "mean_degree", "median_strength")
 
 
 @query(f"""WITH {_G}, t10 AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM k WHERE rank <= 10)
@@ -226,16 +218,42 @@ def block_sums(spark, sf_dir):
     return graph.block_sums(knn_edges(spark, sf_dir), labels(spark, sf_dir))
 
 
-@query(f"""WITH {_G}, per AS (SELECT ci, coalesce(sum(b) FILTER (WHERE ci = cj), 0) AS i, sum(b) AS s FROM b GROUP BY ci)
-SELECT round(avg(i / s), 6) AS avi, round(sum(i / t - (s / t) ** 2), 6) AS newman_q, round(sum(i / s), 6) AS turbo_mq FROM per, (SELECT sum(s) AS t FROM per)""")
+#: The labels, all in one cluster, and the labels beside a cluster without edges.
+_PARTS = """parts AS (SELECT 'labels' AS part, id, cluster FROM l UNION ALL SELECT 'one', id, 0 FROM l UNION ALL SELECT 'edgeless', id, cluster FROM l UNION ALL SELECT 'edgeless', -1, 99 UNION ALL SELECT 'two edgeless', id, cluster FROM l UNION ALL SELECT 'two edgeless', -1, 99 UNION ALL SELECT 'two edgeless', -2, 98),
+bp AS (SELECT x.part, x.cluster AS ci, y.cluster AS cj, count(*)::DOUBLE AS b FROM m JOIN parts x ON src = x.id JOIN parts y ON dst = y.id AND x.part = y.part GROUP BY ALL),
+per AS (SELECT c.part, c.ci, coalesce(i, 0) AS i, coalesce(s, 0) AS s FROM (SELECT DISTINCT part, cluster AS ci FROM parts) c LEFT JOIN (SELECT part, ci, coalesce(sum(b) FILTER (WHERE ci = cj), 0) AS i, sum(b) AS s FROM bp GROUP BY ALL) USING (part, ci))"""
+
+
+def partitions(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    own = labels(spark, sf_dir)
+    alone = own.sparkSession.createDataFrame([(-1, 99), (-2, 98)], "id long, cluster int")
+    kind = own.schema["cluster"].dataType
+    alone = alone.withColumn("cluster", F.col("cluster").cast(kind))
+    return {"labels": own, "one": own.withColumn("cluster", F.lit(0).cast(kind)), "edgeless": own.unionByName(alone.where("id = -1")), "two edgeless": own.unionByName(alone)}
+
+
+def of_partitions(spark: SparkSession, sf_dir: str, index) -> DataFrame:
+    """One row of ``index(blocks, partition)`` for each partition."""
+    edges, out = knn_edges(spark, sf_dir).cache(), None
+    for name, partition in partitions(spark, sf_dir).items():
+        row = index(graph.block_sums(edges, partition), partition).withColumn("part", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(f"""WITH {_G}, {_PARTS}
+SELECT part, count(*) AS k, round(CASE WHEN count(*) > 1 AND count(*) FILTER (WHERE s = 0) = 0 THEN avg(CASE WHEN s > 0 THEN i / s END) END, 6) AS avi, count(*) FILTER (WHERE s = 0) AS avi_undefined,
+round(CASE WHEN count(*) > 1 THEN sum(i / t - (s / t) ** 2) END, 6) AS newman_q, round(CASE WHEN count(*) > 1 THEN sum(CASE WHEN s > 0 THEN i / s ELSE 0 END) END, 6) AS turbo_mq FROM per JOIN (SELECT part, sum(s) AS t FROM per GROUP BY part) USING (part) GROUP BY part""")
 def network_indices(spark, sf_dir):
-    return rounded(graph.network_indices(graph.block_sums(knn_edges(spark, sf_dir), labels(spark, sf_dir))), "avi", "newman_q", "turbo_mq")
+    return rounded(of_partitions(spark, sf_dir, graph.network_indices), "avi", "newman_q", "turbo_mq")
 
 
-@query(f"""WITH {_G}, o AS (SELECT ci, sum(b) AS o FROM b WHERE ci <> cj GROUP BY ci), c AS (SELECT DISTINCT ci FROM b)
-SELECT round(sum(coalesce(b, 0) / (x.o + y.o - coalesce(b, 0))) / count(DISTINCT f.ci), 6) AS avu FROM c f JOIN c g ON f.ci <> g.ci LEFT JOIN b ON b.ci = f.ci AND b.cj = g.ci JOIN o x ON x.ci = f.ci JOIN o y ON y.ci = g.ci""")
+@query(f"""WITH {_G}, {_PARTS}, o AS (SELECT part, ci, s - i AS o FROM per),
+pr AS (SELECT x.part, x.ci, coalesce(b, 0) AS b, x.o + y.o - coalesce(b, 0) AS den FROM o x JOIN o y ON x.part = y.part AND x.ci <> y.ci LEFT JOIN bp ON bp.part = x.part AND bp.ci = x.ci AND bp.cj = y.ci),
+u AS (SELECT part, count(*) FILTER (WHERE den <= 0) AS undefined_pairs, sum(CASE WHEN den > 0 THEN b / den END) AS s FROM pr GROUP BY part), kc AS (SELECT part, count(*) AS nk FROM o GROUP BY part)
+SELECT part, round(CASE WHEN nk > 1 AND coalesce(undefined_pairs, 0) = 0 THEN s / nk END, 6) AS avu, coalesce(undefined_pairs, 0) AS undefined_pairs FROM kc LEFT JOIN u USING (part)""")
 def avu(spark, sf_dir):
-    return rounded(graph.avu(graph.block_sums(knn_edges(spark, sf_dir), labels(spark, sf_dir))), "avu")
+    return rounded(of_partitions(spark, sf_dir, graph.avu), "avu")
 
 
 @query(f"""WITH {_G}, per AS (SELECT cluster, dim, count(*) AS n, avg(x) AS m, var_pop(x) * count(*) AS w FROM v GROUP BY ALL), gr AS (SELECT dim, avg(x) AS g FROM v GROUP BY dim),
