@@ -18,7 +18,7 @@ n-grams, which it takes from its texts again.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import lgamma, log
 from typing import NamedTuple
 from zlib import crc32
@@ -39,7 +39,7 @@ END = b"\xff"
 BLOCK_BYTES = 16 << 20
 LEAST_BLOCKS = 8
 #: Bytes counted at a time.
-HELD = 4 << 20
+HELD = 2 << 20
 FOLDS, HELD_OUT = 7, 2
 GRAMS, WORDS = 0, 1
 PACKED = "lane int, bucket int, block int, codes binary, counts binary"
@@ -438,54 +438,57 @@ class _Numbered:
         self.values.append(values)
         self.places.append(places.astype(np.int32))
 
-    def whole(self) -> tuple[np.ndarray, Iterator[np.ndarray]]:
+    def whole(self) -> tuple[np.ndarray, Callable[[], Iterator[np.ndarray]]]:
         """The sorted distinct codes, and the places in them of each portion."""
         values, places = np.unique(np.concatenate(self.values), return_inverse=True)
-        starts = np.cumsum([0] + [len(v) for v in self.values]).tolist()
-        return values, (places[a:b][p] for a, b, p in zip(starts, starts[1:], self.places, strict=False))
+        ends = np.cumsum([len(v) for v in self.values])
+        parts = np.split(places.astype(np.int32), ends[:-1])
+        return values, lambda: (part[p] for part, p in zip(parts, self.places, strict=True))
 
 
 def _scored(texts: list[tuple], prices: dict[tuple[int, int], bytes], depth: int, buckets: int, tokens: int, floor: float) -> Iterator[tuple]:
     """Rows of the texts of one block."""
+    numbered, held, sizes = (_Numbered(), _Numbered()), ([], []), [0, 0]
     lengths: tuple[list[int], list[int]] = ([], [])
-    per_doc: list[list[np.ndarray]] = []
-    for lane, dtype in ((GRAMS, np.float32), (WORDS, np.int64)):
-        numbered, held, size = _Numbered(), [], 0
-        for _, text in texts:
-            words, joined = normal(text)
+    for _, text in texts:
+        words, joined = normal(text)
+        for lane, parts in ((GRAMS, _portions(joined, depth)), (WORDS, (word_codes(words),))):
             n = 0
-            for codes in _portions(joined, depth) if lane == GRAMS else (word_codes(words),):
-                held.append(codes)
+            for codes in parts:
+                held[lane].append(codes)
                 n += len(codes)
-                size += len(codes)
-                if size > HELD:
-                    numbered.add(held)
-                    held, size = [], 0
+                sizes[lane] += len(codes)
+                if sizes[lane] > HELD:
+                    numbered[lane].add(held[lane])
+                    held[lane].clear()
+                    sizes[lane] = 0
             lengths[lane].append(n)
-        if held:
-            numbered.add(held)
-        codes, portions = numbered.whole()
-        price = np.empty(len(codes), np.float64 if lane == GRAMS else np.int64)
+    told = []
+    for lane, dtype in ((GRAMS, np.float32), (WORDS, np.int64)):
+        if held[lane]:
+            numbered[lane].add(held[lane])
+            held[lane].clear()
+        codes, portions = numbered[lane].whole()
+        price = np.empty(len(codes), dtype)
         for b, mine in _by_bucket(codes, lane, depth, buckets):
             price[mine] = _unzip(prices[lane, b], dtype)
         ends = np.cumsum(lengths[lane])
         if lane == GRAMS:
-            per_doc.append([_sums((price[p] for p in portions), ends)])
+            told.append(_sums(price.astype(np.float64), portions(), ends))
         else:
-            known = [price[p] for p in portions]
-            per_doc.append([_sums((np.log10(c + 1.0) - floor for c in known), ends), _sums(((c > 0).astype(np.float64) for c in known), ends)])
-    (model,), (base, n_known) = per_doc
+            told += [_sums(np.log10(price + 1.0) - floor, portions(), ends), _sums((price > 0).astype(np.float64), portions(), ends)]
+    model, base, n_known = told
     for k, (doc_id, _) in enumerate(texts):
         yield doc_id, is_held_out(doc_id), lengths[WORDS][k], int(n_known[k]), tokens, float(base[k]), float(model[k]), float(-model[k] / np.log10(2) / lengths[GRAMS][k])
 
 
-def _sums(portions: Iterator[np.ndarray], ends: np.ndarray) -> np.ndarray:
-    """Sums of runs that end at ``ends`` of numbers that come in portions."""
+def _sums(values: np.ndarray, portions: Iterator[np.ndarray], ends: np.ndarray) -> np.ndarray:
+    """Sums of runs, which end at ``ends``, of the values at places that come in portions."""
     out, at = np.zeros(len(ends)), 0
-    for x in portions:
-        here = np.diff(np.clip(ends, at, at + len(x)), prepend=at)
-        out += np.bincount(np.repeat(np.arange(len(ends)), here), x, len(ends))
-        at += len(x)
+    for places in portions:
+        upto = np.concatenate(([0.0], np.cumsum(values[places])))
+        out += np.diff(upto[np.clip(ends - at, 0, len(places))], prepend=0.0)
+        at += len(places)
     return out
 
 
