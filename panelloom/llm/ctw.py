@@ -36,7 +36,7 @@ from panelloom.llm.text import LOWER, mix64, utf8
 DEPTH = 7
 END = b"\xff"
 #: Text per block of documents and per bucket of n-grams.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 LEAST_BLOCKS = 8
 #: Bytes counted at a time.
 HELD = 2 << 20
@@ -60,12 +60,13 @@ def normal(text: bytes) -> tuple[list[bytes], bytes]:
 
 def gram_codes(text: bytes, depth: int) -> np.ndarray:
     """Each byte and the end with its context: last byte first, then earlier ones, then the byte."""
-    s = np.frombuffer(END * depth + text + END, np.uint8)
+    raw = END * 7 + text + END
     n = len(text) + 1
-    code = s[depth:].astype(np.uint64)
-    for k in range(1, depth + 1):
-        code |= s[depth - k : depth - k + n].astype(np.uint64) << np.uint64(8 * (depth + 1 - k))
-    return code
+    window = np.ndarray((n,), "<u8", raw, strides=(1,))  # seven bytes, the earliest lowest, and the byte itself
+    code = (window << np.uint64(8)) | (window >> np.uint64(56))
+    if depth == 7:
+        return code
+    return ((code >> np.uint64(8 * (7 - depth))) & ~np.uint64(255)) | (code & np.uint64(255))
 
 
 def word_codes(words: list[bytes]) -> np.ndarray:
@@ -440,8 +441,10 @@ class _Numbered:
 
     def whole(self) -> tuple[np.ndarray, Callable[[], Iterator[np.ndarray]]]:
         """The sorted distinct codes, and the places in them of each portion."""
-        values, places = np.unique(np.concatenate(self.values), return_inverse=True)
         ends = np.cumsum([len(v) for v in self.values])
+        every = np.concatenate(self.values)
+        self.values.clear()
+        values, places = np.unique(every, return_inverse=True)
         parts = np.split(places.astype(np.int32), ends[:-1])
         return values, lambda: (part[p] for part, p in zip(parts, self.places, strict=True))
 
