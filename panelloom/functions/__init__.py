@@ -1 +1 @@
-
+"""Scalar functions of text, numbers, dates and places."""

@@ -1,3 +1,3 @@
 """Queries over the driver's tables; importing this package registers them all."""
 
-from panelloom.plans import graphs, partitions, queries, statistics  # noqa: F401
+from panelloom.plans import contracts, graphs, partitions, queries, statistics  # noqa: F401
