@@ -31,9 +31,23 @@ def with_total(panel: DataFrame) -> DataFrame:
     return panel.withColumn("total", F.sum("value").over(Window.partitionBy("entity", "period")))
 
 
-def hellinger(panel: DataFrame) -> DataFrame:
-    """The panel with ``coordinate``: the root of each share over root two."""
-    return with_total(panel).withColumn("coordinate", F.sqrt(F.try_divide("value", "total")) / F.sqrt(F.lit(2.0)))
+def hellinger(panel: DataFrame, total: str | None = None) -> DataFrame:
+    """The panel with ``coordinate``: the root of each share over root two.
+
+    Shares are of column ``total``, equal throughout an entity's period, and a
+    further row of category ``residual`` holds what the categories leave of
+    it; without a name they are of the categories' sum, which leaves nought.
+    A sum over the total, a negative value or a total of nought is an error.
+    """
+    own = F.sum("value").over(Window.partitionBy("entity", "period"))
+    rows = panel.withColumn("_sum", own).withColumn("_total", F.col(total) if total else F.col("_sum"))
+    left = F.col("_total") - F.col("_sum")
+    slack = 1e-9 * F.abs("_total")  # sums in another order may differ in their last bits
+    bad = F.col("value").isNull() | (F.col("value") < 0) | ~(F.col("_total") > 0) | (left < -slack)
+    rows = rows.withColumn("_total", F.when(bad, F.raise_error(F.lit("categories must be nought or more and sum to no more than a positive total")).cast("double")).otherwise(F.col("_total")))
+    rest = rows.groupBy("entity", "period").agg(F.first("_total").alias("_total"), F.greatest(F.lit(0.0), F.first("_total") - F.first("_sum")).alias("value")).withColumn("category", F.lit("residual"))
+    both = rows.select("entity", "period", "category", "value", "_total").unionByName(rest.select("entity", "period", "category", "value", "_total"))
+    return both.withColumn("coordinate", F.sqrt(F.col("value") / F.col("_total")) / F.sqrt(F.lit(2.0))).drop("_total")
 
 
 def log_ratio(panel: DataFrame) -> DataFrame:
@@ -63,12 +77,13 @@ def nearest_prototype(profiles: DataFrame, prototypes: DataFrame) -> DataFrame:
     """``entity, cluster, distance, margin``: the nearest prototype, ties to the least.
 
     ``prototypes`` has ``cluster, category, center_value`` and is a model of
-    fixed size, thus broadcast.  ``margin`` is (second - first) / second.
+    fixed size, thus broadcast.  ``margin`` is (second - first) / second, and
+    nought if the second is at distance nought.
     """
     squares = profiles.join(F.broadcast(prototypes), "category").groupBy("entity", "cluster").agg(F.sum(F.pow(F.col("coordinate") - F.col("center_value"), 2)).alias("square"))
     ranked = squares.groupBy("entity").agg(F.sort_array(F.collect_list(F.struct(F.sqrt("square").alias("distance"), "cluster"))).alias("near"))
     near = F.col("near")
-    margin = F.try_divide(near[1]["distance"] - near[0]["distance"], near[1]["distance"])
+    margin = F.when(F.size(near) > 1, F.coalesce(F.try_divide(F.get(near, 1)["distance"] - near[0]["distance"], F.get(near, 1)["distance"]), F.lit(0.0)))
     return ranked.select("entity", near[0]["cluster"].alias("cluster"), near[0]["distance"].alias("distance"), margin.alias("margin"))
 
 

@@ -68,7 +68,7 @@ _NM = "nm AS (SELECT CASE WHEN o_custkey % 211 = 9 THEN NULL ELSE 'c' || o_custk
 
 
 @query(f"""WITH {_NM}, c AS (SELECT *, count(*) OVER (PARTITION BY name, k) AS n FROM nm), f AS (SELECT name, CASE WHEN name IS NULL THEN 'missing_name' WHEN max(n) > 1 THEN 'duplicate_key' WHEN max(CASE WHEN v > 0 THEN 0 ELSE 1 END) = 1 THEN 'bad_value' END AS reason FROM c GROUP BY name)
-SELECT coalesce(reason, 'kept') AS reason, count(DISTINCT name) AS names, count(*) AS n_rows FROM nm JOIN f ON nm.name IS NOT DISTINCT FROM f.name GROUP BY ALL""")
+SELECT coalesce(reason, 'kept') AS reason, count(DISTINCT nm.name) AS names, count(*) AS n_rows FROM nm JOIN f ON nm.name IS NOT DISTINCT FROM f.name GROUP BY ALL""")
 def whole_names(spark, sf_dir):
     key, order = F.col("o_custkey"), F.col("o_orderkey")
     rows = table(spark, sf_dir, "orders").select(F.when(key % 211 != 9, F.concat(F.lit("c"), F.floor(key / 5).cast("string"))).alias("name"), F.floor(order / 3).alias("k"), F.when(order % 1009 == 1, -1.0).otherwise(F.col("o_totalprice")).alias("v"))
@@ -79,7 +79,7 @@ def whole_names(spark, sf_dir):
 
 
 _PC = "c0 AS (SELECT c_custkey AS id, c_custkey // 2 AS a, (c_custkey * 7 + 3) % 311 AS b FROM customer WHERE c_acctbal > 3000)"
-_ROUNDS = 12
+_ROUNDS = 40
 
 
 @query(

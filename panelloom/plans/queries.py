@@ -79,9 +79,11 @@ def calibration_scaler(spark, sf_dir):
     return rounded(panel.calibration(panel.log_ratio(balanced_panel(spark, sf_dir)), CUTOFF), "center", "iqr")
 
 
-@query(_with("SELECT entity, period, category, round(sqrt(value / total) / sqrt(2.0), 6) AS coordinate FROM t"))
+@query(_with("""SELECT entity, period, category, round(sqrt(value / (total * 1.25)) / sqrt(2.0), 6) AS coordinate FROM t UNION ALL SELECT entity, period, 'residual', round(sqrt((any_value(total) * 1.25 - sum(value)) / (any_value(total) * 1.25)) / sqrt(2.0), 6) FROM t GROUP BY entity, period"""))
 def hellinger_profile(spark, sf_dir):
-    return rounded(panel.hellinger(balanced_panel(spark, sf_dir)).select("entity", "period", "category", "coordinate"), "coordinate")
+    # a total of which the categories are four fifths
+    rows = panel.with_total(balanced_panel(spark, sf_dir)).withColumn("total", F.col("total") * 1.25)
+    return rounded(panel.hellinger(rows, "total").select("entity", "period", "category", "coordinate"), "coordinate")
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
