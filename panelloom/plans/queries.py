@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.operators import graph, panel, series, stats
+from panelloom.operators import graph, neighbours, panel, series, stats
 from panelloom.plans.registry import ORACLE_SQL, QUERIES, query, rounded, table
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -338,8 +338,8 @@ def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.join(customers, "c_custkey").groupBy("key", "t").agg(F.sum("o_totalprice").alias("v"))
 
 
-@query(f"""WITH {_S}, w AS (SELECT key, t, v - (avg(v) OVER (PARTITION BY key ORDER BY t ROWS BETWEEN 6 PRECEDING AND 5 FOLLOWING) + avg(v) OVER (PARTITION BY key ORDER BY t ROWS BETWEEN 5 PRECEDING AND 6 FOLLOWING)) / 2 AS gap, min(t) OVER (PARTITION BY key) AS lo, max(t) OVER (PARTITION BY key) AS hi FROM ser),
-a AS (SELECT key, t % 12 AS month, avg(gap) AS m FROM w WHERE t >= lo + 6 AND t <= hi - 6 GROUP BY ALL) SELECT key, month, round(m - avg(m) OVER (PARTITION BY key), 2) AS seasonal FROM a""")
+@query(f"""WITH {_S}, w AS (SELECT key, t, v - (avg(v) OVER (PARTITION BY key ORDER BY t RANGE BETWEEN 6 PRECEDING AND 5 FOLLOWING) + avg(v) OVER (PARTITION BY key ORDER BY t RANGE BETWEEN 5 PRECEDING AND 6 FOLLOWING)) / 2 AS gap, count(*) OVER (PARTITION BY key ORDER BY t RANGE BETWEEN 6 PRECEDING AND 6 FOLLOWING) AS n FROM ser),
+a AS (SELECT key, t % 12 AS month, avg(gap) AS m FROM w WHERE n = 13 GROUP BY ALL) SELECT key, month, round(m - avg(m) OVER (PARTITION BY key), 2) AS seasonal FROM a""")
 def seasonal_profile(spark, sf_dir):
     return series.seasonal_profile(monthly(spark, sf_dir)).withColumn("seasonal", F.round("seasonal", 2))
 
@@ -349,10 +349,26 @@ def linear_trend(spark, sf_dir):
     return series.linear_trend(monthly(spark, sf_dir)).withColumns({c: F.round(c, 3) for c in ("slope", "intercept")})
 
 
-@query(f"""WITH {_S}, d AS (SELECT key, t, abs(v - lag(v) OVER (PARTITION BY key ORDER BY t)) AS step FROM ser), s AS (SELECT key, avg(step) AS seam FROM d WHERE t % 12 = 0 GROUP BY key)
-SELECT key, round(any_value(seam), 4) AS seam, count(*) FILTER (WHERE t % 12 <> 0 AND step >= seam) AS n_larger FROM d LEFT JOIN s USING (key) WHERE step IS NOT NULL GROUP BY key""")
+_Y = "y AS (SELECT key, t - 24 AS m, v FROM ser WHERE t BETWEEN 24 AND 47), sp AS (SELECT key, m, v, v - lag(v) OVER (PARTITION BY key ORDER BY m) AS d FROM y)"
+
+
+def _at(i: int) -> str:
+    return f"max(v) FILTER (WHERE m = {i})"
+
+
+@query(f"""WITH {_S}, {_Y}, wd AS (SELECT key, count(*) AS n, max(d) FILTER (WHERE m = 12) AS seam, list(d) FILTER (WHERE m <> 12 AND d IS NOT NULL) AS ds, stddev_samp(d) FILTER (WHERE m <> 12) AS sd, {_at(11)} - {_at(10)} AS a, {_at(23)} - {_at(22)} AS b, {_at(12)} - {_at(0)} AS c, {_at(0)} - {_at(1)} AS d1, {_at(12)} - {_at(13)} AS d2, {_at(11)} - {_at(0)} AS e1, {_at(23)} - {_at(12)} AS e2, {_at(10)} - {_at(1)} AS f1, {_at(22)} - {_at(13)} AS f2 FROM sp GROUP BY key HAVING count(*) = 24),
+sm AS (SELECT a.key, avg(b.v - a.v) AS g, min(b.v - a.v) AS h FROM y a JOIN y b ON a.key = b.key AND b.m = a.m + 12 GROUP BY a.key)
+SELECT k.key, round(seam, 3) AS seam, CASE WHEN ds IS NOT NULL THEN len(list_filter(ds, lambda x: abs(x) >= abs(seam))) END AS n_larger, len(ds) AS n_steps, round(sd, 3) AS step_sd, round(a, 3) AS nov_dec_first, round(b, 3) AS nov_dec_second, round(c, 3) AS january_change, round(d1, 3) AS jan_feb_first, round(d2, 3) AS jan_feb_second,
+round(e1, 3) AS jan_dec_first, round(e2, 3) AS jan_dec_second, round(f1, 3) AS feb_nov_first, round(f2, 3) AS feb_nov_second, round(CASE WHEN ds IS NOT NULL THEN g END, 3) AS same_month_mean, round(CASE WHEN ds IS NOT NULL THEN h END, 3) AS same_month_min FROM (SELECT DISTINCT key FROM ser) k LEFT JOIN wd USING (key) LEFT JOIN sm USING (key)""")
 def seam_summary(spark, sf_dir):
-    return series.seams(monthly(spark, sf_dir)).withColumn("seam", F.round("seam", 4))
+    found = series.seams(monthly(spark, sf_dir), 24)
+    return rounded(found, *[c for c in found.columns if c not in ("key", "n_larger", "n_steps")], places=3)
+
+
+@query(f"""WITH {_S}, y AS (SELECT key, t, ln(v) AS v, (t >= 36)::INT::DOUBLE AS s FROM ser), c AS (SELECT key, count(*) AS n, var_pop(t) AS tt, var_pop(s) AS ss, covar_pop(t, s) AS ts, covar_pop(t, v) AS ty, covar_pop(s, v) AS sy, var_pop(v) AS yy FROM y GROUP BY key),
+b AS (SELECT *, (ty * ss - sy * ts) / (tt * ss - ts * ts) AS trend, (sy * tt - ty * ts) / (tt * ss - ts * ts) AS step FROM c) SELECT key, round(trend, 6) AS trend, round(step, 6) AS step, round(sqrt(n * (yy - trend * ty - step * sy) / (n - 3)), 6) AS residual_sd FROM b""")
+def trend_step(spark, sf_dir):
+    return rounded(series.trend_step(monthly(spark, sf_dir).withColumn("v", F.ln("v")), 36), "trend", "step", "residual_sd")
 
 
 _R = f"""{_S}, med AS (SELECT t, median(ln(v)) AS med FROM ser GROUP BY t), g AS (SELECT key, t, ln(v) - med AS g FROM ser JOIN med USING (t)),
@@ -364,11 +380,13 @@ def residual_series(spark, sf_dir):
     return rounded(series.residual_series(monthly(spark, sf_dir)), "r")
 
 
-@query(f"""WITH {_R}, lags AS (SELECT CAST(unnest(range(-3, 4)) AS INT) AS lag),
-c AS (SELECT x.key AS a, y.key AS b, lag, coalesce(covar_pop(x.r, y.r) / (stddev_pop(x.r) * stddev_pop(y.r)), 0) AS corr FROM res x CROSS JOIN lags JOIN res y ON y.t = x.t + lag AND x.key < y.key GROUP BY ALL)
-SELECT a, b, lag, round(corr, 6) AS corr FROM c QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY round(corr, 9) DESC, abs(lag), lag DESC) = 1""")
+@query(f"""WITH {_R.replace('GROUP BY ALL)', 'GROUP BY ALL HAVING t < 72)', 1)}, cal AS (SELECT count(DISTINCT t) AS n FROM res), ok AS (SELECT key FROM res GROUP BY key HAVING count(*) = (SELECT n FROM cal)), rr AS (SELECT key::BIGINT AS key, t, r FROM res WHERE key IN (SELECT key FROM ok)), lags AS (SELECT CAST(unnest(range(-3, 4)) AS INT) AS lag),
+c AS (SELECT x.key AS a, y.key AS b, lag, round(coalesce(CASE WHEN stddev_pop(x.r) > 1e-12 AND stddev_pop(y.r) > 1e-12 THEN covar_pop(x.r, y.r) / (stddev_pop(x.r) * stddev_pop(y.r)) END, 0), 12) AS corr FROM rr x CROSS JOIN lags JOIN rr y ON y.t = x.t + lag AND x.key < y.key GROUP BY ALL)
+SELECT a, b, lag, round(corr, 6) AS corr FROM c QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY corr DESC, abs(lag), lag DESC) = 1""")
 def lagged_corr(spark, sf_dir):
-    return rounded(series.lagged_correlation(series.residual_series(monthly(spark, sf_dir))), "corr")
+    whole_years = monthly(spark, sf_dir).where("t < 72")  # the seventh year ends early
+    rows = series.residual_series(whole_years).select(F.col("key").cast("long").alias("key"), "t", F.lit(0).alias("c"), F.col("r").alias("v"))
+    return rounded(neighbours.lagged_correlation(rows, 1), "corr")
 
 
 # --- outcomes by group ------------------------------------------------------------
