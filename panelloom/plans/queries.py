@@ -380,7 +380,7 @@ def residual_series(spark, sf_dir):
     return rounded(series.residual_series(monthly(spark, sf_dir)), "r")
 
 
-@query(f"""WITH {_R.replace('GROUP BY ALL)', 'GROUP BY ALL HAVING t < 72)', 1)}, cal AS (SELECT count(DISTINCT t) AS n FROM res), ok AS (SELECT key FROM res GROUP BY key HAVING count(*) = (SELECT n FROM cal)), rr AS (SELECT key::BIGINT AS key, t, r FROM res WHERE key IN (SELECT key FROM ok)), lags AS (SELECT CAST(unnest(range(-3, 4)) AS INT) AS lag),
+@query(f"""WITH {_R.replace('FROM ser', 'FROM (SELECT * FROM ser WHERE t < 72) ser')}, cal AS (SELECT count(DISTINCT t) AS n FROM res), ok AS (SELECT key FROM res GROUP BY key HAVING count(*) = (SELECT n FROM cal)), rr AS (SELECT key::BIGINT AS key, t, r FROM res WHERE key IN (SELECT key FROM ok)), lags AS (SELECT CAST(unnest(range(-3, 4)) AS INT) AS lag),
 c AS (SELECT x.key AS a, y.key AS b, lag, round(coalesce(CASE WHEN stddev_pop(x.r) > 1e-12 AND stddev_pop(y.r) > 1e-12 THEN covar_pop(x.r, y.r) / (stddev_pop(x.r) * stddev_pop(y.r)) END, 0), 12) AS corr FROM rr x CROSS JOIN lags JOIN rr y ON y.t = x.t + lag AND x.key < y.key GROUP BY ALL)
 SELECT a, b, lag, round(corr, 6) AS corr FROM c QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY corr DESC, abs(lag), lag DESC) = 1""")
 def lagged_corr(spark, sf_dir):
