@@ -7,145 +7,296 @@ blocks are indexed, and every rolling block of every document probes the index
 compared with all windows of its kind, and the union of a document's equal
 windows is its maximal exact repeats (:func:`_repeated`).
 
-Hashes travel packed, by bucket of hashes, each once per document, so that a
-passage in very many documents costs one number for each of them and the
-largest bucket stays near the mean.
+Hashes travel packed, by bucket of hashes.  A mapper sends on only what it
+cannot settle itself: of one window one row, that of its least document, as
+the others are later than that one; of a block in :data:`MANY` documents or
+more one row likewise.  So a passage in very many documents costs one number
+for each two million hashes, and the largest bucket stays near the mean.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_128_digest
 
 from panelloom.llm.store import bounded_batches, materialize
-from panelloom.llm.text import Rolling, utf8
+from panelloom.llm.text import Rolling, mix64, utf8
 
 #: Text per bucket of hashes, which bounds what a task holds.
-BUCKET_BYTES = 32 << 20
-LEAST_BUCKETS = 32
+BUCKET_BYTES = 8 << 20
+LEAST_BUCKETS = 8
+#: Buckets that one level of dealing tells apart; beyond it a second level does.
+FAN_OUT = 4096
+#: Buckets' worth of hashes that a task of the second level deals again.
+DEALT_AGAIN = 16
 #: Hashes held before a mapper sends them on.
 HELD = 2_000_000
+#: A rolling block in so many documents at once is an anchor, indexed or not.
+MANY = 16
 LAST = np.iinfo(np.int64).max
-LOW = np.uint64((1 << 48) - 1)
-PACKED = "bucket int, block boolean, docs binary, counts binary, hashes binary"
+PROBE, BLOCK, KNOWN = 0, 1, 2
+PACKED = "bucket int, kind int, docs binary, counts binary, hashes binary"
 FOUND = "doc long, hashes binary"
 
 
-def _word_hashes(words: list[bytes], seed: int) -> np.ndarray:
-    return np.array([xxh64_intdigest(w, seed) for w in words], np.uint64)
+class Form(NamedTuple):
+    """How hashes are stored: so many numbers each, of so many bytes."""
 
+    columns: int
+    width: int
 
-class _Packer:
-    """Packs hashes by bucket; :meth:`rows` empties it."""
+    def pack(self, hashes: np.ndarray) -> bytes:
+        if self.width == 8:
+            return hashes.tobytes()
+        return np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)[:, : self.width].tobytes()
 
-    def __init__(self, block: bool) -> None:
-        self.block, self.docs, self.hashes, self.buckets, self.n = block, [], [], [], 0
+    def unpack(self, raw: bytes) -> np.ndarray:
+        narrow = np.frombuffer(raw, np.uint8).reshape(-1, self.width)
+        wide = np.zeros((len(narrow), 8), np.uint8)
+        wide[:, : self.width] = narrow
+        return wide.view(np.uint64).reshape(self.columns, -1)
 
-    def add(self, doc: int, hashes: np.ndarray, buckets: np.ndarray) -> None:
-        if len(hashes):
+    def bucket(self, hashes: np.ndarray, buckets: int) -> np.ndarray:
+        """By a number of its own, told from the stored bytes alone."""
+        return (mix64(hashes[-1] ^ np.uint64(buckets)) % np.uint64(buckets)).astype(np.int64)
+
+
+#: Blocks need not be told apart for certain, as an anchor is only a candidate.
+BLOCKS = Form(1, 6)
+#: Windows are equal if 128 bits agree.
+WINDOWS = Form(2, 8)
+
+
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    """Two numbers of each word, in two rows."""
+    return np.ascontiguousarray(np.frombuffer(b"".join(map(xxh3_128_digest, words)), "<u8").reshape(-1, 2).T)
+
+
+def _blocks(rolling: Rolling, words: np.ndarray, width: int) -> np.ndarray:
+    """The rolling blocks, in the bits that are stored."""
+    return rolling.runs(words[0], width) & np.uint64((1 << 8 * BLOCKS.width) - 1)
+
+
+def _windows(rolling: Rolling, words: np.ndarray, window: int) -> np.ndarray:
+    return np.stack([rolling.runs(row, window) for row in words])
+
+
+def _alike(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal hashes together, and where each kind begins in it."""
+    order = np.argsort(hashes[0])
+    new = hashes[:, order[1:]] != hashes[:, order[:-1]]
+    if (~new[0] & new.any(0)).any():  # equal in the first number alone
+        order = np.lexsort(hashes[::-1])
+        new = hashes[:, order[1:]] != hashes[:, order[:-1]]
+    return order, np.flatnonzero(np.r_[np.ones(min(1, len(order)), bool), new.any(0)])
+
+
+def _best(docs: np.ndarray, order: np.ndarray, first: np.ndarray, choose: np.ufunc) -> tuple[np.ndarray, np.ndarray]:
+    """Of each kind its least or greatest document, for every row in order, and one row that has it."""
+    if not len(order):
+        return docs, order
+    ordered = docs[order]
+    best = np.repeat(choose.reduceat(ordered, first), np.diff(first, append=len(order)))
+    places = np.where(ordered == best, np.arange(len(order)), len(order))
+    return best, order[np.minimum.reduceat(places, first)]
+
+
+class _Held:
+    """Hashes of documents until they are sent on."""
+
+    def __init__(self) -> None:
+        self.docs: list[int] = []
+        self.hashes: list[np.ndarray] = []
+        self.n = 0
+
+    def add(self, doc: int, hashes: np.ndarray) -> None:
+        if hashes.shape[1]:
             self.docs.append(doc)
             self.hashes.append(hashes)
-            self.buckets.append(buckets)
-            self.n += len(hashes)
+            self.n += hashes.shape[1]
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        """Documents and hashes of all, which are no longer held."""
+        docs = np.repeat(np.array(self.docs, np.int64), [h.shape[1] for h in self.hashes])
+        hashes = np.concatenate(self.hashes, axis=1)
+        self.__init__()
+        return docs, hashes
+
+
+def _packed(kind: int, docs: np.ndarray, hashes: np.ndarray, buckets: np.ndarray, form: Form) -> Iterator[pa.RecordBatch]:
+    """One row per bucket: documents, how many hashes each has, and the hashes."""
+    if not len(docs):
+        return
+    order = np.lexsort((docs, buckets))
+    docs, hashes, buckets = docs[order], hashes[:, order], buckets[order]
+    fresh = np.r_[True, buckets[1:] != buckets[:-1]]
+    owner = np.flatnonzero(fresh | np.r_[True, docs[1:] != docs[:-1]])
+    counts = np.diff(owner, append=len(docs)).astype("<i4")
+    starts = np.flatnonzero(fresh)
+    ends = [*starts[1:].tolist(), len(docs)]
+    cuts = [*np.searchsorted(owner, starts).tolist(), len(owner)]
+    ids = docs[owner]
+    out = [(int(buckets[i]), kind, ids[a:b].tobytes(), counts[a:b].tobytes(), form.pack(hashes[:, i:j])) for i, j, a, b in zip(starts.tolist(), ends, cuts, cuts[1:], strict=False)]
+    names = ["bucket", "kind", "docs", "counts", "hashes"]
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        if not self.n:
-            return
-        ids = np.array(self.docs, np.int64)
-        owner = np.repeat(np.arange(len(ids)), [len(h) for h in self.hashes])
-        bucket, hashes = np.concatenate(self.buckets), np.concatenate(self.hashes)
-        order = np.argsort(bucket, kind="stable")
-        bucket, hashes, owner = bucket[order], hashes[order], owner[order]
-        starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-        out = []
-        for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(bucket)], strict=True):
-            who, counts = np.unique(owner[i:j], return_counts=True)
-            out.append((int(bucket[i]), self.block, ids[who].tobytes(), counts.astype("<i4").tobytes(), hashes[i:j].tobytes()))
-        self.__init__(self.block)
-        names = ["bucket", "block", "docs", "counts", "hashes"]
-        kinds = [pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
-
-
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[bool, tuple[np.ndarray, np.ndarray]]]:
-    """Documents and hashes, by kind, of each bucket; rows come sorted by bucket."""
-
-    def whole(rows):
-        out = {}
-        for block in (False, True):
-            part = [r for r in rows if r[1] == block]
-            docs = [np.repeat(np.frombuffer(r[2], np.int64), np.frombuffer(r[3], "<i4")) for r in part]
-            out[block] = (np.concatenate(docs) if docs else np.empty(0, np.int64), np.concatenate([np.frombuffer(r[4], np.uint64) for r in part]) if part else np.empty(0, np.uint64))
-        return out
-
-    now, rows = None, []
+
+def _known(docs: np.ndarray, hashes: np.ndarray, buckets: int, form: Form) -> Iterator[pa.RecordBatch]:
+    """What needs no match passes the buckets by, spread over them by document."""
+    yield from _packed(KNOWN, docs, hashes, (mix64(docs.view(np.uint64)) % np.uint64(min(buckets, 64))).astype(np.int64), form)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[0] != now and rows:
-                yield whole(rows)
-                rows = []
-            now = row[0]
-            rows.append(row)
-    if rows:
-        yield whole(rows)
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
 
+def _read(docs: bytes, counts: bytes, hashes: bytes, form: Form) -> tuple[np.ndarray, np.ndarray]:
+    return np.repeat(np.frombuffer(docs, np.int64), np.frombuffer(counts, "<i4")), form.unpack(hashes)
 
-def _by_doc(docs: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
+
+def _by_doc(docs: np.ndarray, hashes: np.ndarray, form: Form) -> Iterator[pa.RecordBatch]:
+    if not len(docs):
+        return
     order = np.argsort(docs, kind="stable")
-    docs, hashes = docs[order], hashes[order]
-    ids, starts = np.unique(docs, return_index=True)
+    docs, hashes = docs[order], hashes[:, order]
+    starts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
     ends = [*starts[1:].tolist(), len(docs)]
-    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array([hashes[i:j].tobytes() for i, j in zip(starts.tolist(), ends, strict=True)], pa.binary())], ["doc", "hashes"])
+    yield pa.RecordBatch.from_arrays([pa.array(docs[starts]), pa.array([form.pack(hashes[:, i:j]) for i, j in zip(starts.tolist(), ends, strict=True)], pa.binary())], ["doc", "hashes"])
+
+
+def _buckets(batches: Iterator[pa.RecordBatch], form: Form, match) -> Iterator[pa.RecordBatch]:
+    """``match`` of the probes and blocks of each bucket; rows come sorted by bucket."""
+
+    def whole(held, kind):
+        part = [_read(*r, form) for k, r in held if k == kind]
+        if not part:
+            return np.empty(0, np.int64), np.empty((form.columns, 0), np.uint64)
+        return np.concatenate([p[0] for p in part]), np.concatenate([p[1] for p in part], axis=1)
+
+    now, held = None, []
+    for bucket, kind, *row in _rows(batches):
+        if bucket != now and held:
+            yield from match(whole(held, PROBE), whole(held, BLOCK))
+            held = []
+        now = bucket
+        if kind == KNOWN:
+            yield from _by_doc(*_read(*row, form), form)
+        else:
+            held.append((kind, row))
+    if held:
+        yield from match(whole(held, PROBE), whole(held, BLOCK))
 
 
-def _first_of_each(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes and the least document of each."""
-    order = np.lexsort((docs, hashes))
-    values, at = np.unique(hashes[order], return_index=True)
-    return values, docs[order][at]
+class Levels(NamedTuple):
+    """How many buckets there are, and how many the mappers tell apart."""
 
+    buckets: int
+    fan_out: int
 
-def _dealt(packed: DataFrame, buckets: int) -> DataFrame:
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    @property
+    def coarse(self) -> int:
+        return -(-self.buckets // self.fan_out)
 
+    def first(self, buckets: np.ndarray) -> np.ndarray:
+        """The buckets that a mapper tells apart: groups of them, if there are too many."""
+        return buckets if self.coarse == 1 else buckets // self.fan_out
 
-def _anchored(source: DataFrame, width: int, buckets: int) -> DataFrame:
+
+def _dealt(packed: DataFrame, levels: Levels, form: Form) -> DataFrame:
+    """Each bucket in one partition, whole and by itself, of not too many rows.
+
+    Where there are more buckets than ``fan_out``, mappers pack hashes by
+    group of buckets, and tasks that take a bounded part of one group each
+    pack them anew by bucket, so that rows stay long at any size.
+    """
+    if levels.coarse == 1:
+        return packed.repartitionById(levels.buckets, F.col("bucket")).sortWithinPartitions("bucket")
+    parts = max(1, -(-levels.fan_out // DEALT_AGAIN))
+    spread = F.when(F.col("kind") == KNOWN, F.pmod(F.xxhash64("docs"), F.lit(levels.coarse * parts)).cast("int"))
+    spread = F.coalesce(spread, F.col("bucket") * parts + F.pmod(F.xxhash64("docs"), F.lit(parts)).cast("int"))
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        n = 0
+
+        def out():
+            for kind, part in held.items():
+                docs, hashes = np.concatenate([p[0] for p in part]), np.concatenate([p[1] for p in part], axis=1)
+                if kind == KNOWN:
+                    yield from _known(docs, hashes, levels.buckets, form)
+                else:
+                    yield from _packed(kind, docs, hashes, form.bucket(hashes, levels.buckets), form)
+            held.clear()
+
+        for _, kind, *row in _rows(batches):
+            held.setdefault(kind, []).append(_read(*row, form))
+            n += len(held[kind][-1][0])
+            if n > HELD:
+                yield from out()
+                n = 0
+        yield from out()
+
+    fine = packed.repartitionById(levels.coarse * parts, spread).mapInArrow(again, PACKED)
+    return fine.repartitionById(levels.buckets, F.col("bucket")).sortWithinPartitions("bucket")
+
+
+def _anchored(source: DataFrame, width: int, levels: Levels) -> DataFrame:
     """Per document, hashes of its rolling blocks whose words are an indexed
     block of one document and a rolling block of a later one."""
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling, probes, blocks = Rolling(), _Packer(False), _Packer(True)
+        rolling, probes, blocks = Rolling(), _Held(), _Held()
+
+        def out():
+            if not probes.n:
+                return
+            docs, hashes = probes.take()
+            order, first = _alike(hashes)
+            sizes = np.diff(first, append=len(order))
+            _, latest = _best(docs, order, first, np.maximum)
+            many = order[np.repeat(sizes >= MANY, sizes)]
+            yield from _known(docs[many], hashes[:, many], levels.buckets, BLOCKS)
+            rest = np.r_[order[np.repeat(sizes < MANY, sizes)], latest[sizes >= MANY]]
+            yield from _packed(PROBE, docs[rest], hashes[:, rest], levels.first(BLOCKS.bucket(hashes[:, rest], levels.buckets)), BLOCKS)
+            docs, hashes = blocks.take()
+            _, least = _best(docs, *_alike(hashes), np.minimum)
+            yield from _packed(BLOCK, docs[least], hashes[:, least], levels.first(BLOCKS.bucket(hashes[:, least], levels.buckets)), BLOCKS)
+
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                runs = rolling.runs(_word_hashes(text.split(), 0), width)
-                for packer, found in ((probes, np.unique(runs)), (blocks, np.unique(runs[::width]))):
-                    packer.add(doc, found & LOW, ((found >> np.uint64(48)) % np.uint64(buckets)).astype(np.int32))
+                words = text.split()
+                if len(words) < 2 * width:
+                    continue
+                runs = _blocks(rolling, _word_hashes(words), width)
+                probes.add(doc, np.unique(runs)[None])
+                blocks.add(doc, np.unique(runs[::width])[None])
                 if probes.n > HELD:
-                    yield from probes.rows()
-                    yield from blocks.rows()
-        yield from probes.rows()
-        yield from blocks.rows()
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket in _buckets(batches):
-            (docs, hashes), (of, indexed) = bucket[False], bucket[True]
-            if not len(indexed):
-                continue
-            values, least = _first_of_each(indexed, of)
-            at = np.minimum(np.searchsorted(values, hashes), len(values) - 1)
-            hit = np.flatnonzero(values[at] == hashes)
-            most = np.full(len(values), -LAST)
-            np.maximum.at(most, at[hit], docs[hit])
-            hit = hit[(most > least)[at[hit]]]
-            if len(hit):
-                yield _by_doc(docs[hit], hashes[hit])
+                    yield from out()
+        yield from out()
 
-    return _dealt(source.mapInArrow(probe, PACKED), buckets).mapInArrow(match, FOUND)
+    def match(probes, blocks) -> Iterator[pa.RecordBatch]:
+        (docs, hashes), (of, indexed) = probes, blocks
+        if not len(of):
+            return
+        order, first = _alike(indexed)
+        values, least = indexed[0][order[first]], np.minimum.reduceat(of[order], first)
+        at = np.minimum(np.searchsorted(values, hashes[0]), len(values) - 1)
+        hit = np.flatnonzero(values[at] == hashes[0])
+        most = np.full(len(values), -LAST)
+        np.maximum.at(most, at[hit], docs[hit])
+        hit = hit[(most > least)[at[hit]]]
+        yield from _by_doc(docs[hit], hashes[:, hit], BLOCKS)
+
+    dealt = _dealt(source.mapInArrow(probe, PACKED), levels, BLOCKS)
+    return dealt.mapInArrow(lambda batches: _buckets(batches, BLOCKS, match), FOUND)
 
 
 def _beside(source: DataFrame, found: DataFrame) -> DataFrame:
@@ -155,7 +306,7 @@ def _beside(source: DataFrame, found: DataFrame) -> DataFrame:
     return hashes.unionByName(texts).repartition("doc").sortWithinPartitions("doc", "kind")
 
 
-def _texts_with(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int | None, bytes, np.ndarray]]:
+def _texts_with(batches: Iterator[pa.RecordBatch], form: Form) -> Iterator[tuple[int, int | None, bytes, np.ndarray]]:
     """Document, id, text and found hashes of each text of :func:`_beside`."""
     now, held = None, []
     for batch in batches:
@@ -164,43 +315,64 @@ def _texts_with(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int |
             if doc != now:
                 now, held = doc, []
             if kind == 0:
-                held.append(np.frombuffer(hashes, np.uint64))
+                held.append(form.unpack(hashes))
             else:
-                yield doc, doc_id, text, np.concatenate(held) if held else np.empty(0, np.uint64)
+                yield doc, doc_id, text, np.concatenate(held, axis=1) if held else np.empty((form.columns, 0), np.uint64)
 
 
-def _repeated(source: DataFrame, anchors: DataFrame, window: int, width: int, buckets: int) -> DataFrame:
+def _repeated(source: DataFrame, anchors: DataFrame, window: int, width: int, levels: Levels) -> DataFrame:
     """Per document, hashes of its windows that also start in an earlier one."""
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling, packer = Rolling(), _Packer(False)
-        for doc, _, text, hot in _texts_with(batches):
-            if not len(hot):
+        rolling, held = Rolling(), _Held()
+
+        def out():
+            if not held.n:
+                return
+            docs, hashes = held.take()
+            order, first = _alike(hashes)
+            least, one = _best(docs, order, first, np.minimum)
+            later = order[docs[order] > least]
+            yield from _known(docs[later], hashes[:, later], levels.buckets, WINDOWS)
+            yield from _packed(PROBE, docs[one], hashes[:, one], levels.first(WINDOWS.bucket(hashes[:, one], levels.buckets)), WINDOWS)
+
+        for doc, _, text, hot in _texts_with(batches, BLOCKS):
+            if not hot.size:
                 continue
-            words = text.split()
-            if len(words) < window:
+            words = _word_hashes(text.split())
+            n = words.shape[1] - window + 1
+            if n <= 0:
                 continue
-            hashes = _word_hashes(words, 0)
-            seen = np.r_[0, np.cumsum(np.isin(rolling.runs(hashes, width) & LOW, hot))]
-            n = len(words) - window + 1
+            seen = np.r_[0, np.cumsum(np.isin(_blocks(rolling, words, width), hot[0]))]
             near = np.flatnonzero(seen[window - width + 1 : window - width + 1 + n] > seen[:n])
             if len(near):
-                runs, pick = np.unique(rolling.runs(hashes, window)[near], return_index=True)
-                other = rolling.runs(_word_hashes(words, 1), window)[near][pick]  # 5 bits at least, beside the 64
-                packer.add(doc, runs, (other % np.uint64(buckets)).astype(np.int32))
-            if packer.n > HELD:
-                yield from packer.rows()
-        yield from packer.rows()
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket in _buckets(batches):
-            docs, hashes = bucket[False]
-            values, least = _first_of_each(hashes, docs)
-            later = docs > least[np.searchsorted(values, hashes)]
-            if later.any():
-                yield _by_doc(docs[later], hashes[later])
-
-    return _dealt(_beside(source, anchors).mapInArrow(extend, PACKED), buckets).mapInArrow(match, FOUND)
+                hashes = _windows(rolling, words, window)[:, near]
+                order, first = _alike(hashes)
+                held.add(doc, hashes[:, order[first]])
+            if held.n > HELD:
+                yield from out()
+        yield from out()
+
+    def match(probes, _) -> Iterator[pa.RecordBatch]:
+        docs, hashes = probes
+        order, first = _alike(hashes)
+        least, _ = _best(docs, order, first, np.minimum)
+        later = order[docs[order] > least]
+        yield from _by_doc(docs[later], hashes[:, later], WINDOWS)
+
+    dealt = _dealt(_beside(source, anchors).mapInArrow(extend, PACKED), levels, WINDOWS)
+    return dealt.mapInArrow(lambda batches: _buckets(batches, WINDOWS, match), FOUND)
+
+
+def _among(windows: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Which windows, by place, are found ones."""
+    maybe = np.flatnonzero(np.isin(windows[0], found[0]))
+    both = np.concatenate([found, windows[:, maybe]], axis=1)
+    order, first = _alike(both)
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.repeat(np.arange(len(first)), np.diff(first, append=len(order)))
+    n = found.shape[1]
+    return maybe[np.isin(kind[n:], kind[:n])]
 
 
 def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -211,7 +383,7 @@ def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(steps)[:n] > 0
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 50, bucket_bytes: int = BUCKET_BYTES, fan_out: int = FAN_OUT) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_text`` of each row of ``docs``.
 
     Words that lie in a run of ``window`` words (an even number) which also
@@ -219,17 +391,20 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     single spaces.  Windows are judged on the input.  Null and empty texts
     have no words.  Null ids count as one id that follows all others; rows of
     the same id never remove each other's words.  Repeated rows are kept, an
-    empty table gives an empty one, other columns are ignored.  Windows are
-    told apart by 69 bits or more of hash, without a look at the words.
+    empty table gives an empty one, other columns are ignored, whatever their
+    names.  Windows are equal if 128 bits of hash are: 10**13 windows, some
+    100 TB, hold an unequal pair of equal hashes with a chance of one in
+    10**12.  ``bucket_bytes`` and ``fan_out`` say how the hashes are dealt and
+    change no result.
     """
     width = window // 2
     spark = docs.sparkSession
     bounded_batches(spark)
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST))).alias("doc"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc_id"))
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(LEAST_BUCKETS, -(-total // BUCKET_BYTES))
-    anchors = materialize(_anchored(source, width, buckets), "anchors")
-    repeats = materialize(_repeated(source, anchors, window, width, buckets), "repeats")
+    levels = Levels(max(LEAST_BUCKETS, -(-total // bucket_bytes)), fan_out)
+    anchors = materialize(_anchored(source, width, levels), "anchors")
+    repeats = materialize(_repeated(source, anchors, window, width, levels), "repeats")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
@@ -238,10 +413,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "n_words", "n_removed", "kept_text"])
 
         rows, size = [], 0
-        for _, doc_id, text, found in _texts_with(batches):
+        for _, doc_id, text, found in _texts_with(batches, WINDOWS):
             words = kept = text.split()
-            if len(found):
-                starts = np.flatnonzero(np.isin(rolling.runs(_word_hashes(words, 0), window), found))
+            if found.size:
+                starts = _among(_windows(rolling, _word_hashes(words), window), found)
                 gone = covered(len(words), starts, window).tolist()
                 kept = [w for w, g in zip(words, gone, strict=True) if not g]
             rows.append((doc_id, len(words), len(words) - len(kept), b" ".join(kept).decode()))
