@@ -2,7 +2,7 @@
 
 Each byte is mapped to one letter, so that a token is a piece of letters, and
 scored by its negative rank: the model then merges the pair of lowest rank
-first.  Normalisation is the identity.
+first.  Normalisation is the identity, and decoding maps the letters back.
 """
 
 from __future__ import annotations
@@ -11,13 +11,15 @@ import base64
 from collections.abc import Iterator
 from hashlib import sha256
 
+import numpy as np
 import pyarrow as pa
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from panelloom.llm.store import bounded_batches
+from panelloom.llm.store import bounded_batches, free_name
 
 #: The letter of byte b is FIRST + b, in a range without white space or marks.
 FIRST = 0x4E00
@@ -59,7 +61,7 @@ class Codec:
 
     def __init__(self, model: bytes, tokens: list[bytes], pattern: str) -> None:
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.tokens = tokens
+        self.letters = self.pieces.id_to_piece(list(range(len(tokens))))
         self.whole = {t: i for i, t in enumerate(tokens)}
         self.split = regex.compile(pattern).findall
         self.cache: dict[str, list[int]] = {}
@@ -86,7 +88,11 @@ class Codec:
         return out
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+        """The model's pieces, each letter mapped back to its byte.
+
+        A letter's lower half in UTF-16 is its byte, as ``FIRST`` ends in zeros.
+        """
+        return "".join(map(self.letters.__getitem__, ids)).encode("utf-16-le")[::2]
 
 
 def _codecs(docs: DataFrame, ranks_path: str, pattern: str):
@@ -119,34 +125,58 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     shared = _codecs(encoded, ranks_path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = shared.value[1]
+        codec = Codec(*shared.value)
         for batch in batches:
-            raw = [b"".join(map(tokens.__getitem__, x or [])) for x in batch.column(1).to_pylist()]
+            raw = [codec.decode(x or []) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], ["doc_id", "decoded"])
 
     source = encoded.select("doc_id", "ids")
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, decoded binary")
 
 
+DIGESTS = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
+
+
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Digests of each row's ids and of the bytes decoded from them.
 
     The same as :func:`encode`, then :func:`decode`, in one pass, so that ids
-    need not travel.  Null texts count as empty; every row has one result.
+    need not travel.  Null texts count as empty; every row has one result,
+    whatever its id; an empty table gives an empty one.
+    """
+    return with_tokens(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ranks_path, pattern, ids=False).drop("text")
+
+
+def with_tokens(docs: DataFrame, ranks_path: str, pattern: str, *, text_col: str = "text", ids: bool = True) -> DataFrame:
+    """``docs``, all rows and columns, with what each text's tokens are.
+
+    Added: ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, if wanted, the
+    ``ids``.  A column of ``docs`` with one of these names stays, and the new
+    one gets an underscore more.  Null texts count as empty, and stay null.
     """
     shared = _codecs(docs, ranks_path, pattern)
+    at = docs.columns.index(text_col)
+    added = DIGESTS | ({"ids": T.ArrayType(T.IntegerType())} if ids else {})
+    schema = T.StructType(list(docs.schema))
+    for name, kind in added.items():
+        schema.add(free_name(docs, name), kind)
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(*shared.value)
-        decimal = [str(i) for i in range(len(codec.tokens))].__getitem__
+        decimal = [str(i) for i in range(len(codec.letters))].__getitem__
         for batch in batches:
-            count, of_ids, of_bytes = [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = codec.encode(text or "")
-                count.append(len(ids))
-                of_ids.append(sha256(",".join(map(decimal, ids)).encode()).hexdigest())
-                of_bytes.append(sha256(codec.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            coded, count, of_ids, of_bytes = [], [], [], []
+            for text in batch.column(at).to_pylist():
+                found = codec.encode(text or "")
+                count.append(len(found))
+                of_ids.append(sha256(",".join(map(decimal, found)).encode()).hexdigest())
+                of_bytes.append(sha256(codec.decode(found)).hexdigest())
+                if ids:
+                    coded.append(np.array(found, np.int32))
+            made = [pa.array(count, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())]
+            if ids:
+                made.append(pa.array(coded, pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names)
+
+    return docs.mapInArrow(run, schema)

@@ -6,14 +6,23 @@ The tables lie in the folder that the cluster shares: see
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 
 from panelloom.sources.shared import discard, exists, free_name, materialize, shared_dir
 
-__all__ = ["bounded_batches", "discard", "exists", "free_name", "materialize", "shared_dir"]
+__all__ = ["bounded_batches", "discard", "exists", "free_name", "materialize", "resumed", "shared_dir"]
 
 
 def bounded_batches(spark: SparkSession, rows: int = 2000, mb: int = 16) -> None:
     """Keep Arrow batches small, as one row may hold a very long text."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+
+
+def resumed(spark: SparkSession, path: str, made: Callable[[], DataFrame]) -> DataFrame:
+    """The rows at ``path``, which are made and written first unless they are there whole."""
+    if not exists(spark, f"{path}/_SUCCESS"):
+        made().write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
