@@ -1 +1,7 @@
+"""Operators; functions that run in Python workers are shipped by value."""
 
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
