@@ -1,3 +1,3 @@
 """Queries over the driver's tables; importing this package registers them all."""
 
-from panelloom.plans import contracts, graphs, moves, partitions, queries, scoring, statistics  # noqa: F401
+from panelloom.plans import clusters, contracts, graphs, ingest, moves, partitions, queries, scoring, statistics  # noqa: F401
