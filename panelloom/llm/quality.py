@@ -7,8 +7,8 @@ its likelihoods, and a sample is drawn without replacement by Gumbel top-k.
 N-grams are runs of five bytes, once of the text with its white space evened
 out and once of its lower-cased words alone; a document's n-grams count once.
 A bucket's ratio is taken only where the two models differ by more than
-``Z`` standard errors, else it is one: so rare n-grams add no noise, and with
-more text ever more buckets take part.
+``Z`` standard errors, else it is one: so rare n-grams add little noise, and
+with more text ever more buckets take part.
 """
 
 from __future__ import annotations
@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.llm.store import bounded_batches, materialize
+from panelloom.llm.store import bounded_batches, free_name, materialize
 from panelloom.llm.text import ALNUM, Rolling, mix64, utf8
 
 GRAM = 5
 BUCKET_BITS = 20
 #: The summed counts travel in this many ranges of buckets.
 RANGES = 64
-Z = 4.0
+Z = 2.5
 #: Labelled rows used to fit and calibrate, at most; chosen by a hash of the id.
 MAX_LABELLED = 200_000
 #: One in so many labelled rows calibrates the cut instead of fitting.
@@ -206,9 +206,9 @@ class Model:
         """``docs``, columns unchanged, without the rows that are not sampled.
 
         Weights are computed again rather than joined, so texts do not move
-        and rows need no unique id.
+        and rows need no unique id: each is judged by its own text and id.
         """
-        ratios, last, text_at, noise = self.ratios, self.last, docs.columns.index(text_col), "_noise"
+        ratios, last, text_at, noise = self.ratios, self.last, docs.columns.index(text_col), free_name(docs, "_noise")
         if last is None:
             return docs.limit(0)
 
@@ -239,5 +239,10 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
 
 
 def keep_sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that :func:`classify` keeps, columns unchanged."""
+    """The rows of ``docs`` that :func:`classify` keeps, columns unchanged.
+
+    Repeated rows stay or go together; null and empty texts have weight 0 like
+    any other of that weight; an empty table stays empty, and columns may have
+    any names.
+    """
     return Model(docs, labels).kept(docs)
