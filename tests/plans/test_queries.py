@@ -5,7 +5,7 @@ import pytest
 
 from panelloom.plans import queries
 
-TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def rows_of(names, rows):
