@@ -17,7 +17,10 @@ def brand_year(spark: SparkSession, sf_dir: str, months: bool = False) -> DataFr
     """Sales by brand, ship year (or month) and market segment, of whole years."""
     year = F.year("l_shipdate")
     period = year * 12 + F.month("l_shipdate") if months else year
-    lines = table(spark, sf_dir, "lineitem").where(year.between(FIRST_YEAR, FIRST_YEAR + YEARS - 1)).select("l_orderkey", "l_partkey", period.alias("period"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("value"))
+    lines = table(spark, sf_dir, "lineitem")
+    kind = lines.schema["l_shipdate"].dataType
+    first, after = (F.lit(f"{y}-01-01").cast(kind) for y in (FIRST_YEAR, FIRST_YEAR + YEARS))  # a range prunes, years do not
+    lines = lines.where((F.col("l_shipdate") >= first) & (F.col("l_shipdate") < after)).select("l_orderkey", "l_partkey", period.alias("period"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("value"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("category"))
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("entity"))
