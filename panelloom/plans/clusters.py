@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.operators import clustering, leiden
+from panelloom.operators import clustering, leiden, models
 from panelloom.plans.queries import _G, knn_edges, labels, vectors
 from panelloom.plans.registry import query, rounded
 
@@ -57,6 +57,24 @@ def two_level_types(spark, sf_dir):
     return leiden.composed(level, splits)
 
 
+@query(f"""WITH {_G}, mc AS (SELECT cluster, dim, avg(x) AS mean, count(*) AS n FROM v GROUP BY ALL), tot AS (SELECT sum(t) AS t FROM (SELECT sum(x * x) - sum(x) * sum(x) / count(*) AS t FROM v GROUP BY dim)), mass AS (SELECT sum(weight) AS mass FROM e),
+gap AS (SELECT v.id, v.cluster AS here, mc.cluster AS c, mc.n, sum((x - mean) ** 2) AS gap FROM v JOIN mc ON v.dim = mc.dim GROUP BY ALL), lk AS (SELECT x.src AS id, l.cluster AS c, sum(weight) AS w FROM (SELECT src, dst, weight FROM e UNION ALL SELECT dst, src, weight FROM e) x JOIN l ON x.dst = l.id GROUP BY ALL),
+g AS (SELECT gap.*, coalesce(w, 0) AS w FROM gap LEFT JOIN lk USING (id, c)), own AS (SELECT id, gap * n / (n - 1) AS leave, w AS kept FROM g WHERE c = here AND n > 1),
+ch AS (SELECT g.id, here, c, (gap * n / (n + 1) - leave) / t + 0.25 * (kept - w) / mass AS change FROM g JOIN own USING (id), tot, mass WHERE c <> here)
+SELECT id, here AS cluster, c AS "to", round(change, 9) AS change FROM ch QUALIFY row_number() OVER (PARTITION BY id ORDER BY change, c) = 1""")
+def best_moves(spark, sf_dir):
+    return rounded(models.best_moves(vectors(spark, sf_dir), links(spark, sf_dir), labels(spark, sf_dir), 0.25), "change", places=9)
+
+
+@query(f"""WITH {_G}, sh AS (SELECT id, c, CASE WHEN cluster = c THEN 0.91::DOUBLE ELSE 0.01::DOUBLE END AS s FROM l, (SELECT unnest(range(10)) AS c)), bw AS (SELECT src, dst, weight FROM e UNION ALL SELECT dst, src, weight FROM e), vol AS (SELECT sum(weight) AS vol FROM bw),
+ins AS (SELECT sum(weight * a.s * z.s) AS ins FROM bw JOIN sh a ON src = a.id JOIN sh z ON dst = z.id AND z.c = a.c), dg AS (SELECT src AS id, sum(weight) AS deg FROM bw GROUP BY src),
+pc AS (SELECT c, sum(coalesce(deg, 0) * s) AS vc, sum(s) AS size FROM sh LEFT JOIN dg USING (id) GROUP BY c), o AS (SELECT sum(vc * vc) AS vv, sqrt(sum(size * size)) AS norm, sum(size) AS n FROM pc)
+SELECT round(vv / (vol * vol) - ins / vol + norm * sqrt(10) / n - 1, 6) AS loss, round(vv / (vol * vol) - ins / vol, 6) AS spectral, round(norm * sqrt(10) / n - 1, 6) AS collapse FROM ins, vol, o""")
+def soft_modularity(spark, sf_dir):
+    share = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda c: F.when(c == F.col("cluster"), 0.91).otherwise(0.01))
+    return rounded(models.soft_modularity(labels(spark, sf_dir).select("id", share.alias("share")), links(spark, sf_dir)), "loss", "spectral", "collapse")
+
+
 _SEEDS = (1, 2, 3)
 
 
