@@ -42,7 +42,7 @@ MANY = 16
 LAST = np.iinfo(np.int64).max
 PROBE, BLOCK, KNOWN = 0, 1, 2
 PACKED = "bucket int, kind int, docs binary, counts binary, hashes binary"
-FOUND = "doc long, hashes binary"
+FOUND = "part int, docs binary, counts binary, hashes binary"
 
 
 class Form(NamedTuple):
@@ -148,9 +148,29 @@ def _packed(kind: int, docs: np.ndarray, hashes: np.ndarray, buckets: np.ndarray
     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
 
-def _known(docs: np.ndarray, hashes: np.ndarray, buckets: int, form: Form) -> Iterator[pa.RecordBatch]:
-    """What needs no match passes the buckets by, spread over them by document."""
-    yield from _packed(KNOWN, docs, hashes, (mix64(docs.view(np.uint64)) % np.uint64(min(buckets, 64))).astype(np.int64), form)
+def _rotated(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def part_of(docs: np.ndarray, parts: int) -> np.ndarray:
+    """As Spark's ``pmod(xxhash64(doc), parts)`` of a long."""
+    one, two, three, four, five = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    x = (np.uint64(42) + five + np.uint64(8)) ^ (_rotated(docs.view(np.uint64) * two, 31) * one)
+    x = _rotated(x, 27) * one + four
+    x = (x ^ (x >> np.uint64(33))) * two
+    x = (x ^ (x >> np.uint64(29))) * three
+    return (x ^ (x >> np.uint64(32))).view(np.int64) % parts
+
+
+def _known(docs: np.ndarray, hashes: np.ndarray, levels: Levels, form: Form) -> Iterator[pa.RecordBatch]:
+    """What needs no match: the buckets pass it on, each to the part of its own number."""
+    yield from _packed(KNOWN, docs, hashes, levels.first(part_of(docs, levels.buckets)), form)
+
+
+def _found(docs: np.ndarray, hashes: np.ndarray, levels: Levels, form: Form) -> Iterator[pa.RecordBatch]:
+    """What a bucket found, one row per part of the documents."""
+    for batch in _packed(KNOWN, docs, hashes, part_of(docs, levels.buckets), form):
+        yield batch.drop_columns("kind").rename_columns(["part", "docs", "counts", "hashes"])
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -162,16 +182,6 @@ def _read(docs: bytes, counts: bytes, hashes: bytes, form: Form) -> tuple[np.nda
     return np.repeat(np.frombuffer(docs, np.int64), np.frombuffer(counts, "<i4")), form.unpack(hashes)
 
 
-def _by_doc(docs: np.ndarray, hashes: np.ndarray, form: Form) -> Iterator[pa.RecordBatch]:
-    if not len(docs):
-        return
-    order = np.argsort(docs, kind="stable")
-    docs, hashes = docs[order], hashes[:, order]
-    starts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
-    ends = [*starts[1:].tolist(), len(docs)]
-    yield pa.RecordBatch.from_arrays([pa.array(docs[starts]), pa.array([form.pack(hashes[:, i:j]) for i, j in zip(starts.tolist(), ends, strict=True)], pa.binary())], ["doc", "hashes"])
-
-
 def _buckets(batches: Iterator[pa.RecordBatch], form: Form, match) -> Iterator[pa.RecordBatch]:
     """``match`` of the probes and blocks of each bucket; rows come sorted by bucket."""
 
@@ -188,7 +198,7 @@ def _buckets(batches: Iterator[pa.RecordBatch], form: Form, match) -> Iterator[p
             held = []
         now = bucket
         if kind == KNOWN:
-            yield from _by_doc(*_read(*row, form), form)
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *[pa.array([x], pa.binary()) for x in row]], ["part", "docs", "counts", "hashes"])
         else:
             held.append((kind, row))
     if held:
@@ -220,8 +230,7 @@ def _dealt(packed: DataFrame, levels: Levels, form: Form) -> DataFrame:
     if levels.coarse == 1:
         return packed.repartitionById(levels.buckets, F.col("bucket")).sortWithinPartitions("bucket")
     parts = max(1, -(-levels.fan_out // DEALT_AGAIN))
-    spread = F.when(F.col("kind") == KNOWN, F.pmod(F.xxhash64("docs"), F.lit(levels.coarse * parts)).cast("int"))
-    spread = F.coalesce(spread, F.col("bucket") * parts + F.pmod(F.xxhash64("docs"), F.lit(parts)).cast("int"))
+    spread = F.col("bucket") * parts + F.pmod(F.xxhash64("docs"), F.lit(parts)).cast("int")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -231,7 +240,7 @@ def _dealt(packed: DataFrame, levels: Levels, form: Form) -> DataFrame:
             for kind, part in held.items():
                 docs, hashes = np.concatenate([p[0] for p in part]), np.concatenate([p[1] for p in part], axis=1)
                 if kind == KNOWN:
-                    yield from _known(docs, hashes, levels.buckets, form)
+                    yield from _packed(KNOWN, docs, hashes, part_of(docs, levels.buckets), form)
                 else:
                     yield from _packed(kind, docs, hashes, form.bucket(hashes, levels.buckets), form)
             held.clear()
@@ -263,7 +272,7 @@ def _anchored(source: DataFrame, width: int, levels: Levels) -> DataFrame:
             sizes = np.diff(first, append=len(order))
             _, latest = _best(docs, order, first, np.maximum)
             many = order[np.repeat(sizes >= MANY, sizes)]
-            yield from _known(docs[many], hashes[:, many], levels.buckets, BLOCKS)
+            yield from _known(docs[many], hashes[:, many], levels, BLOCKS)
             rest = np.r_[order[np.repeat(sizes < MANY, sizes)], latest[sizes >= MANY]]
             yield from _packed(PROBE, docs[rest], hashes[:, rest], levels.first(BLOCKS.bucket(hashes[:, rest], levels.buckets)), BLOCKS)
             docs, hashes = blocks.take()
@@ -293,31 +302,41 @@ def _anchored(source: DataFrame, width: int, levels: Levels) -> DataFrame:
         most = np.full(len(values), -LAST)
         np.maximum.at(most, at[hit], docs[hit])
         hit = hit[(most > least)[at[hit]]]
-        yield from _by_doc(docs[hit], hashes[:, hit], BLOCKS)
+        yield from _found(docs[hit], hashes[:, hit], levels, BLOCKS)
 
     dealt = _dealt(source.mapInArrow(probe, PACKED), levels, BLOCKS)
     return dealt.mapInArrow(lambda batches: _buckets(batches, BLOCKS, match), FOUND)
 
 
-def _beside(source: DataFrame, found: DataFrame) -> DataFrame:
-    """Texts and found hashes by document, the hashes first."""
-    hashes = found.select("doc", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("text"), "hashes", F.lit(None).cast("long").alias("doc_id"))
-    texts = source.select("doc", F.lit(1).alias("kind"), "text", F.lit(None).cast("binary").alias("hashes"), "doc_id")
-    return hashes.unionByName(texts).repartition("doc").sortWithinPartitions("doc", "kind")
+def _beside(source: DataFrame, found: DataFrame, levels: Levels) -> DataFrame:
+    """Texts and found hashes by part of the documents, the hashes first."""
+    none = lambda kind: F.lit(None).cast(kind)
+    hashes = found.select("part", F.lit(0).alias("kind"), none("long").alias("doc"), none("string").alias("text"), "docs", "counts", "hashes", none("long").alias("doc_id"))
+    part = F.pmod(F.xxhash64("doc"), F.lit(levels.buckets)).cast("int")
+    texts = source.select(part.alias("part"), F.lit(1).alias("kind"), "doc", "text", *[none("binary").alias(c) for c in ("docs", "counts", "hashes")], "doc_id")
+    return hashes.unionByName(texts).repartitionById(levels.buckets, F.col("part")).sortWithinPartitions("part", "kind")
 
 
 def _texts_with(batches: Iterator[pa.RecordBatch], form: Form) -> Iterator[tuple[int, int | None, bytes, np.ndarray]]:
     """Document, id, text and found hashes of each text of :func:`_beside`."""
-    now, held = None, []
+    now, held, docs, hashes = None, [], np.empty(0, np.int64), np.empty((form.columns, 0), np.uint64)
     for batch in batches:
-        cols = [batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), batch.column(3).to_pylist(), batch.column(4).to_pylist()]
-        for doc, kind, text, hashes, doc_id in zip(*cols, strict=True):
-            if doc != now:
-                now, held = doc, []
+        cols = [utf8(c) if i == 3 else c.to_pylist() for i, c in enumerate(batch.columns)]
+        for part, kind, doc, text, *packed, doc_id in zip(*cols, strict=True):
+            if part != now or kind == 0:
+                held = held if part == now else []
+                if kind == 0:
+                    held.append(_read(*packed, form))
+                now, docs = part, None
             if kind == 0:
-                held.append(form.unpack(hashes))
-            else:
-                yield doc, doc_id, text, np.concatenate(held, axis=1) if held else np.empty((form.columns, 0), np.uint64)
+                continue
+            if docs is None:
+                docs = np.concatenate([np.empty(0, np.int64), *[h[0] for h in held]])
+                hashes = np.concatenate([np.empty((form.columns, 0), np.uint64), *[h[1] for h in held]], axis=1)
+                order = np.argsort(docs, kind="stable")
+                docs, hashes, held = docs[order], hashes[:, order], []
+            i, j = np.searchsorted(docs, [doc, doc + 1] if doc < LAST else [doc, doc]).tolist()
+            yield doc, doc_id, text, hashes[:, i : j if doc < LAST else len(docs)]
 
 
 def _repeated(source: DataFrame, anchors: DataFrame, window: int, width: int, levels: Levels) -> DataFrame:
@@ -333,7 +352,7 @@ def _repeated(source: DataFrame, anchors: DataFrame, window: int, width: int, le
             order, first = _alike(hashes)
             least, one = _best(docs, order, first, np.minimum)
             later = order[docs[order] > least]
-            yield from _known(docs[later], hashes[:, later], levels.buckets, WINDOWS)
+            yield from _known(docs[later], hashes[:, later], levels, WINDOWS)
             yield from _packed(PROBE, docs[one], hashes[:, one], levels.first(WINDOWS.bucket(hashes[:, one], levels.buckets)), WINDOWS)
 
         for doc, _, text, hot in _texts_with(batches, BLOCKS):
@@ -358,9 +377,9 @@ def _repeated(source: DataFrame, anchors: DataFrame, window: int, width: int, le
         order, first = _alike(hashes)
         least, _ = _best(docs, order, first, np.minimum)
         later = order[docs[order] > least]
-        yield from _by_doc(docs[later], hashes[:, later], WINDOWS)
+        yield from _found(docs[later], hashes[:, later], levels, WINDOWS)
 
-    dealt = _dealt(_beside(source, anchors).mapInArrow(extend, PACKED), levels, WINDOWS)
+    dealt = _dealt(_beside(source, anchors, levels).mapInArrow(extend, PACKED), levels, WINDOWS)
     return dealt.mapInArrow(lambda batches: _buckets(batches, WINDOWS, match), FOUND)
 
 
@@ -427,7 +446,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         if rows:
             yield out(rows)
 
-    return _beside(source, repeats).mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string")
+    return _beside(source, repeats, levels).mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:

@@ -47,3 +47,9 @@ def test_hashes_equal_in_one_number_only():
     order, first = substrings._alike(hashes)
     assert [hashes[:, i].tolist() for i in order[first]] == [[5, 1], [5, 2], [7, 1]]
     assert substrings._among(hashes, np.array([[5], [2]], np.uint64)).tolist() == [1]
+
+
+def test_parts_are_those_of_spark(spark):
+    ids = [0, 1, -1, 7, 10**12, -(2**63), 2**63 - 1]
+    want = [r.p for r in spark.createDataFrame([(i,) for i in ids], "doc long").select(F.pmod(F.xxhash64("doc"), F.lit(37)).alias("p")).collect()]
+    assert substrings.part_of(np.array(ids, np.int64), 37).tolist() == want
