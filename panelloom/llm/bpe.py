@@ -106,7 +106,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
     """``doc_id`` and ``ids``, the token ids of each row's whole text.
 
     Null texts count as empty and have no ids.  Rows are neither dropped nor
-    merged, ids may be null or repeated, other columns are left out.
+    merged, ids may be null or repeated, an empty table gives an empty one,
+    other columns are left out, whatever their names.  A text of any length is
+    coded whole, by one worker.
     """
     shared = _codecs(docs, ranks_path, pattern)
 
