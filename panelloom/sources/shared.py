@@ -7,7 +7,6 @@ because driver and executors are one process.
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -62,9 +61,3 @@ def discard(df: DataFrame) -> None:
     if path:
         files, where = _file_system(df.sparkSession, path)
         files.delete(where, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let the driver forget plans that are done with, so that Spark deletes their shuffle files now and not at some later collection."""
-    gc.collect()
-    spark._jvm.System.gc()
