@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import bpe, chat, ctw, decontam, fingerprints, quality, secrets, sharding, simhash, sql, substrings
+from panelloom.llm import bpe, chat, ctw, decontam, fingerprints, pages, quality, secrets, sharding, simhash, sql, substrings, whitening
 from panelloom.llm.store import shared_dir
 
 
@@ -74,6 +74,14 @@ def op10_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(_table(spark, sf_dir, "documents"))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.report(_table(spark, sf_dir, "pages"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_importance_resampling": op1_importance_resampling,
     "op2_decontamination": op2_decontamination,
@@ -85,6 +93,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_context_tree_weighting": op10_context_tree_weighting,
+    "op11_html_extraction": op11_html_extraction,
+    "op12_embedding_whitening": op12_embedding_whitening,
 }
 
 #: The others rest on hashes or models that DuckDB lacks; tests/llm checks them by brute force.

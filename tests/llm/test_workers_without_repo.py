@@ -26,4 +26,4 @@ def test_all_queries_from_an_empty_folder(tmp_path):
     env["SPARK_LOCAL_DIRS"] = str(tmp_path / "spark")
     done = subprocess.run([sys.executable, "-c", SCRIPT.format(root=ROOT)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900, check=False)
     assert done.returncode == 0, done.stderr[-3000:]
-    assert done.stdout.count("ran ") == 11
+    assert done.stdout.count("ran ") == 13
