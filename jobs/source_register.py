@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from jobs.command import settings, start
 from panelloom.functions import text as T
+from panelloom.sources.shared import discard, materialize
 
 LOG = logging.getLogger("jobs.source_register")
 
@@ -47,16 +48,11 @@ def conflicts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.min("sha256").alias("a"), F.max("sha256").alias("b")).where("a <> b").select("doc_id", F.lit(True).alias("conflicting"))
 
 
-def register(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The register's rows.
-
-    Counts by text and by id are aggregated before any row travels, and only
-    texts and ids that repeat are joined back; a text that a third of the
-    documents share is one row on that side, and AQE splits the other.
-    """
+def described(documents: DataFrame) -> DataFrame:
+    """What each document's own text says; the only pass over the texts."""
     text = F.coalesce("text", F.lit(""))
     tokens, numbers = number_counts(text)
-    rows = documents.where("doc_id IS NOT NULL AND source IS NOT NULL").select(
+    return documents.where("doc_id IS NOT NULL AND source IS NOT NULL").select(
         "doc_id",
         "lang",
         T.content_hash(text).alias("sha256"),
@@ -66,9 +62,17 @@ def register(documents: DataFrame, labels: DataFrame) -> DataFrame:
         numbers.alias("numbers"),
         "source",
     )
-    keys = documents.where("doc_id IS NOT NULL AND source IS NOT NULL").select("doc_id", T.content_hash(text).alias("sha256"))
+
+
+def register(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The register's rows, of :func:`described` ones.
+
+    Counts by text and by id are aggregated before any row travels, and only
+    texts and ids that repeat are joined back; a text that a third of the
+    documents share is one row on that side, and AQE splits the other.
+    """
     marks = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    found = rows.join(repeated(keys), "sha256", "left").join(conflicts(keys), "doc_id", "left").join(marks, "doc_id", "left")
+    found = rows.join(repeated(rows), "sha256", "left").join(conflicts(rows), "doc_id", "left").join(marks, "doc_id", "left")
     return found.select(
         "doc_id",
         "lang",
@@ -87,10 +91,15 @@ def register(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def run(spark: SparkSession, documents: str, labels: str, output: str) -> dict:
-    """Write the register; returns how many documents were read and registered, and of how many sources."""
+    """Write the register; returns how many documents were read and registered, and of how many sources.
+
+    What the texts say is written to the shared folder first, so that they are
+    read once however often their hashes are.
+    """
     given = spark.read.parquet(documents)
-    rows = register(given, spark.read.parquet(labels))
-    rows.hint("rebalance", "source").write.mode("overwrite").partitionBy("source").parquet(output)
+    rows = materialize(described(given), "register-rows")
+    register(rows, spark.read.parquet(labels)).hint("rebalance", "source").write.mode("overwrite").partitionBy("source").parquet(output)
+    discard(rows)
     written = spark.read.parquet(output)
     sources, registered, repeats = written.agg(F.count_distinct("source"), F.count("*"), F.count(F.when(F.col("doc_id") != F.col("first_doc_id"), 1))).first()
     done = {"documents_read": given.count(), "documents_registered": registered, "sources": sources, "later_copies": repeats}

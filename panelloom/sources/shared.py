@@ -23,7 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="panelloom-"))
+    if "dir" not in _LOCAL:
+        _LOCAL["dir"] = tempfile.mkdtemp(prefix="panelloom-")
+    return _LOCAL["dir"]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
