@@ -33,13 +33,13 @@ def test_rows_and_reruns(spark, tmp_path):
 
     first, odd = sha(rows[0][1]), sha(rows[5][1])
     want = [
-        (1, "s1", 1, 2, False, 24, 2, 4, 3, 0, 0, first),
-        (2, "s2", 1, 2, True, 24, 2, 4, 3, 1, 1, first),
+        (1, "s1", 1, 2, False, 23, 2, 4, 3, 0, 0, first),
+        (2, "s2", 1, 2, True, 23, 2, 4, 3, 1, 1, first),
         (2, "s2", 2, 1, True, 5, 1, 0, 0, 1, 1, sha("other")),
         (3, "s1", 3, 2, False, 0, 0, 0, 0, None, None, sha("")),
         (4, "s1", 3, 2, False, 0, 0, 0, 0, None, None, sha("")),
-        (5, "s1", 5, 2, False, 13, 1, 2, 1, None, None, odd),
-        (5, "s1", 5, 2, False, 13, 1, 2, 1, None, None, odd),
+        (5, "s1", 5, 2, False, 13, 1, 3, 2, None, None, odd),
+        (5, "s1", 5, 2, False, 13, 1, 3, 2, None, None, odd),
     ]
     assert found() == sorted(want, key=str)
     assert found() == sorted(want, key=str)
