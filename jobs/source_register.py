@@ -98,9 +98,10 @@ def run(spark: SparkSession, documents: str, labels: str, output: str) -> dict:
     """
     given = spark.read.parquet(documents)
     rows = materialize(described(given), "register-rows")
-    register(rows, spark.read.parquet(labels)).hint("rebalance", "source").write.mode("overwrite").partitionBy("source").parquet(output)
+    found = register(rows, spark.read.parquet(labels))
+    found.hint("rebalance", "source").write.mode("overwrite").partitionBy("source").parquet(output)
     discard(rows)
-    written = spark.read.parquet(output)
+    written = spark.read.schema(found.schema).parquet(output)
     sources, registered, repeats = written.agg(F.count_distinct("source"), F.count("*"), F.count(F.when(F.col("doc_id") != F.col("first_doc_id"), 1))).first()
     done = {"documents_read": given.count(), "documents_registered": registered, "sources": sources, "later_copies": repeats}
     LOG.info("read %(documents_read)d documents, registered %(documents_registered)d of %(sources)d sources, %(later_copies)d later copies", done)

@@ -95,8 +95,7 @@ def kmeans_profiles(spark, sf_dir):
 
 @query(None)
 def mixture_profiles(spark, sf_dir):
-    first = vectors(spark, sf_dir).withColumn("vector", F.slice("vector", 1, 5))
-    return clustering.gaussian_mixture(first, K)[0]
+    return clustering.gaussian_mixture(vectors(spark, sf_dir), K)[0]
 
 
 @query(None)
@@ -121,8 +120,16 @@ def graph_regularised(spark, sf_dir):
 
 @query(None)
 def gap_statistic(spark, sf_dir):
-    first = vectors(spark, sf_dir).withColumn("vector", F.slice("vector", 1, 5))
-    return clustering.gap_statistic(first, [1, 2, 3, 4], references=4, starts=2)
+    return clustering.gap_statistic(vectors(spark, sf_dir), [1, 2, 3, 4], references=4, starts=2)
+
+
+@query(None)
+def tuned_prototypes(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    start = [list(r["vector"]) for r in rows.orderBy("id").limit(K).collect()]
+    _, centres, _ = clustering.lloyd(rows, start, ROUNDS)
+    centres, biases, _ = models.tuned_prototypes(rows, centres, least=5, rounds=2)
+    return rows.select("id", clustering.nearest(F.col("vector"), centres, biases)["cluster"].alias("cluster"))
 
 
 @query(None)
