@@ -9,12 +9,13 @@ chunk of rows at once, a level at a time, in NumPy.
 :func:`near_duplicates` links fingerprints of 64 bits by their distance alone.
 :func:`keep_one_each` wants texts of which 0.8 of the five-word shingles are
 shared, which 64 bits cannot tell: it takes ``WIDE`` times 64 bits, joins each
-run of 32 of them in tries of its own, and links texts by the distance of all.
+run of 32 of them in tries of its own, and takes pairs that are near in all as
+proposals.  What decides is the exact similarity of the two sets of shingles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from panelloom.llm.components import connected_components
-from panelloom.llm.store import bounded_batches, free_name, materialize
+from panelloom.llm.store import bounded_batches, discard, free_name, materialize
 from panelloom.llm.text import mix64, utf8
 
 SEED = 42
@@ -31,13 +32,18 @@ SEED = 42
 TRIE_ROWS = 50_000
 #: Words of 64 bits in a wide fingerprint, each of two halves that are joined.
 WIDE = 5
-#: Bits in which two halves may differ to be compared in full.
-HALF_BUDGET = 3
-#: Bits in which wide fingerprints may differ.  Texts that share 0.8 of their
-#: shingles differ in 49 of 320 in the mean, with a deviation of 6.
-WIDE_BUDGET = 57
-#: Equal halves of more fingerprints are linked through leaders.
-CROWD = 64
+#: Bits in which two halves may differ to be compared in full: at a similarity
+#: of 0.8 one of ten halves does not exceed it in 998 of 1000 pairs.
+HALF_BUDGET = 4
+#: Bits in which wide fingerprints may differ to be proposed.  Texts of a
+#: similarity of 0.8 differ in 49 of 320 in the mean, with a deviation of 6.4.
+WIDE_BUDGET = 68
+#: Equal halves of more fingerprints are proposed to leaders, not to each other.
+CROWD = 8
+#: Texts are near copies from this share of common shingles on.
+ALIKE = 0.8
+#: Partners of one text that a task compares with it.
+SPOKES = 1000
 #: Pairs that are compared at once.
 PAIRS = 1_000_000
 
@@ -68,9 +74,8 @@ def simhash(text: bytes, shingle: int = 3) -> int:
     return majority(hashes) if len(hashes) else 0
 
 
-def wide_simhash(text: bytes, shingle: int = 5) -> list[int]:
+def wide_simhash(hashes: np.ndarray) -> list[int]:
     """Majorities of ``WIDE`` independent hashes of the distinct shingles."""
-    hashes = np.unique(shingle_hashes(text, shingle))
     return [majority(mix64(hashes + np.uint64(k + 1))) if len(hashes) else 0 for k in range(WIDE)]
 
 
@@ -96,25 +101,149 @@ WORDS = [f"w{k}" for k in range(WIDE)]
 
 
 def wide_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """``doc_id, w0, w1, ...`` of every row, with ``key_a`` and ``key_b``, hashes of its id and text."""
+    """``doc_id, w0, w1, ..., set_a, set_b, key_a, key_b`` of every row.
+
+    ``set_a`` and ``set_b`` are hashes of its set of shingles, ``key_a`` and
+    ``key_b`` of its id and text.
+    """
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = np.array([wide_simhash(x, shingle) for x in utf8(batch.column(1))], np.uint64).reshape(-1, WIDE)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(bits[:, k]).view(np.int64)) for k in range(WIDE)), *batch.columns[2:]], names)
+            sets = [np.unique(shingle_hashes(x, shingle)) for x in utf8(batch.column(1))]
+            rows = [[*wide_simhash(h), xxh64_intdigest(h, 1), xxh64_intdigest(h, 2)] for h in sets]
+            bits = np.array(rows, np.uint64).reshape(-1, WIDE + 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in bits.T), *batch.columns[2:]], names)
 
-    names = ["doc_id", *WORDS, "key_a", "key_b"]
+    names = ["doc_id", *WORDS, "set_a", "set_b", "key_a", "key_b"]
     marks = [k.alias(n) for k, n in zip(_row_keys(id_col, text_col), names[-2:], strict=True)]
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *marks)
     return source.mapInArrow(run, ", ".join([f"doc_id {source.schema['doc_id'].dataType.simpleString()}", *(f"{n} long" for n in names[1:])]))
 
 
-def _pairs(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int, top: int = 63, wide: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: DataFrame, shingle: int = 5) -> DataFrame:
+    """``node`` and ``hashes``, the sorted distinct shingle hashes of its ``text`` as bytes."""
+    bounded_batches(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(x, shingle)).tobytes() for x in utf8(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "hashes"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, hashes binary")
+
+
+def alike(pairs: DataFrame, sets: DataFrame, least: float = ALIKE) -> DataFrame:
+    """The pairs ``a, b`` (of distinct nodes) whose sets have a Jaccard similarity of at least ``least``.
+
+    Of a pair the node with more partners is the hub.  Its set goes once to
+    each task that has some ``SPOKES`` of its partners, which come there with
+    theirs, so that no node with many partners is sent with each of them.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    degree = lambda name: ends.select(F.col("node").alias(name), F.struct("degree", "node").alias(f"{name}_degree"))
+    met = pairs.join(degree("a"), "a").join(degree("b"), "b")
+    hub = F.greatest("a_degree", "b_degree")
+    met = met.select(hub["node"].alias("hub"), F.least("a_degree", "b_degree")["node"].alias("spoke"), F.ceil(hub["degree"] / SPOKES).cast("int").alias("parts"))
+    spokes = met.withColumn("part", F.pmod(F.xxhash64("spoke"), F.col("parts")).cast("int"))
+    hubs = met.select("hub", "parts").distinct().withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    held = hubs.select("hub", "part", F.lit(None).cast("long").alias("spoke"), F.col("hub").alias("node"))
+    rows = held.unionByName(spokes.select("hub", "part", "spoke", F.col("spoke").alias("node"))).join(sets, "node").drop("node")
+    rows = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", F.asc_nulls_first("spoke"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.empty(0, np.uint64)
+        for batch in batches:
+            found = []
+            for hub, spoke, raw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                other = np.frombuffer(raw, np.uint64)
+                if spoke is None:
+                    own = other
+                elif min(len(own), len(other)) >= least * max(len(own), len(other)):
+                    both = len(np.intersect1d(own, other, assume_unique=True))
+                    if both >= least * (len(own) + len(other) - both):
+                        found.append((min(hub, spoke), max(hub, spoke)))
+            a, b = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return rows.select("hub", "part", "spoke", "hashes").mapInArrow(run, "a long, b long")
+
+
+class Balls:
+    """Wide fingerprints, and the crowds among them that leaders stand for."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words = words
+        self.radius = np.zeros(len(words), np.int64)
+        self.members: dict[int, np.ndarray] = {}
+
+    def far(self, a, b) -> np.ndarray:
+        return np.bitwise_count(self.words[a] ^ self.words[b]).sum(axis=-1)
+
+    def middle(self, rows: np.ndarray) -> int:
+        """The row nearest to the majority of the rows' bits."""
+        ones = np.zeros(64 * self.words.shape[1], np.int64)
+        for k in range(0, len(rows), 1 << 14):
+            ones += np.unpackbits(np.ascontiguousarray(self.words[rows[k : k + (1 << 14)]]).view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+        centre = np.packbits(2 * ones > len(rows)).view(np.uint64)
+        return int(rows[np.bitwise_count(self.words[rows] ^ centre).sum(axis=1).argmin()])
+
+    def lead(self, crowd: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Proposals within a crowd, and the rows that stand for it.
+
+        The middle row leads all rows near it, then the middle one of their
+        farther half leads those again, and so on; what is near no leader is
+        led by its own middle row.  Proposals number twice the crowd at most.
+        """
+        a, b, stay = [], [], []
+        while len(crowd):
+            leader = self.middle(crowd)
+            gap = self.far(crowd, leader)
+            ball = crowd[gap <= WIDE_BUDGET]
+            self.members[leader], self.radius[leader] = ball, gap[gap <= WIDE_BUDGET].max()
+            crowd, rows, gap = crowd[gap > WIDE_BUDGET], ball, gap[gap <= WIDE_BUDGET]
+            while True:
+                stay.append(leader)
+                near = rows[(gap <= WIDE_BUDGET) & (rows != leader)]
+                a.append(near)
+                b.append(np.full(len(near), leader))
+                rows = rows[gap > np.median(gap)]
+                if len(rows) <= CROWD:
+                    break
+                leader = self.middle(rows)
+                gap = self.far(rows, leader)
+        none = np.empty(0, np.int64)
+        return np.concatenate([none, *a]), np.concatenate([none, *b]), stay
+
+    def judge(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Proposals of pairs whose halves are near: themselves, or members of their balls.
+
+        By the triangle inequality a ball can hold a row near another one only
+        if its leader is no further than the budget and the radii.  Rows beyond
+        the budget of a leader are compared with all its members.
+        """
+        gap = self.far(i, j)
+        direct = gap <= WIDE_BUDGET
+        out_a, out_b = [i[direct]], [j[direct]]
+        for x, y in zip(*((v[~direct & (gap <= WIDE_BUDGET + self.radius[i] + self.radius[j])]).tolist() for v in (i, j)), strict=True):
+            ours, theirs = self.members.get(x, np.array([x])), self.members.get(y, np.array([y]))
+            ours = ours[self.far(ours, y) <= WIDE_BUDGET + self.radius[y]]
+            theirs = theirs[self.far(theirs, x) <= WIDE_BUDGET + self.radius[x]]
+            if len(ours) > len(theirs):
+                ours, theirs = theirs, ours
+            for row in ours.tolist():  # one link of each is enough to connect
+                gaps = self.far(theirs, row)
+                if len(gaps) and gaps.min() <= WIDE_BUDGET:
+                    out_a.append(np.array([row]))
+                    out_b.append(theirs[gaps.argmin()][None])
+        return np.concatenate(out_a), np.concatenate(out_b)
+
+
+def _pairs(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int, top: int = 63, judge: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Positions of linked fingerprints; each [start, end) is one sorted trie.
 
-    Paths run from bit ``top`` down.  With ``wide``, a row of words for each
-    fingerprint, a link must also keep ``WIDE_BUDGET`` there.
+    Paths run from bit ``top`` down.  Pairs within the budget are handed to
+    ``judge``, if given, which says what is linked.
     """
     out_a, out_b = [], []
     a0, a1, b0, b1 = starts, ends, starts, ends
@@ -131,9 +260,8 @@ def _pairs(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int, t
             i, j = i[keep], j[keep]
             near = np.bitwise_count(fps[i] ^ fps[j]) <= budget
             i, j = i[near], j[near]
-            if wide is not None:
-                near = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1) <= WIDE_BUDGET
-                i, j = i[near], j[near]
+            if judge is not None:
+                i, j = judge(i, j)
             out_a.append(i)
             out_b.append(j)
 
@@ -171,7 +299,7 @@ def _spanning(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _join_tries(keys: np.ndarray, fps: np.ndarray, budget: int, wide: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Links within each run of equal keys, as rows: a spanning set."""
+    """Links within each run of equal keys, as rows: a spanning set, or all proposals of ``wide`` ones."""
     edge = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1 if len(keys) else np.empty(0, np.int64)
     starts, ends = np.concatenate(([0], edge)), np.concatenate((edge, [len(keys)]))
     group = np.repeat(np.arange(len(starts)), ends - starts)
@@ -180,41 +308,37 @@ def _join_tries(keys: np.ndarray, fps: np.ndarray, budget: int, wide: np.ndarray
     if wide is None:
         many = ends - starts > 1
         a, b = _pairs(fps, starts[many], ends[many], budget)
-    else:
-        wide = wide[order]
-        stays, a, b = _through_leaders(group, fps, wide)
-        before = np.concatenate(([0], np.cumsum(stays)))
-        starts, ends = before[starts], before[ends]
-        many = ends - starts > 1
-        place = np.flatnonzero(stays)
-        x, y = _pairs(fps[place], starts[many], ends[many], budget, 31, wide[place])
-        a, b = np.concatenate((a, place[x])), np.concatenate((b, place[y]))
-    moved, root = _spanning(len(fps), a, b)
-    return order[moved], order[root]
-
-
-def _through_leaders(group: np.ndarray, fps: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which rows go on into the tries, and links among crowds of equal halves.
-
-    A crowd's first row leads; all rows near it are linked to it, and the
-    first that is near no leader leads next.  Only leaders go on.
-    """
+        moved, root = _spanning(len(fps), a, b)
+        return order[moved], order[root]
+    balls = Balls(wide[order])
+    stays, a, b = _without_crowds(group, fps, balls)
+    before = np.concatenate(([0], np.cumsum(stays)))
+    starts, ends = before[starts], before[ends]
+    many = ends - starts > 1
+    place = np.flatnonzero(stays)
+
+    def judge(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x, y = balls.judge(place[i], place[j])
+        found.append((x, y))
+        return x[:0], y[:0]
+
+    found = [(a, b)]
+    _pairs(fps[place], starts[many], ends[many], budget, 31, judge)
+    return order[np.concatenate([x for x, _ in found])], order[np.concatenate([y for _, y in found])]
+
+
+def _without_crowds(group: np.ndarray, fps: np.ndarray, balls: Balls) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which rows go on into the tries, leaders for their crowds, and proposals within crowds."""
     stays, a, b = np.ones(len(fps), bool), [], []
     edge = np.flatnonzero((fps[1:] != fps[:-1]) | (group[1:] != group[:-1])) + 1
     starts, ends = np.concatenate(([0], edge)), np.concatenate((edge, [len(fps)]))
     for i, j in zip(starts.tolist(), ends.tolist(), strict=True):
-        if j - i <= CROWD:
-            continue
-        free = np.ones(j - i, bool)
-        while free.any():
-            leader = i + int(np.argmax(free))
-            near = np.bitwise_count(wide[i:j] ^ wide[leader]).sum(axis=1) <= WIDE_BUDGET
-            rows = i + np.flatnonzero(near)
-            a.append(rows)
-            b.append(np.full(len(rows), leader))
-            free &= ~near
-            stays[rows] = False
-        stays[np.unique(np.concatenate([x[:1] for x in b if i <= x[0] < j]))] = True
+        if j - i > CROWD:
+            x, y, leaders = balls.lead(np.arange(i, j))
+            stays[i:j] = False
+            stays[leaders] = True
+            a.append(x)
+            b.append(y)
     none = np.empty(0, np.int64)
     return stays, np.concatenate([none, *a]), np.concatenate([none, *b])
 
@@ -241,10 +365,12 @@ def near_links(distinct: DataFrame, budget: int = 2, trie_rows: int = TRIE_ROWS)
 
 
 def wide_links(classes: DataFrame, trie_rows: int = TRIE_ROWS) -> DataFrame:
-    """Links ``a, b`` between the numbers (``node``) of near wide fingerprints.
+    """Proposals ``a, b``, with repeats, of numbers (``node``) of near wide fingerprints.
 
     Two are compared in full if any of their halves differ in ``HALF_BUDGET``
-    bits or fewer.
+    bits or fewer, and proposed if all their words differ in ``WIDE_BUDGET`` or
+    fewer; but the rows of a crowd of equal halves are proposed to its leaders
+    (:class:`Balls`), not to each other.
     """
     halves = [F.col(w).bitwiseAND(0xFFFFFFFF) if low else F.shiftrightunsigned(w, 32) for w in WORDS for low in (True, False)]
     lanes = F.array(*[h.bitwiseOR(F.lit(k << 32)) for k, h in enumerate(halves)])
@@ -337,16 +463,36 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """``doc_id, key_a, key_b, root`` of every row: its component of near copies.
 
-    Texts are near if their wide fingerprints differ in ``WIDE_BUDGET`` bits or
-    fewer, about a similarity (Jaccard's, of the sets of ``shingle`` words) of
-    0.8; ``root`` is a number that means nothing but the component.  Texts
-    without words are one another's copies, null ones too.
+    Texts are near if the sets of their ``shingle``-word runs have a Jaccard
+    similarity of ``ALIKE`` or more, which is taken exactly of all pairs that
+    :func:`wide_links` proposes; ``root`` is a number that means nothing but
+    the component.  Each text's least partner is compared first, and then only
+    those that no link connects yet.  Texts without words are one another's
+    copies, null ones too.
     """
     table = materialize(wide_fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
-    classes = materialize(table.groupBy(*WORDS).agg(F.count("*").alias("n")).drop("n").withColumn("node", F.monotonically_increasing_id()), "classes")
-    roots = materialize(connected_components(wide_links(classes)), "roots").withColumnRenamed("node", "linked")
-    named = classes.join(roots, classes.node == roots.linked, "left").select(*WORDS, F.coalesce("root", "node").alias("root"))
-    return table.join(named, WORDS).select("doc_id", "key_a", "key_b", "root")
+    sample = F.min(F.struct("key_a", "key_b")).alias("sample")
+    classes = table.groupBy("set_a", "set_b").agg(*[F.min(w).alias(w) for w in WORDS], sample).withColumn("node", F.monotonically_increasing_id())
+    classes = materialize(classes, "classes")
+    proposed = wide_links(classes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    proposed = materialize(proposed, "proposed")
+    seen = proposed.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = classes.join(seen, "node").select("node", F.col("sample.key_a").alias("_key_a"), F.col("sample.key_b").alias("_key_b"))
+    key_a, key_b = _row_keys(id_col, text_col)
+    texts = docs.select(key_a.alias("_key_a"), key_b.alias("_key_b"), F.col(text_col).alias("text")).join(wanted, ["_key_a", "_key_b"]).dropDuplicates(["node"])
+    sets = materialize(shingle_sets(texts, shingle), "sets")
+    first = proposed.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = materialize(alike(first, sets), "links")
+    roots = materialize(connected_components(links), "roots")
+    end = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
+    apart = F.coalesce("a_root", "a") != F.coalesce("b_root", "b")
+    rest = proposed.join(first, ["a", "b"], "left_anti").join(end("a"), "a", "left").join(end("b"), "b", "left").where(apart).select("a", "b")
+    more = materialize(alike(rest, sets), "links")
+    found = materialize(connected_components(links.unionByName(more)), "roots").withColumnRenamed("node", "linked")
+    for used in (proposed, sets, links, more, roots):
+        discard(used)
+    named = classes.join(found, classes.node == found.linked, "left").select("set_a", "set_b", F.coalesce("root", "node").alias("root"))
+    return table.join(named, ["set_a", "set_b"]).select("doc_id", "key_a", "key_b", "root")
 
 
 def keep_one_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
