@@ -1,3 +1,9 @@
 """Queries over the driver's tables; importing this package registers them all."""
 
-from panelloom.plans import clusters, contracts, graphs, ingest, moves, partitions, queries, scoring, statistics  # noqa: F401
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+from panelloom.plans import clusters, contracts, graphs, ingest, moves, partitions, queries, scoring, statistics  # noqa: E402, F401

@@ -1,30 +1,25 @@
 """Pinned files, delimited exports, strict tables, archives and workbooks.
 
 Tables are read by Spark's own readers where these can tell a fault; what must
-be seen as one sequence of bytes (digests, archives, workbooks) is read as one
-value of ``binaryFile`` and so is bounded by what a row may hold.
+be seen as one sequence of bytes (digests, archives, workbooks) is a value of
+``binaryFile``, read in a task, and so is bounded by what a row may hold.
 """
 
 from __future__ import annotations
 
 import csv
 import hashlib
-import io
 import json
 import re
-import zipfile
-import zlib
-from collections.abc import Iterator
 from pathlib import PurePosixPath
-from xml.etree import ElementTree
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelloom.functions.text import month_start, territory_id
 from panelloom.operators.contracts import conflict_flag
+from panelloom.sources import archives
 
 DIGEST = re.compile("[0-9a-f]{64}")
 EXPORT_COLUMNS = ("mo", "period", "category_15", "value", "obs_status", "unit_measure", "unit_mult", "freq")
@@ -150,158 +145,49 @@ def read_municipal(spark: SparkSession, path: str, key: str, level: str) -> Data
     return rows.groupBy("oktmo", "key").agg(F.sort_array(F.collect_list("row")).alias("rows"))
 
 
-def zip_member(content: bytes, wanted: re.Pattern) -> tuple[str, bytes]:
-    """The one member of an archive whose name matches."""
-    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        names = [n for n in archive.namelist() if wanted.search(n)]
-        if len(names) != 1:
-            raise ValueError(f"exactly one member is wanted, found {len(names)}")
-        return names[0], archive.read(names[0])
+def read_annual_member(zips: DataFrame, year: int, indicator: str, period: str, keys: list[str]) -> DataFrame:
+    """Rows of the one CSV member of a year in each archive, as strings, with ``source_row`` and ``conflicting_key``.
 
+    ``zips`` is path, content (see :func:`archives.binary`); archives are read
+    in tasks of their own.  Rows of another indicator or year are an error,
+    those of another period left out; ``source_row`` is the record's number in
+    the member, its header being one.  A key conflicts across archives, too.
+    """
+    found = archives.member_records(zips, rf"year{year}_.*\.csv\Z", one=True)
+    record = F.col("record")
+    right = (record["indicator_code"] == indicator) & (record["year"] == str(year))
+    columns = dict.fromkeys(["oktmo", "indicator_code", "year", "indicator_period", *keys])
+    rows = found.select("path", "source_row", *[must(right, record[c], "another indicator or year").alias(c) for c in columns])
+    return conflict_flag(rows.where(F.col("indicator_period") == period), *keys).drop("path")
 
-def read_annual_member(spark: SparkSession, path: str, year: int, indicator: str, period: str, keys: list[str]) -> DataFrame:
-    """Rows of the one CSV member of a year, as strings, with ``source_row`` and ``conflicting_key``.
 
-    Rows of another indicator or year are an error, those of another period
-    left out; ``source_row`` is the line in the member, its header being one.
-    """
-    raw = spark.read.format("binaryFile").load(path).select("content").first()[0]
-    _, content = zip_member(bytes(raw), re.compile(rf"year{year}_.*\.csv\Z"))
-    table = pd.read_csv(io.BytesIO(content), sep=";", dtype=str, keep_default_na=False)
-    table["source_row"] = range(2, len(table) + 2)
-    schema = T.StructType([T.StructField(c, T.LongType() if c == "source_row" else T.StringType()) for c in table.columns])
-    rows = spark.createDataFrame(list(table.itertuples(index=False, name=None)), schema)
-    right = (F.col("indicator_code") == indicator) & (F.col("year") == str(year))
-    rows = rows.withColumn("indicator_code", must(right, F.col("indicator_code"), "another indicator or year"))
-    return conflict_flag(rows.where(F.col("indicator_period") == period), *keys)
-
-
-def inflated(path: str, length: int, crc: int, step: int = 1 << 16) -> Iterator[bytes]:
-    """The pieces of a raw DEFLATE file; it must have the pinned length and checksum and nothing behind it."""
-    engine, seen, check = zlib.decompressobj(-zlib.MAX_WBITS), 0, 0
-    with open(path, "rb") as stream:
-        while not engine.eof:
-            taken = engine.unconsumed_tail or stream.read(step)
-            if not taken:
-                raise ValueError("the member is cut short")
-            piece = engine.decompress(taken, step)
-            seen, check = seen + len(piece), zlib.crc32(piece, check)
-            if seen > length:
-                raise ValueError("the member is longer than pinned")
-            yield piece
-        if engine.unused_data or stream.read(1):
-            raise ValueError("bytes follow the member")
-    if (seen, check) != (length, crc):
-        raise ValueError("another length or checksum than pinned")
-
-
-class _Pieces(io.RawIOBase):
-    """Pieces of bytes as a stream."""
-
-    def __init__(self, pieces: Iterator[bytes]) -> None:
-        self.pieces, self.rest = pieces, b""
-
-    def readable(self) -> bool:
-        return True
-
-    def readinto(self, room) -> int:
-        while not self.rest:
-            more = next(self.pieces, None)
-            if more is None:
-                return 0
-            self.rest = more
-        n = min(len(room), len(self.rest))
-        room[:n], self.rest = self.rest[:n], self.rest[n:]
-        return n
-
-
-def deflated_records(path: str, length: int, crc: int, required: tuple[str, ...], sep: str = ";") -> Iterator[dict[str, str]]:
-    """Records of a raw DEFLATE member, with bounded memory; all must be read for the checksum to count."""
-    with io.TextIOWrapper(io.BufferedReader(_Pieces(inflated(path, length, crc))), "utf-8-sig", newline="") as text:
-        reader = csv.reader(text, delimiter=sep, strict=True)
-        names = next(reader, [])
-        if len(set(names)) != len(names) or not set(required) <= set(names):
-            raise ValueError("column names must be unique and whole")
-        for row in reader:
-            if len(row) != len(names):
-                raise ValueError("a row is wider or narrower than the header")
-            yield dict(zip(names, row, strict=True))
-
-
-_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-_RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-
-
-def workbook_rows(content: bytes, sheet: str | None = None) -> Iterator[list[str | float | bool | None]]:
-    """Rows of a sheet of an XLSX workbook (the first, if none is named), without formulas' sources."""
-    with zipfile.ZipFile(io.BytesIO(content)) as book:
-        named = ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_SHEET}sheet")
-        wanted = next((s for s in named if sheet in (None, s.get("name"))), None)
-        if wanted is None:
-            raise ValueError(f"no sheet {sheet}")
-        links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
-        target = links[wanted.get(_RELATION)]
-        strings = []
-        if "xl/sharedStrings.xml" in book.namelist():
-            strings = ["".join(t.text or "" for t in s.iter(f"{_SHEET}t")) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))]
-        place = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
-        for row in ElementTree.fromstring(book.read(place)).iter(f"{_SHEET}row"):
-            out: list[str | float | bool | None] = []
-            for cell in row.iter(f"{_SHEET}c"):
-                column = 0
-                for letter in re.match("[A-Z]*", cell.get("r", "")).group():
-                    column = 26 * column + ord(letter) - 64
-                out += [None] * (column - 1 - len(out))
-                kind, value = cell.get("t", "n"), cell.find(f"{_SHEET}v")
-                if kind == "inlineStr":
-                    out.append("".join(t.text or "" for t in cell.iter(f"{_SHEET}t")))
-                elif value is None or value.text is None:
-                    out.append(None)
-                elif kind == "s":
-                    out.append(strings[int(value.text)])
-                elif kind == "b":
-                    out.append(value.text == "1")
-                else:
-                    out.append(float(value.text) if kind == "n" else value.text)
-            yield out
-
-
-def _text(value) -> str | None:
-    if value is None:
-        return None
-    return str(int(value)) if isinstance(value, float) and value.is_integer() else str(value)
-
-
-def read_registry(spark: SparkSession, path: str, required: list[str], sheet: str | None = None) -> DataFrame:
-    """A registry of year intervals from a workbook, as strings but for ``year_from`` and ``year_to``.
-
-    Absent columns or no rows are a ValueError; an interval that is not two
-    whole years in order, or an id that is not canonical, is an error.
+def read_registry(books: DataFrame, required: list[str], sheet: str | None = None) -> DataFrame:
+    """A registry of year intervals from workbooks of one header, as strings but for ``year_from`` and ``year_to``.
+
+    ``books`` is path, content; only the header reaches the driver.  Absent columns or no rows are a
+    ValueError; an interval that is not two whole years in order, or an id
+    that is not canonical, is an error.
     """
-    raw = spark.read.format("binaryFile").load(path).select("content").first()[0]
-    rows = list(workbook_rows(bytes(raw), sheet))
-    names = [str(n) for n in rows[0]] if rows else []
-    if len(rows) < 2 or not set(required) <= set(names):
-        raise ValueError("the registry is not whole")
-    shape = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    table = spark.createDataFrame([tuple(map(_text, (r + [None] * len(names))[: len(names)])) for r in rows[1:]], shape)
+    cells = archives.sheet_rows(books, sheet)
+    heads = cells.where("source_row = 1").select(F.transform("cells", lambda c: c["text"]).alias("names")).distinct().limit(2).collect()
+    if len(heads) != 1 or not set(required) <= set(heads[0]["names"]) or cells.where("source_row > 1").isEmpty():
+        raise ValueError("the registry is not whole, or its workbooks differ")
+    table = cells.where("source_row > 1").select(*[F.get("cells", F.lit(i))["text"].alias(n) for i, n in enumerate(heads[0]["names"])])
     years = {c: F.col(c).try_cast("int") for c in ("year_from", "year_to")}
     ordered = years["year_from"] < years["year_to"]
     typed = table.withColumns({c: must(ordered, y, "intervals must be whole years in order") for c, y in years.items()})
     return typed.withColumn("territory_id", territory_id(F.col("territory_id")))
 
 
-def read_population(spark: SparkSession, path: str, sheet: str | None = None, first_row: int = 8) -> DataFrame:
+def read_population(books: DataFrame, sheet: str | None = None, first_row: int = 8) -> DataFrame:
     """``code8, rows``: population rows of districts by eight digits of their code, as a multimap.
 
     Rows count whose first cell has ten digits of which the sixth to eighth
     are noughts, and whose third is a number.
     """
-    raw = spark.read.format("binaryFile").load(path).select("content").first()[0]
-    found = []
-    for row in list(workbook_rows(bytes(raw), sheet))[first_row - 1 :]:
-        code, name, total, urban = (row + [None] * 4)[:4]
-        if re.fullmatch(r"\d{5}000\d{2}", (_text(code) or "").strip()) and isinstance(total, float):
-            found.append((_text(code).strip()[:8], (total, float(urban or 0), (_text(name) or "").strip())))
-    table = spark.createDataFrame(found, "code8 string, row struct<total:double,urban:double,name:string>")
-    return table.groupBy("code8").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    cells = archives.sheet_rows(books, sheet).where(F.col("source_row") >= first_row)
+    at = lambda i: F.get("cells", F.lit(i))
+    code, total = F.trim(at(0)["text"]), at(2)["number"]
+    rows = cells.where(code.rlike("^[0-9]{5}000[0-9]{2}$") & total.isNotNull())
+    row = F.struct(total.alias("total"), F.coalesce(at(3)["number"], F.lit(0.0)).alias("urban"), F.trim(F.coalesce(at(1)["text"], F.lit(""))).alias("name"))
+    return rows.select(F.substring(code, 1, 8).alias("code8"), row.alias("row")).groupBy("code8").agg(F.sort_array(F.collect_list("row")).alias("rows"))

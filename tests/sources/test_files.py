@@ -8,7 +8,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from panelloom.sources import files
+from panelloom.sources import archives, files
 
 HEAD = "mo;period;category_15;value;obs_status;unit_measure;unit_mult;freq\n"
 
@@ -91,26 +91,45 @@ def test_annual_member(spark, tmp_path):
         z.writestr("d/year2023_x.csv", "oktmo;indicator_code;year;indicator_period\n1;Y;2023;all\n1;Y;2023;all\n2;Y;2023;part\n3;Y;2023;all\n")
         z.writestr("d/year2022_x.csv", "")
     path = put(tmp_path / "z.zip", held.getvalue())
-    rows = files.read_annual_member(spark, path, 2023, "Y", "all", ["oktmo"]).orderBy("source_row").collect()
+    rows = files.read_annual_member(archives.binary(spark, path), 2023, "Y", "all", ["oktmo"]).orderBy("source_row").collect()
     assert [(r.oktmo, r.source_row, r.conflicting_key) for r in rows] == [("1", 2, True), ("1", 3, True), ("3", 5, False)]
-    with pytest.raises(ValueError, match="exactly one"):
-        files.read_annual_member(spark, path, 2021, "Y", "all", ["oktmo"])
+    with pytest.raises(Exception, match="exactly one"):
+        files.read_annual_member(archives.binary(spark, path), 2021, "Y", "all", ["oktmo"]).collect()
     with pytest.raises(Exception, match="another indicator"):
-        files.read_annual_member(spark, path, 2023, "N", "all", ["oktmo"]).collect()
+        files.read_annual_member(archives.binary(spark, path), 2023, "N", "all", ["oktmo"]).collect()
 
 
-def test_deflated_records(tmp_path):
-    raw = "﻿a;b\n1;2\n3;4\n".encode() + b"5;6\n" * 100_000
+def test_inflated_records(spark):
+    raw = "\ufeffa;b\n1;2\n3;4\n".encode() + b"5;6\n" * 100_000
     engine = zlib.compressobj(wbits=-15)
     packed = engine.compress(raw) + engine.flush()
-    path = put(tmp_path / "x.deflate", packed)
-    rows = list(files.deflated_records(path, len(raw), zlib.crc32(raw), ("a",)))
-    assert rows[:2] == [{"a": "1", "b": "2"}, {"a": "3", "b": "4"}] and len(rows) == 100_002
-    for bad, length in ((packed[:-3], len(raw)), (packed + b"x", len(raw)), (packed, len(raw) + 1), (packed, len(raw) - 1)):
-        with pytest.raises(ValueError):
-            list(files.deflated_records(put(tmp_path / "y", bad), length, zlib.crc32(raw), ("a",)))
-    with pytest.raises(ValueError):
-        list(files.deflated_records(path, len(raw), 1, ("a",)))
+
+    def read(*streams):
+        table = spark.createDataFrame([(f"s{i}", bytearray(c), n, k) for i, (c, n, k) in enumerate(streams)], "path string, content binary, length long, crc long")
+        return archives.inflated_records(table.repartition(len(streams)), ("a",))
+
+    good = (packed, len(raw), zlib.crc32(raw))
+    rows = read(good, good)
+    assert rows.rdd.getNumPartitions() == 2 and rows.count() == 200_004
+    assert [(r.source_row, r.record) for r in rows.where("source_row < 4 and path = 's0'").collect()] == [(2, {"a": "1", "b": "2"}), (3, {"a": "3", "b": "4"})]
+    for bad in ((packed[:-3], *good[1:]), (packed + b"x", *good[1:]), (packed, len(raw) + 1, good[2]), (packed, len(raw) - 1, good[2]), (packed, len(raw), 1)):
+        with pytest.raises(Exception, match="stream|length or checksum"):
+            read(good, bad).collect()
+
+
+def test_records_of_many_archives(spark, tmp_path):
+    for n in range(3):
+        with zipfile.ZipFile(tmp_path / f"{n}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("x/data.csv", "\ufeffa;b\n" + "".join(f'{i};"q;""{n}"\n' for i in range(2500)))
+            z.writestr("other.txt", "unread")
+    rows = archives.member_records(archives.binary(spark, str(tmp_path / "*.zip")), r"\.csv$")
+    assert rows.count() == 7500 and rows.where("record['b'] = 'q;\"1'").count() == 2500
+    assert rows.agg({"source_row": "max"}).first()[0] == 2501
+    for body in ("a;a\n1;2\n", "a;b\n1\n", 'a;b\n1;"2\n'):
+        with zipfile.ZipFile(tmp_path / "bad", "w") as z:
+            z.writestr("x.csv", body)
+        with pytest.raises(Exception, match="unique|wider|unexpected end"):
+            archives.member_records(archives.binary(spark, str(tmp_path / "bad")), "csv").collect()
 
 
 def workbook(rows, name="S"):
@@ -131,16 +150,16 @@ def workbook(rows, name="S"):
 def test_registry(spark, tmp_path):
     head = ["territory_id", "year_from", "year_to", "name"]
     path = put(tmp_path / "r.xlsx", workbook([head, [7, 2018, 2024, "old"], [7, 2024, 9999, None]]))
-    rows = files.read_registry(spark, path, head).orderBy("year_from").collect()
+    rows = files.read_registry(archives.binary(spark, path), head).orderBy("year_from").collect()
     assert [(r.territory_id, r.year_from, r.year_to, r.name) for r in rows] == [("7", 2018, 2024, "old"), ("7", 2024, 9999, None)]
     with pytest.raises(ValueError, match="whole"):
-        files.read_registry(spark, path, [*head, "oktmo"])
+        files.read_registry(archives.binary(spark, path), [*head, "oktmo"])
     for bad in ([7, 2024, 2018, "x"], [7, 2018.5, 2024, "x"], [-1, 2018, 2024, "x"]):
         with pytest.raises(Exception, match="intervals|territory"):
-            files.read_registry(spark, put(tmp_path / "b.xlsx", workbook([head, bad])), head).collect()
+            files.read_registry(archives.binary(spark, put(tmp_path / "b.xlsx", workbook([head, bad]))), head).collect()
 
 
 def test_population(spark, tmp_path):
     rows = [["h"]] * 7 + [["1234500012", "A", 10, 4], ["1234500012", "A", 11, None], ["1234512312", "B", 5, 1], ["12345000", "C", 5, 1], ["1234600000", "D", "n/a", 1]]
-    got = files.read_population(spark, put(tmp_path / "p.xlsx", workbook(rows, "P")), "P").collect()
+    got = files.read_population(archives.binary(spark, put(tmp_path / "p.xlsx", workbook(rows, "P"))), "P").collect()
     assert [(r.code8, [tuple(x) for x in r.rows]) for r in got] == [("12345000", [(10.0, 4.0, "A"), (11.0, 0.0, "A")])]

@@ -10,7 +10,7 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 import pytest
 from pyspark.sql import functions as F
 
-from panelloom.sources import remote
+from panelloom.sources import archives, remote
 
 text = lambda s: "__string__" + base64.b64encode(s.encode()).decode()
 ROWS = [[text(f"área {i}"), f"__number__{i}.5", "__null__"] for i in range(7)]
@@ -21,15 +21,19 @@ def archive():
     with zipfile.ZipFile(held, "w") as z:
         z.writestr("a.csv", CSV)
         z.writestr("other.bin", b"x" * 100_000)
+        z.writestr("long.csv", LONG)
+        for name in ("packed1.csv", "packed2.csv"):
+            z.writestr(name, LONG, zipfile.ZIP_DEFLATED)
     return held.getvalue()
 
 
 CSV = "﻿k;v\n1;a\n2;b\n1;c\n".encode()
+LONG = ("k;v\n" + "".join(f"{i};{'é' * (i % 9)}\n" for i in range(3000))).encode()
 FILE = archive()
 
 
 class Handler(BaseHTTPRequestHandler):
-    broken = False
+    broken, cut, other = False, 0, b""
 
     def log_message(self, *args):
         pass
@@ -53,15 +57,27 @@ class Handler(BaseHTTPRequestHandler):
         data = {"type": "object", "value": [entry("fields", [text("area"), text("v"), text("n")]), entry("data", rows), entry("pagination", {"type": "object", "value": [entry("total_records", f"__number__{len(ROWS)}")]})]}
         self._send(200, json.dumps({"SOWA": {"data": data}}).encode())
 
+    def _file(self):
+        return Handler.other if "other" in self.path else FILE
+
     def do_HEAD(self):
-        self._send(200, FILE, Accept_Ranges="none" if "plain" in self.path else "bytes")
+        self._send(200, self._file(), Accept_Ranges="none" if "plain" in self.path else "bytes")
 
     def do_GET(self):
-        part = re.match(r"bytes=(\d+)-(\d+)", self.headers.get("Range") or "")
-        if part and "whole" not in self.path:
-            self._send(206, FILE[int(part[1]) : int(part[2]) + 1])
-        else:
-            self._send(200, FILE)
+        found = re.match(r"bytes=(\d+)-(\d+)", self.headers.get("Range") or "")
+        if not found or "whole" in self.path:
+            self._send(200, self._file())
+            return
+        piece = self._file()[int(found[1]) : int(found[2]) + 1]
+        if Handler.cut:
+            Handler.cut -= 1
+            self.send_response(206)
+            self.send_header("Content-Length", str(len(piece)))
+            self.end_headers()
+            self.wfile.write(piece[: len(piece) // 2])
+            self.close_connection = True
+            return
+        self._send(206, piece)
 
 
 @pytest.fixture(scope="module")
@@ -91,27 +107,75 @@ def test_pages(spark, url):
         Handler.broken = False
 
 
-def test_member_of_a_ranged_archive(url):
+def ranged(spark, url, **options):
+    spark.dataSource.register(remote.RangedZipSource)
+    return spark.read.format("ranged_zip").options(url=url, **options).load()
+
+
+def test_members_of_a_ranged_archive(spark, url):
     digest = hashlib.sha256(CSV).hexdigest()
-    assert list(remote.ranged_member(f"{url}/z", "a.csv", digest, {"k": {"1"}})) == [{"k": "1", "v": "a"}, {"k": "1", "v": "c"}]
-    with pytest.raises(ValueError, match="pinned"):
-        list(remote.ranged_member(f"{url}/z", "a.csv", "0" * 64, {}))
-    with pytest.raises(ValueError, match="missing"):
-        list(remote.ranged_member(f"{url}/z", "a.csv", digest, {"q": {"1"}}))
-    with pytest.raises(ValueError, match="parts"):
-        remote.RangedFile(f"{url}/plain")
-    with pytest.raises(ValueError, match="whole"):
-        remote.RangedFile(f"{url}/whole").read(3)
-
-
-def test_download(spark, url, tmp_path):
-    path = tmp_path / "f.zip"
-    for digest, most, fault in (("0" * 64, 1 << 30, "pinned"), (hashlib.sha256(FILE).hexdigest(), 10, "longer"), ("x", 1 << 30, "SHA-256")):
-        with pytest.raises(ValueError, match=fault):
-            remote.download(spark, f"{url}/z", str(path), digest, most)
-        assert not [p for p in tmp_path.iterdir() if not p.name.startswith(".")]
-    remote.download(spark, f"{url}/z", str(path), hashlib.sha256(FILE).hexdigest())
-    assert path.read_bytes() == FILE
+    table = ranged(spark, f"{url}/z", member="^a.csv$", digests=json.dumps({"a.csv": digest}), wanted='{"k": ["1"]}')
+    assert table.columns == ["k", "v"] and sorted(map(tuple, table.collect())) == [("1", "a"), ("1", "c")]
+    with pytest.raises(Exception, match="pinned"):
+        ranged(spark, f"{url}/z", member="^a.csv$", digests=json.dumps({"a.csv": "0" * 64})).collect()
+    with pytest.raises(Exception, match="missing columns"):
+        ranged(spark, f"{url}/z", member="^a.csv$", wanted='{"q": ["1"]}').collect()
+    with pytest.raises(Exception, match="no such member"):
+        ranged(spark, f"{url}/z", member="absent")
+    with pytest.raises(Exception, match="no parts"):
+        ranged(spark, f"{url}/plain", member="a.csv")
+    with pytest.raises(ValueError, match="the whole of"):
+        list(remote.part(f"{url}/whole", 0, 3))
+
+
+@pytest.mark.parametrize("stretch", [1, 7, 64, 1 << 20])
+def test_stretches_of_a_stored_member_have_every_line_once(spark, url, stretch):
+    if stretch == 1:
+        reader = remote.RangedZipReader({"url": f"{url}/z", "member": "^a.csv$", "stretch": "1"}, ["k", "v"])
+        parts = reader.partitions()
+        assert len(parts) == len(CSV) and [r for p in parts for r in reader.read(p)] == [("1", "a"), ("2", "b"), ("1", "c")]
+        return
+    table = ranged(spark, f"{url}/z", member="^long.csv$", stretch=str(stretch * 100))
+    assert table.rdd.getNumPartitions() == -(-len(LONG) // (stretch * 100))
+    assert sorted(r.k for r in table.collect()) == sorted(str(i) for i in range(3000))
+
+
+def test_deflated_members_are_tasks_of_their_own(spark, url):
+    table = ranged(spark, f"{url}/z {url}/y", member="^packed")
+    assert table.rdd.getNumPartitions() == 4
+    assert table.count() == 4 * 3000 and table.where("k = '7'").count() == 4
+
+
+def test_table_served_as_an_archive(spark, url, sf_dir):
+    """Rows of a given table, served by members of nations, come back whole."""
+    want = sorted((str(r.c_custkey), r.c_name) for r in spark.read.parquet(f"{sf_dir}/customer.parquet").collect())
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for i in range(5):
+            z.writestr(f"part-{i}.csv", "id;name\n" + "".join(f"{k};{n}\n" for k, n in want[i::5]))
+    Handler.other = held.getvalue()
+    table = ranged(spark, f"{url}/other", member="part-")
+    assert table.rdd.getNumPartitions() == 5 and sorted(map(tuple, table.collect())) == want
+
+
+def test_broken_connections_are_taken_up_again(url):
+    Handler.cut = 2
+    assert b"".join(remote.part(f"{url}/z", 10, 5000)) == FILE[10:5000]
+    Handler.cut = 9
+    with pytest.raises(Exception):  # noqa: B017
+        list(remote.part(f"{url}/z", 10, 5000))
+    Handler.cut = 0
+
+
+def test_fetched(spark, url):
+    digest = hashlib.sha256(FILE).hexdigest()
+    sources = spark.createDataFrame([(f"{url}/z", digest), (f"{url}/y", digest)], "url string, sha256 string").repartition(2)
+    rows = remote.fetched(sources).collect()
+    assert {r.path for r in rows} == {f"{url}/z", f"{url}/y"} and all(bytes(r.content) == FILE for r in rows)
+    assert archives.member_records(remote.fetched(sources), "^a.csv$").count() == 6
+    for bad, most, fault in (("0" * 64, 1 << 30, "pinned"), (digest, 10, "longer"), ("x", 1 << 30, "SHA-256")):
+        with pytest.raises(Exception, match=fault):
+            remote.fetched(spark.createDataFrame([(f"{url}/z", bad)], "url string, sha256 string"), most).collect()
 
 
 def test_sheets(spark):
