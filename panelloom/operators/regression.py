@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.operators.tails import f_tail
+from panelloom.sources.shared import materialize
 
 #: Columns of a design whose products are summed.
 MOST_COLUMNS = 200
@@ -181,6 +182,19 @@ def draw_table(spark, draws: int, slots: int, seed: int) -> DataFrame:
     return table.withColumn("pick", F.pmod(number, F.lit(slots)).cast("int"))
 
 
+def numbered(rows: DataFrame, *keys: str, name: str = "pick") -> DataFrame:
+    """``rows`` with their place, from nought, in the order of ``keys``.
+
+    Ranges of keys are numbered side by side and shifted by the sizes of those
+    before, one row a range; rows are written once, as their ranges must stay.
+    """
+    dealt = materialize(rows.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()), "numbered")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = dealt.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*keys)) - 1
+    return dealt.withColumn("_place", place).join(F.broadcast(shifts.select("_range", "_shift")), "_range").withColumn(name, F.col("_place") + F.col("_shift")).drop("_range", "_place", "_shift")
+
+
 def _interval(values: DataFrame, column: str) -> list[Column]:
     return [F.percentile(column, 0.025).alias("low"), F.percentile(column, 0.975).alias("high")]
 
@@ -189,8 +203,8 @@ def _region_weights(rows: DataFrame, region: str, draws: int, seed: int) -> Data
     """``region, draw, weight``: how often each region is drawn."""
     regions = rows.select(region).distinct()
     count = regions.count()
-    numbered = regions.withColumn("pick", (F.row_number().over(Window.orderBy(region)) - 1).cast("int"))
-    return draw_table(rows.sparkSession, draws, count, seed).join(F.broadcast(numbered) if count <= 100_000 else numbered, "pick").groupBy(region, "draw").agg(F.count("*").alias("weight"))
+    placed = numbered(regions, region)
+    return draw_table(rows.sparkSession, draws, count, seed).join(F.broadcast(placed) if count <= 100_000 else placed, "pick").groupBy(region, "draw").agg(F.count("*").alias("weight"))
 
 
 def region_bootstrap(table: DataFrame, region: str, error: str, baseline: str, draws: int, seed: int) -> DataFrame:
@@ -214,8 +228,8 @@ def entity_bootstrap(table: DataFrame, key: str, error: str, baseline: str, draw
     """
     rows = _complete(table, [key, error, baseline]).withColumn("delta", F.col(baseline) - F.col(error))
     n = rows.count()
-    numbered = rows.select("delta", (F.row_number().over(Window.orderBy(key)) - 1).cast("int").alias("pick"))
-    estimates = draw_table(table.sparkSession, draws, n, seed).join(numbered, "pick").groupBy("draw").agg(F.avg("delta").alias("e"))
+    placed = numbered(rows.select(key, "delta"), key).select("delta", "pick")
+    estimates = draw_table(table.sparkSession, draws, n, seed).join(placed, "pick").groupBy("draw").agg(F.avg("delta").alias("e"))
     return rows.agg(F.avg("delta").alias("mean_improvement"), F.count("*").alias("n")).crossJoin(estimates.agg(*_interval(estimates, "e")))
 
 

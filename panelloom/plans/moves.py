@@ -9,6 +9,7 @@ from panelloom.operators import lifecycle, scoring, series
 from panelloom.plans.queries import _L, daily_labels
 from panelloom.plans.registry import query, rounded, table
 from panelloom.plans.scoring import _F, CENTRES, _centres, _near, features
+from panelloom.sources.shared import materialize
 
 
 @query(f"""WITH {_F}, md AS (SELECT substr(period, 6, 2)::INT AS month, dim, median(x) FILTER (WHERE period LIKE '1996%') AS a, median(x) FILTER (WHERE period LIKE '1998%') AS b FROM fx GROUP BY ALL)
@@ -20,7 +21,7 @@ def same_month_shift(spark, sf_dir):
 @query(f"""WITH {_F}, {_centres()}, hm AS (SELECT dim, median(x) AS home FROM an WHERE year = 1996 GROUP BY dim), sh AS (SELECT period, dim, median(x) - any_value(home) AS shift FROM fx JOIN hm USING (dim) GROUP BY period, dim), nm AS (SELECT unnest(['as_is', 'all', 'dim_0', 'dim_1', 'dim_2', 'dim_3', 'dim_4']) AS scenario),
 sc AS (SELECT scenario, entity, period, dim, x - CASE WHEN scenario = 'all' OR scenario = 'dim_' || dim THEN shift ELSE 0 END AS x FROM fx JOIN sh USING (period, dim) CROSS JOIN nm), {_near('sc', 'scenario, entity, period', 'ns')} SELECT scenario, period, cluster, count(*) AS n FROM ns GROUP BY ALL""")
 def drift_scenarios(spark, sf_dir):
-    long = features(spark, sf_dir).cache()
+    long = materialize(features(spark, sf_dir), "features")
     home = scoring.annual(long).where("year = 1996")
     rows = scoring.vectors_of(series.drift_scenarios(long, home, 5), "scenario", "entity", "period")
     return rows.select("scenario", "period", scoring.nearest(F.col("vector"), CENTRES)["cluster"].alias("cluster")).groupBy("scenario", "period", "cluster").agg(F.count("*").alias("n"))
@@ -34,9 +35,14 @@ def displacement(spark, sf_dir):
     return rounded(found, *found.columns)
 
 
-@query("""SELECT CAST(draw AS BIGINT) AS draw, CAST(b * 3 + i AS INT) AS place, CAST((('0x' || substr(md5('8:' || draw || ':' || b), 1, 12))::BIGINT % 12 + i) % 12 AS INT) AS month FROM range(15) d(draw), range(4) e(b), range(3) f(i)""")
+@query("""WITH c AS (SELECT o_custkey AS entity, month(o_orderdate) - 1 AS month, sum(round(o_totalprice * 100)::BIGINT) AS cents, count(*) AS n FROM orders GROUP BY ALL),
+b AS (SELECT CAST(draw AS BIGINT) AS draw, (('0x' || substr(md5('8:' || draw || ':' || b), 1, 12))::BIGINT % 12 + i) % 12 AS month FROM range(15) d(draw), range(4) e(b), range(3) f(i)),
+w AS (SELECT draw, month, count(*) AS times FROM b GROUP BY ALL)
+SELECT draw, entity, CAST(sum(times) AS BIGINT) AS months, CAST(sum(times * n) AS BIGINT) AS n, CAST(sum(times * cents) AS BIGINT) AS cents FROM w JOIN c USING (month) GROUP BY ALL""")
 def month_blocks(spark, sf_dir):
-    return series.month_blocks(spark, 15, 12, 3, 8)
+    months = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("entity"), (F.month("o_orderdate") - 1).alias("month")).agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"), F.count("*").alias("n"))
+    times = series.month_blocks(spark, 15, 12, 3, 8).groupBy("draw", "month").agg(F.count("*").alias("times"))
+    return months.join(F.broadcast(times), "month").groupBy("draw", "entity").agg(F.sum("times").alias("months"), *[F.sum(F.col("times") * F.col(c)).alias(c) for c in ("n", "cents")])
 
 
 @query(f"WITH {_L} SELECT a.key, a.t, a.label, b.label AS label_next FROM lab a JOIN lab b ON a.key = b.key AND b.t = a.t + 1")

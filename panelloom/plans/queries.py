@@ -10,17 +10,20 @@ from panelloom.plans.registry import ORACLE_SQL, QUERIES, query, rounded, table
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
-YEARS, SEGMENTS, CUTOFF, FIRST_YEAR = 6, 5, 1998, 1995
+SEGMENTS = 5
+
+
+def span(spark: SparkSession, sf_dir: str) -> tuple[int, int, int]:
+    """The first ship year of the table, and how many years and months lie between its first and last date."""
+    first, last = table(spark, sf_dir, "lineitem").agg(F.min("l_shipdate"), F.max("l_shipdate")).first()
+    return first.year, last.year - first.year + 1, (last.year - first.year) * 12 + last.month - first.month + 1
 
 
 def brand_year(spark: SparkSession, sf_dir: str, months: bool = False) -> DataFrame:
-    """Sales by brand, ship year (or month) and market segment, of whole years."""
+    """Sales by brand, ship year (or month) and market segment."""
     year = F.year("l_shipdate")
     period = year * 12 + F.month("l_shipdate") if months else year
-    lines = table(spark, sf_dir, "lineitem")
-    kind = lines.schema["l_shipdate"].dataType
-    first, after = (F.lit(f"{y}-01-01").cast(kind) for y in (FIRST_YEAR, FIRST_YEAR + YEARS))  # a range prunes, years do not
-    lines = lines.where((F.col("l_shipdate") >= first) & (F.col("l_shipdate") < after)).select("l_orderkey", "l_partkey", period.alias("period"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("value"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", period.alias("period"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("value"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("category"))
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("entity"))
@@ -29,16 +32,18 @@ def brand_year(spark: SparkSession, sf_dir: str, months: bool = False) -> DataFr
 
 
 def balanced_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panel.balanced(brand_year(spark, sf_dir), YEARS, SEGMENTS)
+    return panel.balanced(brand_year(spark, sf_dir), span(spark, sf_dir)[1], SEGMENTS)
 
 
-_P = f"""all_p AS (SELECT p_brand AS entity, CAST(year(l_shipdate) AS INT) AS period, c_mktsegment AS category, sum(l_extendedprice * (1 - l_discount)) AS value
+#: Years up to the cutoff, the fourth of the table, calibrate.
+_SPAN = "sp AS (SELECT year(min(l_shipdate)) AS y0, year(max(l_shipdate)) - year(min(l_shipdate)) + 1 AS years, (year(max(l_shipdate)) - year(min(l_shipdate))) * 12 + month(max(l_shipdate)) - month(min(l_shipdate)) + 1 AS months FROM lineitem)"
+_P = f"""{_SPAN}, all_p AS (SELECT p_brand AS entity, CAST(year(l_shipdate) AS INT) AS period, c_mktsegment AS category, sum(l_extendedprice * (1 - l_discount)) AS value
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey
- WHERE year(l_shipdate) BETWEEN {FIRST_YEAR} AND 2000 GROUP BY ALL),
-p AS (SELECT * FROM all_p WHERE period <= 2000 AND entity IN (SELECT entity FROM all_p WHERE period <= 2000 AND value > 0 GROUP BY entity HAVING count(*) = {YEARS * SEGMENTS})),
+ GROUP BY ALL),
+p AS (SELECT * FROM all_p WHERE entity IN (SELECT entity FROM all_p WHERE value > 0 GROUP BY entity HAVING count(*) = (SELECT years * {SEGMENTS} FROM sp))),
 t AS (SELECT *, sum(value) OVER (PARTITION BY entity, period) AS total FROM p),
 r AS (SELECT *, ln(value / total) AS log_ratio FROM t),
-scaler AS (SELECT category, median(log_ratio) AS center, quantile_cont(log_ratio, 0.75) - quantile_cont(log_ratio, 0.25) AS iqr FROM r WHERE period <= {CUTOFF} GROUP BY category),
+scaler AS (SELECT category, median(log_ratio) AS center, quantile_cont(log_ratio, 0.75) - quantile_cont(log_ratio, 0.25) AS iqr FROM r WHERE period <= (SELECT y0 + 3 FROM sp) GROUP BY category),
 prof AS (SELECT entity, category, median((log_ratio - center) / iqr / sqrt({SEGMENTS}.0)) AS coordinate FROM r JOIN scaler USING (category) GROUP BY entity, category),
 protos AS (SELECT dense_rank() OVER (ORDER BY entity) - 1 AS cluster, category, coordinate AS center_value FROM prof QUALIFY dense_rank() OVER (ORDER BY entity) <= 4),
 near AS (SELECT entity, cluster, sqrt(sum((coordinate - center_value) ** 2)) AS distance FROM prof JOIN protos USING (category) GROUP BY entity, cluster),
@@ -66,20 +71,19 @@ def panel_pivot(spark, sf_dir):
 
 
 @query(
-    f"""WITH c AS (SELECT p_brand AS entity, year(l_shipdate) * 12 + month(l_shipdate) AS period, c_mktsegment AS category, sum(l_extendedprice * (1 - l_discount)) AS value
+    f"""WITH {_SPAN}, c AS (SELECT p_brand AS entity, year(l_shipdate) * 12 + month(l_shipdate) AS period, c_mktsegment AS category, sum(l_extendedprice * (1 - l_discount)) AS value
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey
- WHERE year(l_shipdate) BETWEEN {FIRST_YEAR} AND 2000 GROUP BY ALL),
+ GROUP BY ALL),
 s AS (SELECT entity, count(DISTINCT period) AS periods, count(*) FILTER (WHERE value > 0) AS cells FROM c GROUP BY entity)
-SELECT entity, periods, CASE WHEN periods < {12 * YEARS} THEN 'missing_period' ELSE 'missing_category' END AS reason FROM s WHERE cells < {12 * YEARS * SEGMENTS}"""
+SELECT entity, periods, CASE WHEN periods < months THEN 'missing_period' ELSE 'missing_category' END AS reason FROM s, sp WHERE cells < months * {SEGMENTS}"""
 )
 def panel_exclusions(spark, sf_dir):
-    months = brand_year(spark, sf_dir, months=True)
-    return panel.exclusions(months, 12 * YEARS, SEGMENTS)
+    return panel.exclusions(brand_year(spark, sf_dir, months=True), span(spark, sf_dir)[2], SEGMENTS)
 
 
 @query(_with("SELECT category, round(center, 6) AS center, round(iqr, 6) AS iqr FROM scaler"))
 def calibration_scaler(spark, sf_dir):
-    return rounded(panel.calibration(panel.log_ratio(balanced_panel(spark, sf_dir)), CUTOFF), "center", "iqr")
+    return rounded(panel.calibration(panel.log_ratio(balanced_panel(spark, sf_dir)), span(spark, sf_dir)[0] + 3), "center", "iqr")
 
 
 @query(_with("""SELECT entity, period, category, round(sqrt(value / (total * 1.25)) / sqrt(2.0), 6) AS coordinate FROM t UNION ALL SELECT entity, period, 'residual', round(sqrt((any_value(total) * 1.25 - sum(value)) / (any_value(total) * 1.25)) / sqrt(2.0), 6) FROM t GROUP BY entity, period"""))
@@ -91,7 +95,7 @@ def hellinger_profile(spark, sf_dir):
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     ratios = panel.log_ratio(balanced_panel(spark, sf_dir))
-    return panel.annual_profile(panel.frozen_profile(ratios, panel.calibration(ratios, CUTOFF), SEGMENTS))
+    return panel.annual_profile(panel.frozen_profile(ratios, panel.calibration(ratios, span(spark, sf_dir)[0] + 3), SEGMENTS))
 
 
 @query(_with("SELECT entity, category, round(coordinate, 6) AS coordinate FROM prof"))
@@ -383,12 +387,18 @@ def residual_series(spark, sf_dir):
     return rounded(series.residual_series(monthly(spark, sf_dir)), "r")
 
 
-@query(f"""WITH {_R.replace('FROM ser', 'FROM (SELECT * FROM ser WHERE t < 72) ser')}, cal AS (SELECT count(DISTINCT t) AS n FROM res), ok AS (SELECT key FROM res GROUP BY key HAVING count(*) = (SELECT n FROM cal)), rr AS (SELECT key::BIGINT AS key, t, r FROM res WHERE key IN (SELECT key FROM ok)), lags AS (SELECT CAST(unnest(range(-3, 4)) AS INT) AS lag),
+#: The month after the last one that orders cover to its end.
+_WHOLE = "(SELECT (year(max(o_orderdate) + INTERVAL 1 DAY) - 1995) * 12 + month(max(o_orderdate) + INTERVAL 1 DAY) - 1 FROM orders)"
+
+
+@query(f"""WITH {_R.replace('FROM ser', f'FROM (SELECT * FROM ser WHERE t < {_WHOLE}) ser')}, cal AS (SELECT count(DISTINCT t) AS n FROM res), ok AS (SELECT key FROM res GROUP BY key HAVING count(*) = (SELECT n FROM cal)), rr AS (SELECT key::BIGINT AS key, t, r FROM res WHERE key IN (SELECT key FROM ok)), lags AS (SELECT CAST(unnest(range(-3, 4)) AS INT) AS lag),
 c AS (SELECT x.key AS a, y.key AS b, lag, round(coalesce(CASE WHEN stddev_pop(x.r) > 1e-12 AND stddev_pop(y.r) > 1e-12 THEN covar_pop(x.r, y.r) / (stddev_pop(x.r) * stddev_pop(y.r)) END, 0), 12) AS corr FROM rr x CROSS JOIN lags JOIN rr y ON y.t = x.t + lag AND x.key < y.key GROUP BY ALL)
 SELECT a, b, lag, round(corr, 6) AS corr FROM c QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY corr DESC, abs(lag), lag DESC) = 1""")
 def lagged_corr(spark, sf_dir):
-    whole_years = monthly(spark, sf_dir).where("t < 72")  # the seventh year ends early
-    rows = series.residual_series(whole_years).select(F.col("key").cast("long").alias("key"), "t", F.lit(0).alias("c"), F.col("r").alias("v"))
+    after = F.max(F.date_add("o_orderdate", 1)).alias("after")
+    end = table(spark, sf_dir, "orders").agg(after).select(((F.year("after") - 1995) * 12 + F.month("after") - 1).alias("end"))
+    months = monthly(spark, sf_dir).join(F.broadcast(end), F.col("t") < F.col("end")).drop("end")
+    rows = series.residual_series(months).select(F.col("key").cast("long").alias("key"), "t", F.lit(0).alias("c"), F.col("r").alias("v"))
     return rounded(neighbours.lagged_correlation(rows, 1), "corr")
 
 

@@ -198,9 +198,12 @@ def _draws(n: str, draws: int, seed: int) -> str:
 _REGIONS = f"{_CU}, rg AS (SELECT region, row_number() OVER (ORDER BY region) - 1 AS pick FROM (SELECT DISTINCT region FROM cu)), wt AS (SELECT draw, region, count(*) AS w FROM {_draws('25', 40, 11)} JOIN rg USING (pick) GROUP BY ALL)"
 
 
-@query(f"SELECT CAST(draw AS BIGINT) AS draw, CAST(slot AS INT) AS slot, CAST(pick AS INT) AS pick FROM {_draws('12', 20, 5)}")
+@query(f"WITH {_REGIONS} SELECT CAST(draw AS BIGINT) AS draw, region, CAST(any_value(w) AS BIGINT) AS times, CAST(any_value(w) * count(*) AS BIGINT) AS n FROM wt JOIN cu USING (region) GROUP BY draw, region")
 def draw_table(spark, sf_dir):
-    return regression.draw_table(spark, 20, 12, 5)
+    rows = customers(spark, sf_dir)
+    placed = regression.numbered(rows.select("region").distinct(), "region")
+    picks = regression.draw_table(spark, 40, placed.count(), 11).join(F.broadcast(placed), "pick").groupBy("draw", "region").agg(F.count("*").alias("times"))
+    return rows.groupBy("region").agg(F.count("*").alias("c")).join(picks, "region").select("draw", "region", "times", (F.col("times") * F.col("c")).alias("n"))
 
 
 @query(f"""WITH {_REGIONS}, s AS (SELECT region, sum(e2 - e1) AS s, count(*) AS c FROM cu GROUP BY region), e AS (SELECT draw, sum(w * s) / sum(w * c) AS e FROM wt JOIN s USING (region) GROUP BY draw)
