@@ -198,7 +198,7 @@ def _draws(n: str, draws: int, seed: int) -> str:
 _REGIONS = f"{_CU}, rg AS (SELECT region, row_number() OVER (ORDER BY region) - 1 AS pick FROM (SELECT DISTINCT region FROM cu)), wt AS (SELECT draw, region, count(*) AS w FROM {_draws('25', 40, 11)} JOIN rg USING (pick) GROUP BY ALL)"
 
 
-@query(f"WITH {_REGIONS} SELECT CAST(draw AS BIGINT) AS draw, region, CAST(any_value(w) AS BIGINT) AS times, CAST(any_value(w) * count(*) AS BIGINT) AS n FROM wt JOIN cu USING (region) GROUP BY draw, region")
+@query(f"WITH {_REGIONS} SELECT CAST(draw AS BIGINT) AS draw, region, CAST(any_value(wt.w) AS BIGINT) AS times, CAST(any_value(wt.w) * count(*) AS BIGINT) AS n FROM wt JOIN cu USING (region) GROUP BY draw, region")
 def draw_table(spark, sf_dir):
     rows = customers(spark, sf_dir)
     placed = regression.numbered(rows.select("region").distinct(), "region")
