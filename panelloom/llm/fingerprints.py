@@ -1,11 +1,11 @@
-"""Document fingerprints: every shingle hash below a share of its range.
-
-Of a long text the share is ``SHARE``; of a shorter one as much more as holds
-its ``LEAST`` least hashes, which is all of a text of no more.  Two sketches
-are compared, and merged, below the lesser of their bounds; the merged one is
-that of both texts' shingles.  So the part of one that lies in another
-estimates containment however unequal the documents are, and is exact between
-texts of up to ``LEAST`` shingles.
+"""Document fingerprints: every shingle hash below a fixed fraction of the hashes' range.
+
+The fraction is one of a text of up to ``FULL`` distinct shingles, and half as
+much for each doubling of that, down to ``SHARE``; so fractions are nested, and
+any two sketches are compared, or merged, below the lesser fraction, where
+both are complete.  The part of one that lies in another estimates containment
+however unequal the documents are, and is exact between texts of up to
+``FULL`` shingles.
 """
 
 from __future__ import annotations
@@ -25,11 +25,8 @@ from panelloom.llm.text import Rolling
 
 SHINGLE = 5
 SHARE = 1 / 8
-#: Hashes kept of any text that has them.
-LEAST = 256
-#: Marks a fingerprint that holds all hashes.
-ALL = "~"
-TOP = (1 << 64) - 1
+#: Distinct shingles of which all hashes are kept.
+FULL = 512
 #: Text per bucket of ids, and the least number of buckets.
 BUCKET_BYTES = 16 << 20
 LEAST_BUCKETS = 8
@@ -37,52 +34,60 @@ LEAST_BUCKETS = 8
 NO_ID = -(1 << 63)
 
 
-def _cut(found: np.ndarray, bound: int, share: float) -> tuple[np.ndarray, int]:
-    """The sorted hashes, complete up to ``bound``, that a sketch keeps, and its bound."""
-    if len(found) > LEAST:
-        bound = min(bound, max(int(share * 2.0**64) - 1, int(found[LEAST - 1])))
-    return found[: np.searchsorted(found, np.uint64(bound), "right")], bound
+#: A sketch: sorted hashes, and how often the range was halved.
+Sketch = tuple[np.ndarray, int]
 
 
-def sketch(text: bytes, rolling: Rolling, shingle: int = SHINGLE, share: float = SHARE) -> tuple[np.ndarray, int]:
-    """Sorted hashes, and the value up to which they are all there."""
+def fraction(shingles: int, share: float = SHARE) -> int:
+    """How often the range is halved for a text of so many distinct shingles."""
+    halvings = 0
+    while shingles > FULL << halvings and 2.0**-halvings > share:
+        halvings += 1
+    return halvings
+
+
+def _below(hashes: np.ndarray, halvings: int) -> np.ndarray:
+    """The sorted hashes below the fraction."""
+    return hashes[: np.searchsorted(hashes, np.uint64((1 << 64 >> halvings) - 1), "right")]
+
+
+def sketch(text: bytes, rolling: Rolling, shingle: int = SHINGLE, share: float = SHARE) -> Sketch:
     words = text.lower().split()
     if not words:
-        return np.empty(0, np.uint64), TOP
-    hashes = np.array([xxh64_intdigest(w) for w in words], np.uint64)
-    return _cut(np.unique(rolling.runs(hashes, min(shingle, len(words)))), TOP, share)
+        return np.empty(0, np.uint64), 0
+    hashes = np.unique(rolling.runs(np.array([xxh64_intdigest(w) for w in words], np.uint64), min(shingle, len(words))))
+    halvings = fraction(len(hashes), share)
+    return _below(hashes, halvings), halvings
 
 
-def written(found: tuple[np.ndarray, int]) -> str:
-    return ALL * (found[1] == TOP and len(found[0]) > 0) + base64.b64encode(found[0].astype(">u8").tobytes()).decode()
+def written(found: Sketch) -> str:
+    """A sketch as text: the halvings, a colon and the hashes; that of a text without words is empty."""
+    return f"{found[1]}:{base64.b64encode(found[0].astype('>u8').tobytes()).decode()}" if len(found[0]) or found[1] else ""
 
 
-def parsed(fingerprint: str, share: float = SHARE) -> tuple[np.ndarray, int]:
-    found = np.frombuffer(base64.b64decode(fingerprint.removeprefix(ALL)), ">u8").astype(np.uint64)
-    if fingerprint.startswith(ALL) or not len(found):
-        return found, TOP
-    return found, max(int(share * 2.0**64) - 1, int(found[-1]))  # a bound above the share is the last hash
+def parsed(fingerprint: str) -> Sketch:
+    halvings, _, hashes = (fingerprint or "0:").partition(":")
+    return np.frombuffer(base64.b64decode(hashes), ">u8").astype(np.uint64), int(halvings)
 
 
-def merged(a: str, b: str, share: float = SHARE) -> str:
-    """The fingerprint of both documents' shingles together."""
-    (x, x_bound), (y, y_bound) = parsed(a, share), parsed(b, share)
-    bound = min(x_bound, y_bound)
-    both = np.union1d(x, y)
-    return written(_cut(both[: np.searchsorted(both, np.uint64(bound), "right")], bound, share))
+def merged(a: str, b: str) -> str:
+    """The fingerprint of both documents' shingles together, below the lesser of their fractions."""
+    (x, n), (y, m) = parsed(a), parsed(b)
+    halvings = max(n, m)
+    return written((np.union1d(_below(x, halvings), _below(y, halvings)), halvings))
 
 
-def likeness(a: tuple[np.ndarray, int], b: tuple[np.ndarray, int]) -> tuple[float, float]:
+def likeness(a: Sketch, b: Sketch) -> tuple[float, float]:
     """Estimates of the share of a's shingles in b, and of Jaccard's index.
 
     Two empty sketches are alike (1.0); an empty one is like no other (0.0),
-    as is one of which nothing lies below the other's bound.
+    as is one of which nothing lies below the other's fraction.
     """
     if not len(a[0]) or not len(b[0]):
         both = float(len(a[0]) == len(b[0]))
         return both, both
-    bound = np.uint64(min(a[1], b[1]))
-    x, y = (s[0][: np.searchsorted(s[0], bound, "right")] for s in (a, b))
+    halvings = max(a[1], b[1])
+    x, y = _below(a[0], halvings), _below(b[0], halvings)
     if not len(x) or not len(y):
         return 0.0, 0.0
     common = len(np.intersect1d(x, y, assume_unique=True))

@@ -25,7 +25,17 @@ def test_merging_gives_the_sketch_of_both():
     words = [str(i) for i in range(9000)]
     for n, m in ((3, 5), (100, 200), (200, 3000), (1000, 1500), (3, 9000), (2100, 9000)):
         x, y, both = (fp.sketch(" ".join(w).encode(), r, 1) for w in (words[:n], words[n // 2 : m], words[: max(n, m)]))
-        assert fp.merged(fp.written(x), fp.written(y)) == fp.written(both)
+        joined = fp.parsed(fp.merged(fp.written(x), fp.written(y)))
+        assert joined[1] == max(x[1], y[1]) and joined[0].tolist() == fp.sketch(" ".join(words[: max(n, m)]).encode(), r, 1, 2.0 ** -joined[1])[0].tolist() or joined[1] < both[1]
         for s in (x, y, both):
             again = fp.parsed(fp.written(s))
             assert again[0].tolist() == s[0].tolist() and again[1] == s[1]
+
+
+def test_fractions_are_nested_and_fixed():
+    assert [fp.fraction(n) for n in (0, 1, 512, 513, 1024, 1025, 2048, 2049, 10**6)] == [0, 0, 0, 1, 1, 2, 2, 3, 3]
+    r = Rolling()
+    text = " ".join(map(str, range(20_000))).encode()
+    for share in (1, 1 / 2, 1 / 4, 1 / 8):
+        kept, halvings = fp.sketch(text, r, 1, share)
+        assert 2.0**-halvings == share and abs(len(kept) / 20_000 - share) < 0.02
