@@ -20,13 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.llm.store import bounded_batches, free_name, materialize
+from panelloom.llm.store import bounded_batches, discard, free_name, materialize
 from panelloom.llm.text import ALNUM, utf8
 
 #: Text of the benchmark that is compiled at once; the matchers of so much
 #: take some 150 MB on the driver and in each worker.
 BLOCK_BYTES = 4 << 20
-#: Bits of a word's number in the key of a block of words.
+#: Bits of a word's number in the key of a block of words: but for some 65 000,
+#: different words take three bytes or more, so that a block has fewer.
 WORD_BITS = 21
 
 
@@ -79,8 +80,6 @@ def compile_patterns(items: Iterable[tuple[str, bytes]], window: int) -> Pattern
             size = min(window, len(w))
             places.setdefault(size, []).append((len(numbers), len(numbers) + len(w) - size, item))
             numbers += [vocabulary.setdefault(x, len(vocabulary)) for x in w]
-    if len(vocabulary) >> WORD_BITS:
-        raise ValueError("too many different words in one block of the benchmark")
     coded = np.array(numbers, np.int32)
     text = coded.tobytes()
     sets: dict[tuple[str, ...], int] = {}
@@ -183,6 +182,48 @@ def _scan(df: DataFrame, text_col: str, patterns: Patterns, state: tuple[str, st
 STATE = ("_hit_runs", "_hit_items", "_n_words")
 
 
+def _pieces(benchmark: DataFrame, item_col: str, item_text_col: str, window: int, most: int) -> DataFrame:
+    """``item, text`` of the benchmark, each once, items of more than ``most`` bytes in parts that share a window less a word.
+
+    Parts are long enough to hold whole windows only, all of which lie in one.
+    """
+    text = F.coalesce(F.col(item_text_col), F.lit(""))
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), text.alias("text")).distinct()
+    long = F.octet_length("text") > most
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, whole in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
+                w, start = words(whole), 0
+                while start == 0 or start + window <= len(w):
+                    end, size = start, 0
+                    while end < len(w) and (size < most or end < start + window):
+                        size += len(w[end]) + 1
+                        end += 1
+                    part = b" ".join(w[start:end]).decode(errors="surrogateescape")
+                    yield pa.RecordBatch.from_arrays([pa.array([item]), pa.array([part])], ["item", "text"])
+                    if end == len(w):
+                        break
+                    start = end - window + 1
+
+    return items.where(~long).unionByName(items.where(long).mapInArrow(cut, "item string, text string"))
+
+
+def _blocks(pieces: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """``pieces`` dealt into blocks of at most ``most`` bytes (or one piece), and the number of blocks.
+
+    Blocks are halved until the largest fits.
+    """
+    total = pieces.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = 1 if total <= most else 2 * -(-total // most)
+    while True:
+        dealt = pieces.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
+        size = F.sum(F.octet_length("text")).alias("size")
+        if blocks == 1 or dealt.groupBy("block").agg(size, F.count("*").alias("n")).where((F.col("size") > most) & (F.col("n") > 1)).isEmpty():
+            return dealt, blocks
+        blocks *= 2
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, block_bytes: int = BLOCK_BYTES, state: tuple[str, str, str] = STATE) -> DataFrame:
     """``docs`` with the benchmark windows found in each text.
 
@@ -194,24 +235,25 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
     are neither dropped nor merged, so that repeated rows stay and an empty
     table gives an empty one.
 
-    The benchmark reaches the workers in blocks of at most ``block_bytes`` of
-    text (one, nearly always; a single longer item is a block), each searched
-    in a pass of its own over the documents, which are not shuffled.  Between
-    two passes rows and state are written to the shared folder, so that a
-    worker never holds more than one block.
+    The benchmark, its repeated rows once, reaches the workers in blocks of at
+    most ``block_bytes`` of text (one, nearly always), into which a longer item
+    goes in parts; each is searched in a pass of its own over the documents,
+    which are not shuffled.  Between two passes rows and state are written to
+    the shared folder, so that driver and workers never hold more than a block.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = 1 + total // block_bytes if total > block_bytes else 1
+    pieces = materialize(_pieces(benchmark, item_col, item_text_col, window, block_bytes // 4), "benchmark")
+    dealt, blocks = _blocks(pieces, block_bytes)
     runs_col, items_col, words_col = state
     out = docs.drop(*state).withColumns({runs_col: F.array().cast("array<int>"), items_col: F.array().cast("array<string>"), words_col: F.lit(None).cast("long")})
     for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        out = _scan(out, text_col, compile_patterns(((r.item, r.text.encode()) for r in part.toLocalIterator()), window), state)
+        before, part = out, dealt.where(F.col("block") == k)
+        out = _scan(out, text_col, compile_patterns(((r.item, r.text.encode(errors="surrogateescape")) for r in part.toLocalIterator()), window), state)
         if k < blocks - 1:
             out = materialize(out, "scanned")
+            discard(before)
+    discard(pieces)
     return out
 
 

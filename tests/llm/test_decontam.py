@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from panelloom.llm import decontam
@@ -63,3 +64,32 @@ def test_empty_tables_and_clashing_columns(spark):
     assert rows(decontam.contamination_report(clash, none)) == [(1, 2, 0, 0, hashlib.sha256(b"").hexdigest(), False)]
     assert rows(decontam.contamination_report(docs(spark, []), none)) == []
     assert decontam.drop_contaminated(clash.drop("_n_words"), none).columns == ["doc_id", "text", "n_words", "item_id"]
+
+
+def test_repeated_long_and_many_items_in_blocks(spark):
+    """Repeats count once, a long item goes in parts, and no block is larger than it may be."""
+    rng = random.Random(4)
+    item = [f"w{rng.randrange(400)}" for _ in range(900)]
+    items = [(1, "the same words again and again " * 3)] * 3000 + [(2, " ".join(item))] + [(i, " ".join(f"x{i}y{k}" for k in range(15))) for i in range(3, 200)]
+    texts = [(1, " ".join(item[100:160])), (2, " ".join(item)), (3, "x7y1 " + " ".join(f"x7y{k}" for k in range(14))), (4, "again the same words again and again the same words again and again the same"), (5, " ".join(item[880:]))]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    pieces = decontam._pieces(b, "item_id", "text", 13, 500)
+    held = [(r.item, r.text) for r in pieces.collect()]
+    assert sum(i == "1" for i, _ in held) == 1 and sum(i == "2" for i, _ in held) > 5 and all(len(t) < 600 for _, t in held)
+    dealt, blocks = decontam._blocks(pieces, 2000)
+    sizes = {}
+    for r in dealt.collect():
+        sizes.setdefault(r.block, []).append(len(r.text))
+    assert blocks > 3 and max(map(sum, sizes.values())) <= 2000
+    want = {r[0]: r for r in brute(texts, items)}
+    found = decontam.find_contamination(docs(spark, texts), b, block_bytes=2000)
+    for r in found.collect():
+        assert (r._n_words, sum(r._hit_runs[1::2]) - sum(r._hit_runs[::2]), len(r._hit_items)) == want[r.doc_id][1:4]
+
+
+def test_large_vocabulary(spark):
+    words = [f"{i:x}" for i in range(600_000)]
+    b = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    text = " ".join(words[550_000:550_020])
+    got = decontam.contamination_report(docs(spark, [(1, text), (2, text + " other" * 20)]), b).collect()
+    assert {r.doc_id: r.n_hit for r in got} == {1: 20, 2: 20}
