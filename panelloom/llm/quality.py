@@ -6,8 +6,9 @@ its likelihoods, and a sample is drawn without replacement by Gumbel top-k.
 
 N-grams are runs of five bytes, once of the text with its white space evened
 out and once of its lower-cased words alone; a document's n-grams count once.
-A bucket's ratio is taken only where the two models differ by more than
-``Z`` standard errors, else it is one: so rare n-grams add little noise, and
+A bucket's ratio is taken only where the two models differ by more than a
+factor of ``EFFECT``, beyond ``Z`` standard errors, else it is one: so rare
+n-grams add little noise, ratios near one do not add up over a long text, and
 with more text ever more buckets take part.
 """
 
@@ -27,7 +28,9 @@ GRAM = 5
 BUCKET_BITS = 20
 #: The summed counts travel in this many ranges of buckets.
 RANGES = 64
-Z = 2.5
+#: A ratio counts if it is beyond a factor of ``EFFECT`` by ``Z`` standard errors
+#: and so many documents are expected to have the n-gram.
+Z, EFFECT, FEWEST = 2.0, 2.0, 5
 #: Labelled rows used to fit and calibrate, at most; chosen by a hash of the id.
 MAX_LABELLED = 200_000
 #: One in so many labelled rows calibrates the cut instead of fitting.
@@ -36,6 +39,8 @@ HELD_OUT = 5
 MAX_LOSS = 0.005
 SEED = 20_240_607
 TARGET, GOOD, BAD = 1, 2, 3
+#: What a fitted model depends on beside the rows.
+SETTINGS = (GRAM, BUCKET_BITS, Z, EFFECT, FEWEST, MAX_LABELLED, HELD_OUT, MAX_LOSS, SEED)
 
 
 class Grams:
@@ -111,14 +116,19 @@ def _counts(docs: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
     return out.reshape(2, -1)[0], out.reshape(2, -1)[1]
 
 
-def log_ratios(raw: np.ndarray, target: np.ndarray, z: float = Z) -> np.ndarray:
-    """The log ratio of target to raw of each bucket, 0 where it is in doubt."""
+def log_ratios(raw: np.ndarray, target: np.ndarray, z: float = Z, effect: float = EFFECT) -> np.ndarray:
+    """The log ratio of target to raw of each bucket, 0 where it may be within a factor of ``effect``.
+
+    Most n-grams are a little more frequent in good texts than in all; summed
+    over a long text, such ratios would outweigh the few n-grams that tell.
+    """
     if not target.sum():
         return np.zeros(len(raw), np.float32)
     share = target.sum() / raw.sum()
     expected = raw * share
-    error = np.sqrt(np.maximum(expected * (1 - share), 1e-9))
-    return np.where(np.abs(target - expected) > z * error, np.log((target + 1) / (expected + 1)), 0).astype(np.float32)
+    least, most = expected / effect, expected * effect
+    told = (target < least - z * np.sqrt(least * (1 - share))) | (target > most + z * np.sqrt(most * (1 - share)))
+    return np.where(told & (expected >= FEWEST), np.log((target + 1) / (expected + 1)), 0).astype(np.float32)
 
 
 def cut_between(good: np.ndarray, bad: np.ndarray, max_loss: float = MAX_LOSS) -> float:

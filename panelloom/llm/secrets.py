@@ -46,8 +46,9 @@ EXTRA_RULES = (
 RULES = BASE_RULES + EXTRA_RULES
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
 REDACTED = "[REDACTED]"
-#: Blobs of more than one in so many rows are joined by broadcast.
-HEAVY = 256
+#: Blobs of more than one in so many rows are joined by broadcast, if they have
+#: no more than so many spans.
+HEAVY, HEAVY_SPANS = 256, 4096
 
 
 def version_of(rules: tuple[Rule, ...]) -> str:
@@ -58,6 +59,7 @@ def version_of(rules: tuple[Rule, ...]) -> str:
 class Ledger:
     """``blob, rules_version, spans`` of all that was scanned, in a folder that only grows.
 
+    It is partitioned by version, so that older rules' findings are not read.
     Appends are whole or absent, so a run that failed is repeated; a pair that
     two runs append both counts once when it is read.
     """
@@ -66,10 +68,12 @@ class Ledger:
         self.spark, self.path = spark, path
 
     def read(self) -> DataFrame | None:
-        return self.spark.read.parquet(self.path) if exists(self.spark, self.path) else None
+        if not exists(self.spark, self.path):
+            return None
+        return self.spark.read.schema(f"blob string, spans {SPAN}, rules_version string").parquet(self.path)
 
     def append(self, fresh: DataFrame) -> None:
-        fresh.select("blob", "rules_version", "spans").write.mode("append").parquet(self.path)
+        fresh.select("blob", "rules_version", "spans").write.mode("append").partitionBy("rules_version").parquet(self.path)
 
 
 def _spans(text: Column, rank: int, rule: Rule) -> Column:
@@ -109,9 +113,11 @@ def _with_spans(rows: DataFrame, key: str, found: DataFrame, counts: DataFrame,
     """``rows`` left-joined to ``found`` (blob, spans) by blob.
 
     Copies of one text would all go to one task: the blobs of more than one in
-    ``HEAVY`` rows, of which there are no more than that, are broadcast.
+    ``HEAVY`` rows, of which there are no more than that, are broadcast; the
+    few of more than ``HEAVY_SPANS`` spans are left to AQE.
     """
-    many = counts.where(F.col("n") > max(HEAVY // 4, total // HEAVY)).select("blob")
+    large = found.where(F.size("spans" if "spans" in found.columns else found.columns[-1]) > HEAVY_SPANS).select("blob")
+    many = counts.where(F.col("n") > max(HEAVY // 4, total // HEAVY)).select("blob").join(large, "blob", "left_anti")
     heavy = F.broadcast(found.join(F.broadcast(many), "blob", "left_semi"))
     light = found.join(F.broadcast(many), "blob", "left_anti")
     is_heavy = rows.join(F.broadcast(many).withColumnRenamed("blob", key), key, "left_semi")
@@ -126,7 +132,8 @@ def _scanned(source: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...
     counts = materialize(index.groupBy("blob").agg(F.min("path").alias("chosen"), F.count("*").alias("n")), "counts")
     wanted, known = counts, None
     if ledger is not None:
-        known = ledger.where(F.col("rules_version") == version).groupBy("blob").agg(F.first("spans").alias("spans"))
+        mine = ledger.where(F.col("rules_version") == version).join(counts.select("blob"), "blob", "left_semi")
+        known = materialize(mine.groupBy("blob").agg(F.first("spans").alias("spans")), "known")
         wanted = wanted.join(known, "blob", "left_anti")
     address = source.withColumn("address", blob(F.col("text")))
     unseen = address.join(wanted, (F.col("address") == F.col("blob")) & F.col("path").eqNullSafe(F.col("chosen")))
@@ -134,7 +141,7 @@ def _scanned(source: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...
     fresh = materialize(scanned.select("blob", F.lit(version).alias("rules_version"), "spans"), "ledger")
     found = fresh.select("blob", "spans")
     if known is not None:
-        found = found.unionByName(known.join(counts, "blob", "left_semi"))
+        found = found.unionByName(known)
     return index, counts, found.where(F.size("spans") > 0), fresh, index.count()
 
 
@@ -176,7 +183,7 @@ def _reported(findings: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None) -> DataFrame:
-    """Counts by kind, a digest of the base spans, and all spans of each row."""
+    """Counts by kind, a digest of the base spans, and all spans of each row; rows as in :func:`scan_versions`."""
     findings, _ = scan_versions(docs, path=id_col, text=text_col, ledger=ledger)
     return _reported(findings)
 

@@ -10,9 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelloom.sources.shared import discard, exists, free_name, materialize, shared_dir
+from panelloom.sources.shared import _file_system, digest_of, discard, exists, free_name, materialize, scratch, shared_dir
 
-__all__ = ["bounded_batches", "discard", "exists", "free_name", "materialize", "resumed", "shared_dir"]
+__all__ = ["bounded_batches", "digest_of", "discard", "exists", "free_name", "materialize", "resumed", "scratch", "shared_dir"]
 
 
 def bounded_batches(spark: SparkSession, rows: int = 2000, mb: int = 16) -> None:
@@ -21,8 +21,28 @@ def bounded_batches(spark: SparkSession, rows: int = 2000, mb: int = 16) -> None
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
-def resumed(spark: SparkSession, path: str, made: Callable[[], DataFrame]) -> DataFrame:
-    """The rows at ``path``, which are made and written first unless they are there whole."""
-    if not exists(spark, f"{path}/_SUCCESS"):
+def _stamp(spark: SparkSession, path: str) -> str | None:
+    files, where = _file_system(spark, f"{path}/_STAMP")
+    if not files.exists(where):
+        return None
+    stream = files.open(where)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def resumed(spark: SparkSession, path: str, made: Callable[[], DataFrame], stamp: str) -> DataFrame:
+    """The rows at ``path``, which are made and written first unless they are there whole under the same ``stamp``.
+
+    The stamp says what they are made of: inputs, parameters, rules.
+    """
+    if not exists(spark, f"{path}/_SUCCESS") or _stamp(spark, path) != stamp:
         made().write.mode("overwrite").option("compression", "zstd").parquet(path)
+        files, where = _file_system(spark, f"{path}/_STAMP")
+        out = files.create(where, True)
+        try:
+            out.write(bytearray(stamp.encode()))
+        finally:
+            out.close()
     return spark.read.parquet(path)

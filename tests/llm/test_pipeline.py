@@ -1,29 +1,33 @@
-import numpy as np
-
 import corpus_pipeline
 from panelloom.llm import decontam, secrets, simhash
 
 
 def least_of_each(rows):
-    """The least id of each component of wide fingerprints, by comparing all pairs."""
-    words = {i: np.array(simhash.wide_simhash((r.text or "").encode()), np.uint64) for i, r in rows.items()}
-    ids = sorted(words)
-    table = np.stack([words[i] for i in ids])
-    halves = table.view(np.uint32)
-    label = list(range(len(ids)))
+    """The least id of each component of texts that share 0.8 of their five-word shingles, by comparing all that share any."""
+    sets = {i: frozenset(simhash.shingle_hashes((r.text or "").encode(), 5).tolist()) for i, r in rows.items()}
+    label = {i: i for i in sets}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
 
-    def root(k):
-        while label[k] != k:
-            k = label[k]
-        return k
+    def join(i, j):
+        i, j = root(i), root(j)
+        label[max(i, j)] = min(i, j)
 
-    for k in range(len(ids)):
-        near = np.bitwise_count(table ^ table[k]).sum(axis=1) <= simhash.WIDE_BUDGET
-        near &= (np.bitwise_count(halves ^ halves[k]) <= simhash.HALF_BUDGET).any(axis=1)
-        for j in np.flatnonzero(near).tolist():
-            a, b = root(j), root(k)
-            label[max(a, b)] = min(a, b)
-    return {ids[root(k)] for k in range(len(ids))}
+    first, holders = {}, {}
+    for i, s in sorted(sets.items()):
+        join(i, first.setdefault(s, i))
+    for s, i in first.items():
+        for h in s:
+            holders.setdefault(h, []).append(i)
+    pairs = {(at[x], j) for at in holders.values() if len(at) < 300 for x in range(len(at)) for j in at[x + 1 :]}
+    for i, j in pairs:
+        both = len(sets[i] & sets[j])
+        if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+            join(i, j)
+    return {root(i) for i in sets}
 
 
 def test_stages(spark, sf_dir):

@@ -15,4 +15,4 @@ def test_bad_rows_go_where_labels_are_many(spark):
             keep[kind[r.doc_id]].append(r.keep)
     share = {k: sum(v) / len(v) for k, v in keep.items()}
     print({k: (sum(v), len(v)) for k, v in keep.items()})
-    assert share["good"] >= 0.98 and share["toxic"] <= 0.5 and share["low"] <= 0.35
+    assert share["good"] >= 0.98 and share["toxic"] <= 0.4 and share["low"] <= 0.3

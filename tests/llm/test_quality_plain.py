@@ -35,7 +35,8 @@ def buckets(text):
 
 
 def test_weights_are_those_of_plain_python(spark):
-    table, labels = read(spark, "/root/testdata/sf0.001").limit(60), read(spark, "/root/testdata/sf0.001", "labels")
+    table = read(spark, "/root/testdata/sf0.001").selectExpr("doc_id", "left(text, 1500) AS text")
+    labels = table.selectExpr("doc_id", "int(NOT coalesce(text rlike '[*#%$&]{3}|!!', true)) AS quality", "0 AS toxic")
     model = quality.Model(table, labels)
     ids, roles = quality._roles(labels, quality.MAX_LABELLED)
     target = {i for i, r in zip(ids.tolist(), roles.tolist(), strict=True) if r == quality.TARGET}
@@ -49,7 +50,8 @@ def test_weights_are_those_of_plain_python(spark):
 
     def ratio(b):
         expected = raw[b] * share
-        if abs(good[b] - expected) <= 2.5 * math.sqrt(max(expected * (1 - share), 1e-9)):
+        low, high = expected / 2, 2 * expected
+        if expected < 5 or low - 2 * math.sqrt(low * (1 - share)) <= good[b] <= high + 2 * math.sqrt(high * (1 - share)):
             return 0.0
         return math.log((good[b] + 1) / (expected + 1))
 
@@ -61,13 +63,22 @@ def test_weights_are_those_of_plain_python(spark):
 def test_bad_rows_go_where_labels_are_few(spark, sf_dir):
     labels = read(spark, sf_dir, "labels")
     kind = {r.doc_id: "low" if r.quality == 0 else "toxic" if r.toxic else "good" for r in labels.collect()}
-    keep = {"low": [], "toxic": [], "good": []}
+    keep = {"low": [], "toxic": [], "good": [], None: []}
     for r in quality.classify(read(spark, sf_dir), labels).collect():
-        if r.doc_id in kind:
-            keep[kind[r.doc_id]].append(r.keep)
+        keep[kind.get(r.doc_id)].append(r.keep)
     share = {k: sum(v) / len(v) for k, v in keep.items()}
     print(share)
-    assert share["good"] >= 0.97 and share["low"] <= 0.9
+    assert share["good"] >= 0.98 and share["low"] <= 0.45 and share["toxic"] <= 0.45
+
+
+def test_toxic_texts_go_and_the_rest_stays(spark, sf_dir):
+    """The toxic texts of these tables hold words of abuse; some labels say toxic of texts that hold none."""
+    abuse = r"(?i)\b(trash|idiot|clown|scum|worthless|moron|pathetic|loser|disgusting|stupid)\b"
+    for folder, most in ((sf_dir, 0.0), ("/root/testdata/sf0.1", 0.01)):
+        table = read(spark, folder).withColumn("abuse", F.col("text").rlike(abuse))
+        keep = quality.classify(table, read(spark, folder, "labels")).join(table.select("doc_id", "abuse"), "doc_id")
+        shares = {r.abuse: (r.n, r.kept) for r in keep.groupBy("abuse").agg(F.count("*").alias("n"), F.avg(F.col("keep").cast("int")).alias("kept")).collect()}
+        assert shares[True][0] >= 50 and shares[True][1] <= most and shares[False][1] >= 0.85
 
 
 def test_clashing_columns_stay(spark):
