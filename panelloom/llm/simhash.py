@@ -38,8 +38,9 @@ HALF_BUDGET = 4
 #: Bits in which wide fingerprints may differ to be proposed.  Texts of a
 #: similarity of 0.8 differ in 49 of 320 in the mean, with a deviation of 6.4.
 WIDE_BUDGET = 68
-#: Equal halves of more fingerprints are proposed to leaders, not to each other.
-CROWD = 8
+#: Equal halves of more fingerprints are proposed to leaders, not to each other,
+#: and rows of more partners to the nearest ones and to the one of most partners.
+CROWD, NEAREST = 8, 3
 #: Texts are near copies from this share of common shingles on.
 ALIKE = 0.8
 #: Partners of one text that a task compares with it.
@@ -215,6 +216,26 @@ class Balls:
         none = np.empty(0, np.int64)
         return np.concatenate([none, *a]), np.concatenate([none, *b]), stay
 
+    def thinned(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the proposals ``a, b``, so many that they grow with the rows and not with their square.
+
+        A row of up to ``CROWD`` partners keeps all of them.  One of more keeps
+        the nearest ``NEAREST`` and the one that has most partners itself, and
+        whom else partners of few choose.
+        """
+        degree = np.bincount(np.concatenate((a, b)), minlength=len(self.words))
+        few = (degree[a] <= CROWD) | (degree[b] <= CROWD)
+        i, j = np.concatenate((a[~few], b[~few])), np.concatenate((b[~few], a[~few]))
+        gap = self.far(i, j)
+        parts = [(a[few], b[few])]
+        for least, most in ((gap, NEAREST), (-degree[j], 1)):
+            at = np.lexsort((j, least, i))
+            first = np.concatenate(([True], i[at][1:] != i[at][:-1])) if len(at) else np.empty(0, bool)
+            rank = np.arange(len(at)) - np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
+            chosen = at[rank < most]
+            parts.append((i[chosen], j[chosen]))
+        return np.concatenate([x for x, _ in parts]), np.concatenate([y for _, y in parts])
+
     def judge(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Proposals of pairs whose halves are near: themselves, or members of their balls.
 
@@ -318,13 +339,16 @@ def _join_tries(keys: np.ndarray, fps: np.ndarray, budget: int, wide: np.ndarray
     place = np.flatnonzero(stays)
 
     def judge(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x, y = balls.judge(place[i], place[j])
-        found.append((x, y))
-        return x[:0], y[:0]
+        found.append(balls.judge(place[i], place[j]))
+        if sum(len(x) for x, _ in found) > 4 * PAIRS:
+            found[:] = [balls.thinned(*(np.concatenate(v) for v in zip(*found, strict=True)))]
+        return none, none
 
-    found = [(a, b)]
+    none = np.empty(0, np.int64)
+    found = [(none, none)]
     _pairs(fps[place], starts[many], ends[many], budget, 31, judge)
-    return order[np.concatenate([x for x, _ in found])], order[np.concatenate([y for _, y in found])]
+    x, y = balls.thinned(*(np.concatenate(v) for v in zip(*found, strict=True)))
+    return order[np.concatenate((a, x))], order[np.concatenate((b, y))]
 
 
 def _without_crowds(group: np.ndarray, fps: np.ndarray, balls: Balls) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -369,8 +393,9 @@ def wide_links(classes: DataFrame, trie_rows: int = TRIE_ROWS) -> DataFrame:
 
     Two are compared in full if any of their halves differ in ``HALF_BUDGET``
     bits or fewer, and proposed if all their words differ in ``WIDE_BUDGET`` or
-    fewer; but the rows of a crowd of equal halves are proposed to its leaders
-    (:class:`Balls`), not to each other.
+    fewer; but rows of crowds are proposed to some of their partners only (see
+    :class:`Balls`), in each trie that they share, so that proposals grow with
+    the rows.
     """
     halves = [F.col(w).bitwiseAND(0xFFFFFFFF) if low else F.shiftrightunsigned(w, 32) for w in WORDS for low in (True, False)]
     lanes = F.array(*[h.bitwiseOR(F.lit(k << 32)) for k, h in enumerate(halves)])
@@ -467,7 +492,7 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     similarity of ``ALIKE`` or more, which is taken exactly of all pairs that
     :func:`wide_links` proposes; ``root`` is a number that means nothing but
     the component.  Each text's least partner is compared first, and then only
-    those that no link connects yet.  Texts without words are one another's
+    those that no links to a common one connect.  Texts without words are one another's
     copies, null ones too.
     """
     table = materialize(wide_fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
@@ -483,13 +508,15 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sets = materialize(shingle_sets(texts, shingle), "sets")
     first = proposed.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = materialize(alike(first, sets), "links")
-    roots = materialize(connected_components(links), "roots")
-    end = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
+    # each node links to one lesser node at most: two steps up lead to most roots
+    up = links.select(F.col("b").alias("node"), F.col("a").alias("up"))
+    twice = up.join(up.select(F.col("node").alias("up"), F.col("up").alias("top")), "up", "left").select("node", F.coalesce("top", "up").alias("root"))
+    end = lambda name: twice.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
     apart = F.coalesce("a_root", "a") != F.coalesce("b_root", "b")
     rest = proposed.join(first, ["a", "b"], "left_anti").join(end("a"), "a", "left").join(end("b"), "b", "left").where(apart).select("a", "b")
     more = materialize(alike(rest, sets), "links")
     found = materialize(connected_components(links.unionByName(more)), "roots").withColumnRenamed("node", "linked")
-    for used in (proposed, sets, links, more, roots):
+    for used in (proposed, sets, links, more):
         discard(used)
     named = classes.join(found, classes.node == found.linked, "left").select("set_a", "set_b", F.coalesce("root", "node").alias("root"))
     return table.join(named, ["set_a", "set_b"]).select("doc_id", "key_a", "key_b", "root")
