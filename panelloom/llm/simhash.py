@@ -491,8 +491,8 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Texts are near if the sets of their ``shingle``-word runs have a Jaccard
     similarity of ``ALIKE`` or more, which is taken exactly of all pairs that
     :func:`wide_links` proposes; ``root`` is a number that means nothing but
-    the component.  Each text's least partner is compared first, and then only
-    those that no links to a common one connect.  Texts without words are one another's
+    the component.  Each text's partner of most partners is compared first, and
+    then only those that no links to a common hub connect.  Texts without words are one another's
     copies, null ones too.
     """
     table = materialize(wide_fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
@@ -506,17 +506,22 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     key_a, key_b = _row_keys(id_col, text_col)
     texts = docs.select(key_a.alias("_key_a"), key_b.alias("_key_b"), F.col(text_col).alias("text")).join(wanted, ["_key_a", "_key_b"]).dropDuplicates(["node"])
     sets = materialize(shingle_sets(texts, shingle), "sets")
-    first = proposed.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    degree = materialize(proposed.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n")), "degrees")
+    rank = lambda name: degree.select(F.col("node").alias(name), F.struct("n", "node").alias(f"{name}_rank"))
+    ranked = proposed.join(rank("a"), "a").join(rank("b"), "b")
+    low, high = F.least("a_rank", "b_rank"), F.greatest("a_rank", "b_rank")
+    up = materialize(ranked.groupBy(low["node"].alias("node")).agg(F.max(high)["node"].alias("up")), "first")
+    first = up.select(F.least("node", "up").alias("a"), F.greatest("node", "up").alias("b"))
     links = materialize(alike(first, sets), "links")
-    # each node links to one lesser node at most: two steps up lead to most roots
-    up = links.select(F.col("b").alias("node"), F.col("a").alias("up"))
-    twice = up.join(up.select(F.col("node").alias("up"), F.col("up").alias("top")), "up", "left").select("node", F.coalesce("top", "up").alias("root"))
-    end = lambda name: twice.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
-    apart = F.coalesce("a_root", "a") != F.coalesce("b_root", "b")
+    # partners rise in rank: two steps up lead to most hubs
+    one = up.join(links, (F.least("node", "up") == F.col("a")) & (F.greatest("node", "up") == F.col("b")), "left_semi")
+    two = one.join(one.select(F.col("node").alias("up"), F.col("up").alias("top")), "up", "left").select("node", F.coalesce("top", "up").alias("hub"))
+    end = lambda name: two.select(F.col("node").alias(name), F.col("hub").alias(f"{name}_hub"))
+    apart = F.coalesce("a_hub", "a") != F.coalesce("b_hub", "b")
     rest = proposed.join(first, ["a", "b"], "left_anti").join(end("a"), "a", "left").join(end("b"), "b", "left").where(apart).select("a", "b")
     more = materialize(alike(rest, sets), "links")
     found = materialize(connected_components(links.unionByName(more)), "roots").withColumnRenamed("node", "linked")
-    for used in (proposed, sets, links, more):
+    for used in (proposed, degree, up, sets, links, more):
         discard(used)
     named = classes.join(found, classes.node == found.linked, "left").select("set_a", "set_b", F.coalesce("root", "node").alias("root"))
     return table.join(named, ["set_a", "set_b"]).select("doc_id", "key_a", "key_b", "root")
