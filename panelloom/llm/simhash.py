@@ -102,9 +102,9 @@ WORDS = [f"w{k}" for k in range(WIDE)]
 
 
 def wide_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """``doc_id, w0, w1, ..., set_a, set_b, key_a, key_b`` of every row.
+    """``doc_id, w0, w1, ..., size, set_a, set_b, key_a, key_b`` of every row.
 
-    ``set_a`` and ``set_b`` are hashes of its set of shingles, ``key_a`` and
+    ``size`` counts its set of shingles, ``set_a`` and ``set_b`` are hashes of it, ``key_a`` and
     ``key_b`` of its id and text.
     """
     bounded_batches(docs.sparkSession)
@@ -112,11 +112,11 @@ def wide_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(shingle_hashes(x, shingle)) for x in utf8(batch.column(1))]
-            rows = [[*wide_simhash(h), xxh64_intdigest(h, 1), xxh64_intdigest(h, 2)] for h in sets]
-            bits = np.array(rows, np.uint64).reshape(-1, WIDE + 2)
+            rows = [[*wide_simhash(h), len(h), xxh64_intdigest(h, 1), xxh64_intdigest(h, 2)] for h in sets]
+            bits = np.array(rows, np.uint64).reshape(-1, WIDE + 3)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in bits.T), *batch.columns[2:]], names)
 
-    names = ["doc_id", *WORDS, "set_a", "set_b", "key_a", "key_b"]
+    names = ["doc_id", *WORDS, "size", "set_a", "set_b", "key_a", "key_b"]
     marks = [k.alias(n) for k, n in zip(_row_keys(id_col, text_col), names[-2:], strict=True)]
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *marks)
     return source.mapInArrow(run, ", ".join([f"doc_id {source.schema['doc_id'].dataType.simpleString()}", *(f"{n} long" for n in names[1:])]))
@@ -173,14 +173,19 @@ def alike(pairs: DataFrame, sets: DataFrame, least: float = ALIKE) -> DataFrame:
 class Balls:
     """Wide fingerprints, and the crowds among them that leaders stand for."""
 
-    def __init__(self, words: np.ndarray) -> None:
-        self.words = words
+    def __init__(self, words: np.ndarray, sizes: np.ndarray) -> None:
+        self.words, self.sizes = words, sizes
         self.radius = np.zeros(len(words), np.int64)
         self.members: dict[int, np.ndarray] = {}
 
     def far(self, a, b) -> np.ndarray:
         return np.bitwise_count(self.words[a] ^ self.words[b]).sum(axis=-1)
 
+    def able(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Pairs of sets that are so equal in size that they may be alike."""
+        a, b = self.sizes[a], self.sizes[b]
+        return np.minimum(a, b) >= ALIKE * np.maximum(a, b)
+
     def middle(self, rows: np.ndarray) -> int:
         """The row nearest to the majority of the rows' bits."""
         ones = np.zeros(64 * self.words.shape[1], np.int64)
@@ -214,7 +219,9 @@ class Balls:
                 leader = self.middle(rows)
                 gap = self.far(rows, leader)
         none = np.empty(0, np.int64)
-        return np.concatenate([none, *a]), np.concatenate([none, *b]), stay
+        a, b = np.concatenate([none, *a]), np.concatenate([none, *b])
+        able = self.able(a, b)
+        return a[able], b[able], stay
 
     def thinned(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the proposals ``a, b``, so many that they grow with the rows and not with their square.
@@ -253,11 +260,14 @@ class Balls:
             if len(ours) > len(theirs):
                 ours, theirs = theirs, ours
             for row in ours.tolist():  # one link of each is enough to connect
-                gaps = self.far(theirs, row)
+                fit = theirs[self.able(theirs, np.full(len(theirs), row))]
+                gaps = self.far(fit, row)
                 if len(gaps) and gaps.min() <= WIDE_BUDGET:
                     out_a.append(np.array([row]))
-                    out_b.append(theirs[gaps.argmin()][None])
-        return np.concatenate(out_a), np.concatenate(out_b)
+                    out_b.append(fit[gaps.argmin()][None])
+        a, b = np.concatenate(out_a), np.concatenate(out_b)
+        able = self.able(a, b)
+        return a[able], b[able]
 
 
 def _pairs(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int, top: int = 63, judge: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -319,7 +329,7 @@ def _spanning(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndar
     return moved, label[moved]
 
 
-def _join_tries(keys: np.ndarray, fps: np.ndarray, budget: int, wide: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _join_tries(keys: np.ndarray, fps: np.ndarray, budget: int, wide: np.ndarray | None = None, sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links within each run of equal keys, as rows: a spanning set, or all proposals of ``wide`` ones."""
     edge = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1 if len(keys) else np.empty(0, np.int64)
     starts, ends = np.concatenate(([0], edge)), np.concatenate((edge, [len(keys)]))
@@ -331,7 +341,7 @@ def _join_tries(keys: np.ndarray, fps: np.ndarray, budget: int, wide: np.ndarray
         a, b = _pairs(fps, starts[many], ends[many], budget)
         moved, root = _spanning(len(fps), a, b)
         return order[moved], order[root]
-    balls = Balls(wide[order])
+    balls = Balls(wide[order], np.ones(len(order)) if sizes is None else sizes[order])
     stays, a, b = _without_crowds(group, fps, balls)
     before = np.concatenate(([0], np.cumsum(stays)))
     starts, ends = before[starts], before[ends]
@@ -393,15 +403,15 @@ def wide_links(classes: DataFrame, trie_rows: int = TRIE_ROWS) -> DataFrame:
 
     Two are compared in full if any of their halves differ in ``HALF_BUDGET``
     bits or fewer, and proposed if all their words differ in ``WIDE_BUDGET`` or
-    fewer; but rows of crowds are proposed to some of their partners only (see
+    fewer, unless their sets differ too much in ``size`` to be alike; but rows of crowds are proposed to some of their partners only (see
     :class:`Balls`), in each trie that they share, so that proposals grow with
     the rows.
     """
     halves = [F.col(w).bitwiseAND(0xFFFFFFFF) if low else F.shiftrightunsigned(w, 32) for w in WORDS for low in (True, False)]
     lanes = F.array(*[h.bitwiseOR(F.lit(k << 32)) for k, h in enumerate(halves)])
-    rows = classes.select("node", *WORDS, F.explode(lanes).alias("fp"))
+    rows = classes.select("node", *WORDS, "size", F.explode(lanes).alias("fp"))
     lane_bits = sum(1 << b for b in range(32, 32 + (2 * WIDE - 1).bit_length()))
-    return _linked(_in_tries(rows, list(range(32)), lane_bits, HALF_BUDGET, trie_rows), HALF_BUDGET, WORDS)
+    return _linked(_in_tries(rows, list(range(32)), lane_bits, HALF_BUDGET, trie_rows), HALF_BUDGET, [*WORDS, "size"])
 
 
 def _in_tries(rows: DataFrame, bits: list[int], always: int, budget: int, trie_rows: int) -> DataFrame:
@@ -441,8 +451,8 @@ def _linked(keyed: DataFrame, budget: int, words: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(rows: np.ndarray) -> pa.RecordBatch:
-            wide = np.ascontiguousarray(rows[:, 4:]).view(np.uint64) if words else None
-            a, b = _join_tries(rows[:, 1:3], np.ascontiguousarray(rows[:, 0]).view(np.uint64) & low, budget, wide)
+            wide = np.ascontiguousarray(rows[:, 4:-1]).view(np.uint64) if words else None
+            a, b = _join_tries(rows[:, 1:3], np.ascontiguousarray(rows[:, 0]).view(np.uint64) & low, budget, wide, rows[:, -1] if words else None)
             names = rows[:, 3 if words else 0]
             return pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b])], ["a", "b"])
 
@@ -497,7 +507,7 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     table = materialize(wide_fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
     sample = F.min(F.struct("key_a", "key_b")).alias("sample")
-    classes = table.groupBy("set_a", "set_b").agg(*[F.min(w).alias(w) for w in WORDS], sample).withColumn("node", F.monotonically_increasing_id())
+    classes = table.groupBy("set_a", "set_b").agg(*[F.min(w).alias(w) for w in (*WORDS, "size")], sample).withColumn("node", F.monotonically_increasing_id())
     classes = materialize(classes, "classes")
     proposed = wide_links(classes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     proposed = materialize(proposed, "proposed")

@@ -117,7 +117,7 @@ def test_crowds_and_split_tries_match_all_pairs(spark):
             flips = flips[flips >= 64]  # a crowd of equal first words
         bits[flips] ^= 1
         rows.append((n, *np.packbits(bits).view(np.uint64).astype(np.int64).tolist()))
-    classes = spark.createDataFrame(rows, "node long, " + ", ".join(f"{w} long" for w in simhash.WORDS))
+    classes = spark.createDataFrame([(*r, 100) for r in rows], "node long, " + ", ".join(f"{w} long" for w in (*simhash.WORDS, "size")))
     for limit in (40, 50_000):
         roots = {r.node: r.root for r in connected_components(simhash.wide_links(classes, trie_rows=limit)).collect()}
         groups = {}
