@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelloom.operators.quantiles import exact_quantiles
+from panelloom.sources.shared import materialize
+
 
 def balanced(panel: DataFrame, n_periods: int, n_categories: int) -> DataFrame:
     """Rows of the entities with a positive value in every cell of the calendar."""
@@ -56,10 +59,14 @@ def log_ratio(panel: DataFrame) -> DataFrame:
 
 
 def calibration(ratios: DataFrame, cutoff: int) -> DataFrame:
-    """``category, center, iqr`` over all entities and periods up to ``cutoff``."""
-    quartiles = F.percentile("log_ratio", F.array(F.lit(0.25), F.lit(0.75)))
-    out = ratios.where(F.col("period") <= cutoff).groupBy("category").agg(F.median("log_ratio").alias("center"), quartiles.alias("q"))
-    return out.select("category", "center", (F.col("q")[1] - F.col("q")[0]).alias("iqr"))
+    """``category, center, iqr`` over all entities and periods up to ``cutoff``.
+
+    The ratios are written once and read twice: a category may hold a third of
+    them, more than a buffer of values should.
+    """
+    rows = materialize(ratios.where(F.col("period") <= cutoff).select("category", "log_ratio"), "ratios")
+    q = F.col("q")
+    return exact_quantiles(rows, ["category"], "log_ratio", (0.25, 0.5, 0.75)).select("category", q[1].alias("center"), (q[2] - q[0]).alias("iqr"))
 
 
 def frozen_profile(ratios: DataFrame, scaler: DataFrame, n_categories: int) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelloom.operators.quantiles import exact_quantiles
 from panelloom.operators.tails import chi2_tail
+from panelloom.sources.shared import materialize
 
 
 def eta_squared(table: DataFrame, by: str, value: str) -> DataFrame:
@@ -69,10 +71,16 @@ def holm(values: DataFrame, family: str | None = None) -> DataFrame:
 
 
 def ratio_audit(table: DataFrame, ratio: Column) -> DataFrame:
-    """One row: quantiles of a ratio at 0, 0.01, 0.5, 0.99 and 1, and how many exceed one."""
-    rows = table.select(ratio.alias("r")).where("r is not null")
-    q = rows.agg(F.percentile("r", F.array(*[F.lit(x) for x in (0.0, 0.01, 0.5, 0.99, 1.0)])).alias("q"), F.count("*").alias("n"), F.count(F.when(F.col("r") > 1, 1)).alias("n_above"))
-    return q.select("n", "n_above", *[F.col("q")[i].alias(name) for i, name in enumerate(("q0", "q01", "q50", "q99", "q100"))])
+    """One row: quantiles of a ratio at 0, 0.01, 0.5, 0.99 and 1, and how many exceed one.
+
+    The ratios are written once, as they are read for the counts and twice for
+    the quantiles, which no buffer of values holds.
+    """
+    rows = materialize(table.select(ratio.alias("r")).where("r is not null"), "ratios")
+    counts = rows.agg(F.count("*").alias("n"), F.count(F.when(F.col("r") > 1, 1)).alias("n_above"))
+    q = exact_quantiles(rows, [], "r", (0.0, 0.01, 0.5, 0.99, 1.0)).select("q")
+    both = counts.join(F.broadcast(q), how="left")  # one row, or none
+    return both.select("n", "n_above", *[F.col("q")[i].alias(name) for i, name in enumerate(("q0", "q01", "q50", "q99", "q100"))])
 
 
 def group_profile(table: DataFrame, by: str, medians: list[str], listed: str, top: int = 3) -> DataFrame:

@@ -6,4 +6,4 @@ from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-from panelloom.plans import clusters, contracts, graphs, ingest, moves, partitions, queries, scoring, statistics  # noqa: E402, F401
+from panelloom.plans import clusters, contracts, evaluation, graphs, ingest, moves, partitions, queries, scoring, statistics  # noqa: E402, F401
