@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.operators import clustering, leiden, models
+from panelloom.operators import clustering, leiden, models, network
 from panelloom.plans.queries import _G, knn_edges, labels, vectors
 from panelloom.plans.registry import query, rounded
 
@@ -145,3 +145,10 @@ def temporal_leiden(spark, sf_dir):
     return leiden.temporal_leiden(slices, 1.0, leiden.interslice_weight(slices, "2023-02-01", 0.1), 1729)
 
 
+
+
+@query(None)
+def network_communities(spark, sf_dir):
+    """Communities of a graph network after a few epochs; what it learns is tested on planted groups."""
+    found, _ = network.GraphNetwork(vectors(spark, sf_dir), links(spark, sf_dir)).fit(K, epochs=4, hidden=16, rate=0.05)
+    return found.select("id", "cluster", F.array_max("share").alias("share"))
