@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 from panelloom.operators import scoring
 from panelloom.plans.queries import vectors
 from panelloom.plans.registry import query, rounded, table
+from panelloom.sources import files, loaders, sinks
+from panelloom.sources.shared import materialize, shared_dir
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 NAMES = ["c1", "c2", "c3", "c4", "c5"]
@@ -204,3 +208,16 @@ def whitened_pairs(spark, sf_dir):
     cut = vectors(spark, sf_dir).select("id", F.slice(F.col("vector").cast("array<double>"), 1, 2).alias("vector"))
     found = scoring.whitened(cut, 0.5)
     return rounded(found.select("id", F.col("vector")[0].alias("x"), F.col("vector")[1].alias("y")), "x", "y")
+
+
+@query(f"WITH {_F}, {_centres()}, {_near('an', 'entity, year', 'na')} SELECT entity, cluster, round(d, 6) AS distance FROM na WHERE year = 1996")
+def verified_reference(spark, sf_dir):
+    rows = monthly_panel(spark, sf_dir).where("period >= '1996-01-01' AND period < '1997-01-01'")
+    whole = rows.groupBy("entity").agg(F.count("*").alias("n")).where("n = 12").select("entity")
+    panel = materialize(rows.join(whole, "entity", "left_semi"), "panel")
+    paths = {name: f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}" for name in ("panel", "labels")}
+    sinks.write_csv(panel, paths["panel"])
+    sinks.write_csv(scoring.predict_frozen(panel, NAMES, MODEL, "annual").select("entity", "cluster"), paths["labels"])
+    pins = {f"{name}_sha256": files.file_digests(spark, path).first()["sha256"] for name, path in paths.items()}
+    lock = scoring.sealed({**paths, **pins, "year": 1996, "scaler": SCALER, "centers": CENTRES})
+    return rounded(loaders.load_reference(spark, lock, NAMES)[1].withColumnRenamed("id", "entity"), "distance")
