@@ -9,6 +9,7 @@ from panelloom.functions import text
 from panelloom.operators import contracts
 from panelloom.plans.queries import _G, knn_edges, labels
 from panelloom.plans.registry import query, rounded, table
+from panelloom.sources.shared import materialize
 
 # --- a panel of customers by month of order, with faults ---------------------------------
 
@@ -41,7 +42,7 @@ su AS (SELECT src, dst, sum(weight) AS w FROM dr WHERE src <> dst GROUP BY ALL H
 SELECT (SELECT count(*) FROM dr WHERE src = dst) AS loops, (SELECT count(*) FROM dr WHERE weight < 0) AS bad_weight, (SELECT count(*) FROM su a FULL JOIN su b ON a.src = b.dst AND a.dst = b.src WHERE a.w IS NULL OR b.w IS NULL OR a.w <> b.w) AS asymmetric,
 (SELECT count(*) FROM (SELECT src AS id FROM dr UNION ALL SELECT dst FROM dr) WHERE id NOT IN (SELECT id FROM l)) AS unknown_nodes""")
 def graph_contract(spark, sf_dir):
-    edges = knn_edges(spark, sf_dir).cache()
+    edges = materialize(knn_edges(spark, sf_dir), "edges")
     s = F.col("src")
     back = edges.where(s % 50 != 5).select(F.col("dst").alias("src"), s.alias("dst"), F.when(s % 50 == 3, F.col("weight") / 2).when(s % 50 == 4, -1.0).otherwise(F.col("weight")).alias("weight"))
     own = labels(spark, sf_dir)

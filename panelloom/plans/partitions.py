@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelloom.operators import assignment, graph, partitions
 from panelloom.plans.queries import _G, _L, _SECOND, daily_labels, knn_edges, labels, vectors
 from panelloom.plans.registry import query, rounded, table
+from panelloom.sources.shared import materialize
 
 
 def _sdbw(tag: str, dims: int) -> str:
@@ -239,7 +240,7 @@ pe AS (SELECT period, ci, coalesce(sum(b) FILTER (WHERE ci = cj), 0) AS i, sum(b
 
 
 def period_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, out = knn_edges(spark, sf_dir).cache(), None
+    edges, out = materialize(knn_edges(spark, sf_dir), "edges"), None
     for name, expr in _PERIODS.items():
         own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.expr(expr.replace("//", "div")).cast("long").alias("cluster"))
         row = graph.network_indices(graph.block_sums(edges, own), own).select(F.lit(name).alias("period"), "k", "avi", "newman_q")

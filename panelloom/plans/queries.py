@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelloom.operators import graph, neighbours, panel, series, stats
 from panelloom.plans.registry import ORACLE_SQL, QUERIES, query, rounded, table
+from panelloom.sources.shared import materialize
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -243,7 +244,7 @@ def partitions(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 def of_partitions(spark: SparkSession, sf_dir: str, index) -> DataFrame:
     """One row of ``index(blocks, partition)`` for each partition."""
-    edges, out = knn_edges(spark, sf_dir).cache(), None
+    edges, out = materialize(knn_edges(spark, sf_dir), "edges"), None
     for name, partition in partitions(spark, sf_dir).items():
         row = index(graph.block_sums(edges, partition), partition).withColumn("part", F.lit(name))
         out = row if out is None else out.unionByName(row)
