@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelloom.operators import graph, neighbours
 from panelloom.plans.queries import _G, knn_edges, labels, vectors
 from panelloom.plans.registry import query, rounded, table
+from panelloom.sources.shared import materialize
 
 # --- places: one per nation, strewn over the globe by its key ---------------------
 
@@ -218,7 +219,7 @@ ru AS (SELECT DISTINCT 'profile' AS rule, least(src, dst) AS src, greatest(src,
 sz AS (SELECT rule, count(*) AS n FROM ru GROUP BY rule), cm AS (SELECT x.rule AS a, y.rule AS b, count(*) AS n FROM ru x JOIN ru y ON x.src = y.src AND x.dst = y.dst AND x.rule < y.rule GROUP BY ALL)
 SELECT x.rule AS a, y.rule AS b, x.n AS n_a, y.n AS n_b, round(coalesce(cm.n, 0) / (x.n + y.n - coalesce(cm.n, 0)), 6) AS jaccard FROM sz x JOIN sz y ON x.rule < y.rule LEFT JOIN cm ON cm.a = x.rule AND cm.b = y.rule""")
 def edge_rules(spark, sf_dir):
-    series = residuals(spark, sf_dir).cache()
+    series = materialize(residuals(spark, sf_dir), "series")
     annual = half_yearly(spark, sf_dir).groupBy("key", "c").agg(F.median(F.ln("v")).alias("v")).withColumn("t", F.lit(0))
     rules = {
         "profile": graph.gaussian(graph.knn(neighbours.series_vectors(annual), 4)),
@@ -234,7 +235,7 @@ md AS (SELECT x.t, x.key AS src, y.key AS dst, sqrt(sum((x.x - y.x) ** 2)) AS d
 vt AS (SELECT src, dst, count(*) AS votes FROM (SELECT * FROM md QUALIFY row_number() OVER (PARTITION BY t, src ORDER BY d, dst) <= 3) GROUP BY ALL)
 SELECT src, dst, round(coalesce(votes, 0) / (SELECT count(DISTINCT t) FROM mv), 6) AS frequency, CAST(row_number() OVER (PARTITION BY src ORDER BY coalesce(votes, 0) DESC, d, place) AS INT) AS rank FROM pool LEFT JOIN vt USING (src, dst) QUALIFY rank <= 3""")
 def consensus_peers(spark, sf_dir):
-    rows = half_yearly(spark, sf_dir).withColumn("v", F.ln("v")).cache()
+    rows = materialize(half_yearly(spark, sf_dir).withColumn("v", F.ln("v")), "sales")
     annual = neighbours.series_vectors(rows.groupBy("key", "c").agg(F.median("v").alias("v")).withColumn("t", F.lit(0)))
     monthly = rows.groupBy(F.col("key").alias("id"), F.col("t").alias("period")).agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("x")).select("id", "period", F.transform("x", lambda y: y["v"]).alias("vector"))
     return rounded(neighbours.consensus_peers(annual, monthly, 3, 8), "frequency")
