@@ -46,11 +46,14 @@ SELECT x AS a, y AS b, ((x * 7 + y) % 1000)::DOUBLE AS distance FROM r WHERE x %
 def road_scan(spark, sf_dir):
     ends = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("long").alias("x"), (F.col("l_suppkey").cast("long") + 1_000_000).alias("y")).distinct()
     kind = F.when((F.col("x") + F.col("y")) % 3 == 0, "rail").otherwise("highway")
-    rows = ends.select(F.col("y").alias("territory_id_x"), F.col("x").alias("territory_id_y"), kind.alias("type"), ((F.col("x") * 7 + F.col("y")) % 1000).cast("double").alias("distance"), F.lit("unread").alias("note"))
+    # parts have even ids and suppliers odd ones, so that they differ however many there are
+    part, supplier = 2 * F.col("x"), 2 * F.col("y") + 1
+    rows = ends.select(supplier.alias("territory_id_x"), part.alias("territory_id_y"), kind.alias("type"), ((F.col("x") * 7 + F.col("y")) % 1000).cast("double").alias("distance"), F.lit("unread").alias("note"))
     path = _place(spark, "roads")
     rows.write.parquet(path)
-    cohort = ends.select(F.col("x").alias("territory_id")).where("territory_id % 5 <> 0").unionByName(ends.select(F.col("y").alias("territory_id")))
-    return files.read_roads(spark, path, cohort)
+    cohort = ends.where("x % 5 <> 0").select(part.alias("territory_id")).unionByName(ends.select(supplier.alias("territory_id")))
+    end = lambda odd: F.shiftright(F.when(F.col("a") % 2 == odd, F.col("a")).otherwise(F.col("b")), 1)
+    return files.read_roads(spark, path, cohort).select(end(0).alias("a"), end(1).alias("b"), "distance")
 
 
 def _page(name, wage, unit):
