@@ -69,7 +69,7 @@ def passport_scan(spark, sf_dir):
     text = F.when(key % 5 == 0, "").otherwise(F.concat(key.cast("string"), F.lit(",5")))
     page = _page(F.col("c_name"), text, F.when(key % 7 == 0, "тонна").otherwise(passports.ROUBLE))
     pages = table(spark, sf_dir, "customer").select(key.alias("path"), F.when(key % 11 == 0, passports.ABSENT).otherwise(page).cast("binary").alias("content"))
-    found = passports.read_passports(pages, 2023)
+    found = materialize(passports.read_passports(pages, 2023), "passports")  # pages are parsed once
     names = found.select("path", "source_name")
     return passports.observations(found).join(names, "path").select("path", "source_name", "kind", "sector", "value", "value_status", "source_row")
 
