@@ -38,15 +38,20 @@ HALF_BUDGET = 4
 #: Bits in which wide fingerprints may differ to be proposed.  Texts of a
 #: similarity of 0.8 differ in 49 of 320 in the mean, with a deviation of 6.4.
 WIDE_BUDGET = 68
-#: Equal halves of more fingerprints are proposed to leaders, not to each other,
-#: and rows of more partners to the nearest ones and to the one of most partners.
-CROWD, NEAREST = 8, 3
+#: Equal halves of more fingerprints are linked to leaders, not to each other.
+CROWD = 8
 #: Texts are near copies from this share of common shingles on.
 ALIKE = 0.8
 #: Partners of one text that a task compares with it.
 SPOKES = 1000
 #: Pairs that are compared at once.
 PAIRS = 1_000_000
+#: Rows of a block of a group of near fingerprints, of which all pairs of blocks are compared.
+BLOCK = 1024
+#: Hubs that all rows of a group of more than a block are compared with first.
+HUBS = 3
+#: Words of 64 parities that tell in how many shingles two sets differ at least.
+PARITIES = 32
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -219,29 +224,7 @@ class Balls:
                 leader = self.middle(rows)
                 gap = self.far(rows, leader)
         none = np.empty(0, np.int64)
-        a, b = np.concatenate([none, *a]), np.concatenate([none, *b])
-        able = self.able(a, b)
-        return a[able], b[able], stay
-
-    def thinned(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the proposals ``a, b``, so many that they grow with the rows and not with their square.
-
-        A row of up to ``CROWD`` partners keeps all of them.  One of more keeps
-        the nearest ``NEAREST`` and the one that has most partners itself, and
-        whom else partners of few choose.
-        """
-        degree = np.bincount(np.concatenate((a, b)), minlength=len(self.words))
-        few = (degree[a] <= CROWD) | (degree[b] <= CROWD)
-        i, j = np.concatenate((a[~few], b[~few])), np.concatenate((b[~few], a[~few]))
-        gap = self.far(i, j)
-        parts = [(a[few], b[few])]
-        for least, most in ((gap, NEAREST), (-degree[j], 1)):
-            at = np.lexsort((j, least, i))
-            first = np.concatenate(([True], i[at][1:] != i[at][:-1])) if len(at) else np.empty(0, bool)
-            rank = np.arange(len(at)) - np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
-            chosen = at[rank < most]
-            parts.append((i[chosen], j[chosen]))
-        return np.concatenate([x for x, _ in parts]), np.concatenate([y for _, y in parts])
+        return np.concatenate([none, *a]), np.concatenate([none, *b]), stay
 
     def judge(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Proposals of pairs whose halves are near: themselves, or members of their balls.
@@ -330,7 +313,7 @@ def _spanning(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _join_tries(keys: np.ndarray, fps: np.ndarray, budget: int, wide: np.ndarray | None = None, sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Links within each run of equal keys, as rows: a spanning set, or all proposals of ``wide`` ones."""
+    """Links within each run of equal keys, as rows: a spanning set, or of ``wide`` ones links that connect all that are near."""
     edge = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1 if len(keys) else np.empty(0, np.int64)
     starts, ends = np.concatenate(([0], edge)), np.concatenate((edge, [len(keys)]))
     group = np.repeat(np.arange(len(starts)), ends - starts)
@@ -351,13 +334,13 @@ def _join_tries(keys: np.ndarray, fps: np.ndarray, budget: int, wide: np.ndarray
     def judge(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found.append(balls.judge(place[i], place[j]))
         if sum(len(x) for x, _ in found) > 4 * PAIRS:
-            found[:] = [balls.thinned(*(np.concatenate(v) for v in zip(*found, strict=True)))]
+            found[:] = [_spanning(len(order), *(np.concatenate(v) for v in zip(*found, strict=True)))]
         return none, none
 
     none = np.empty(0, np.int64)
     found = [(none, none)]
     _pairs(fps[place], starts[many], ends[many], budget, 31, judge)
-    x, y = balls.thinned(*(np.concatenate(v) for v in zip(*found, strict=True)))
+    x, y = (np.concatenate(v) for v in zip(*found, strict=True))
     return order[np.concatenate((a, x))], order[np.concatenate((b, y))]
 
 
@@ -399,13 +382,13 @@ def near_links(distinct: DataFrame, budget: int = 2, trie_rows: int = TRIE_ROWS)
 
 
 def wide_links(classes: DataFrame, trie_rows: int = TRIE_ROWS) -> DataFrame:
-    """Proposals ``a, b``, with repeats, of numbers (``node``) of near wide fingerprints.
+    """Links ``a, b``, with repeats, that connect the numbers (``node``) of all near wide fingerprints.
 
     Two are compared in full if any of their halves differ in ``HALF_BUDGET``
-    bits or fewer, and proposed if all their words differ in ``WIDE_BUDGET`` or
-    fewer, unless their sets differ too much in ``size`` to be alike; but rows of crowds are proposed to some of their partners only (see
-    :class:`Balls`), in each trie that they share, so that proposals grow with
-    the rows.
+    bits or fewer, and near if all their words differ in ``WIDE_BUDGET`` or
+    fewer, unless their sets differ too much in ``size`` to be alike.  Of a
+    trie each row is linked to the least that it reaches there, so that links
+    grow with the rows and none that is near is left out.
     """
     halves = [F.col(w).bitwiseAND(0xFFFFFFFF) if low else F.shiftrightunsigned(w, 32) for w in WORDS for low in (True, False)]
     lanes = F.array(*[h.bitwiseOR(F.lit(k << 32)) for k, h in enumerate(halves)])
@@ -454,6 +437,9 @@ def _linked(keyed: DataFrame, budget: int, words: list[str]) -> DataFrame:
             wide = np.ascontiguousarray(rows[:, 4:-1]).view(np.uint64) if words else None
             a, b = _join_tries(rows[:, 1:3], np.ascontiguousarray(rows[:, 0]).view(np.uint64) & low, budget, wide, rows[:, -1] if words else None)
             names = rows[:, 3 if words else 0]
+            if words:
+                names, at = np.unique(names, return_inverse=True)
+                a, b = _spanning(len(names), at[a], at[b])
             return pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b])], ["a", "b"])
 
         low = np.uint64(0xFFFFFFFF if words else 0xFFFFFFFFFFFFFFFF)
@@ -495,43 +481,112 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return table.join(labels, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Of ``64 * PARITIES`` bits each the parity of the hashes that fall on it.
+
+    Those of two sets differ in no more bits than the sets in members.
+    """
+    counts = np.bincount((hashes % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.uint64)
+
+
+def _alike_in(kinds: np.ndarray, nodes: np.ndarray, labels: np.ndarray, raws: list[bytes], least: float) -> list[tuple[int, int]]:
+    """Links that join all labels of which sets are alike, of one pair of blocks (see :func:`alike_within`)."""
+    sets = [np.frombuffer(r, np.uint64) for r in raws]
+    marks, sizes = np.array([parities(x) for x in sets]), np.array([len(x) for x in sets])
+    label = np.unique(labels, return_inverse=True)[1]
+    links = []
+    for i in np.flatnonzero(kinds <= ASKS_ALL).tolist():
+        fit = (label != label[i]) & (np.minimum(sizes, sizes[i]) >= least * np.maximum(sizes, sizes[i]))
+        fit &= (kinds == MAIN) | ((kinds == (MATE if kinds[i] == ASKS else ASKS_ALL)) & (nodes > nodes[i]))
+        other = np.flatnonzero(fit)
+        # of sets that are alike at most this share of both is in one of them only
+        apart = np.bitwise_count(marks[other] ^ marks[i]).sum(axis=1)
+        for j in other[apart <= (sizes[other] + sizes[i]) * (1 - least) / (1 + least) + 1e-6].tolist():
+            if label[i] != label[j]:
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if common >= least * (sizes[i] + sizes[j] - common):
+                    links.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+                    label[label == label[j]] = label[i]
+    return links
+
+
+#: What a row of a pair of blocks does there: asks those of the other block, or all of the only block; is asked, as one
+#: of the most common label; is asked as one that asks elsewhere too.
+ASKS, ASKS_ALL, MAIN, MATE = 0, 1, 2, 3
+
+
+def alike_within(members: DataFrame, sets: DataFrame, least: float = ALIKE) -> DataFrame:
+    """Links ``a, b`` that, with equal labels, connect all pairs of a group whose sets are alike.
+
+    ``members`` is node, group, label.  Rows that have not their group's most
+    common label ask all rows, a block a block in a task, and are compared
+    with each of another label; a pair is dropped unseen only where sizes or
+    parities rule it out.  Rows are sent as often as there are blocks.
+    """
+    counts = members.groupBy("group", "label").agg(F.count("*").alias("n"))
+    most = counts.groupBy("group").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.sum("n").alias("n"), F.max("n").alias("n_main"), F.count("*").alias("labels")).where("labels > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    rows = members.join(most, "group").select("node", "group", "label", (F.col("label") != F.col("main")).alias("asks"), blocks(F.col("n") - F.col("n_main")).alias("asking"), blocks(F.col("n")).alias("asked"))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    names = ["node", "group", "label"]
+    ask = rows.where("asks").select(*names, F.when(F.col("asked") > 1, ASKS).otherwise(ASKS_ALL).alias("kind"), own("asking").alias("i"), every("asked").alias("j"))
+    meet = rows.where("not asks or asked > 1").select(*names, F.when(F.col("asks"), MATE).otherwise(MAIN).alias("kind"), every("asking").alias("i"), own("asked").alias("j"))
+    dealt = ask.unionByName(meet).join(sets, "node").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links() -> pa.RecordBatch:
+            numbers = np.array([h[0] for h in held], np.int64)
+            found = _alike_in(numbers[:, 0], numbers[:, 1], numbers[:, 2], [h[1] for h in held], least)
+            return pa.RecordBatch.from_arrays([pa.array([int(x[n]) for x in found], pa.int64()) for n in (0, 1)], ["a", "b"])
+
+        held, key = [], None
+        for batch in batches:
+            group, i, j, kind, node, label, raw = (c.to_pylist() for c in batch.columns)
+            for *k, row, h in zip(group, i, j, zip(kind, node, label, strict=True), raw, strict=True):
+                if k != key:
+                    if held:
+                        yield links()
+                    held, key = [], k
+                held.append((row, h))
+        if held:
+            yield links()
+
+    return dealt.select("group", "i", "j", "kind", "node", "label", "hashes").mapInArrow(run, "a long, b long")
+
+
 def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """``doc_id, key_a, key_b, root`` of every row: its component of near copies.
 
     Texts are near if the sets of their ``shingle``-word runs have a Jaccard
-    similarity of ``ALIKE`` or more, which is taken exactly of all pairs that
-    :func:`wide_links` proposes; ``root`` is a number that means nothing but
-    the component.  Each text's partner of most partners is compared first, and
-    then only those that no links to a common hub connect.  Texts without words are one another's
-    copies, null ones too.
+    similarity of ``ALIKE`` or more; ``root`` is a number that means nothing
+    but the component.  Texts that :func:`wide_links` connects are a group.
+    Within a group all pairs are compared, exactly: in groups of more than a
+    block each row with a few hubs first, so that only rows that no hub
+    connects with most of the group have to ask all others.  Texts without
+    words are one another's copies, null ones too.
     """
     table = materialize(wide_fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
     sample = F.min(F.struct("key_a", "key_b")).alias("sample")
     classes = table.groupBy("set_a", "set_b").agg(*[F.min(w).alias(w) for w in (*WORDS, "size")], sample).withColumn("node", F.monotonically_increasing_id())
     classes = materialize(classes, "classes")
-    proposed = wide_links(classes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    proposed = materialize(proposed, "proposed")
-    seen = proposed.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = classes.join(seen, "node").select("node", F.col("sample.key_a").alias("_key_a"), F.col("sample.key_b").alias("_key_b"))
+    groups = materialize(connected_components(wide_links(classes)), "groups").withColumnRenamed("root", "group")
+    wanted = classes.join(groups, "node").select("node", F.col("sample.key_a").alias("_key_a"), F.col("sample.key_b").alias("_key_b"))
     key_a, key_b = _row_keys(id_col, text_col)
     texts = docs.select(key_a.alias("_key_a"), key_b.alias("_key_b"), F.col(text_col).alias("text")).join(wanted, ["_key_a", "_key_b"]).dropDuplicates(["node"])
     sets = materialize(shingle_sets(texts, shingle), "sets")
-    degree = materialize(proposed.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n")), "degrees")
-    rank = lambda name: degree.select(F.col("node").alias(name), F.struct("n", "node").alias(f"{name}_rank"))
-    ranked = proposed.join(rank("a"), "a").join(rank("b"), "b")
-    low, high = F.least("a_rank", "b_rank"), F.greatest("a_rank", "b_rank")
-    up = materialize(ranked.groupBy(low["node"].alias("node")).agg(F.max(high)["node"].alias("up")), "first")
-    first = up.select(F.least("node", "up").alias("a"), F.greatest("node", "up").alias("b"))
-    links = materialize(alike(first, sets), "links")
-    # partners rise in rank: two steps up lead to most hubs
-    one = up.join(links, (F.least("node", "up") == F.col("a")) & (F.greatest("node", "up") == F.col("b")), "left_semi")
-    two = one.join(one.select(F.col("node").alias("up"), F.col("up").alias("top")), "up", "left").select("node", F.coalesce("top", "up").alias("hub"))
-    end = lambda name: two.select(F.col("node").alias(name), F.col("hub").alias(f"{name}_hub"))
-    apart = F.coalesce("a_hub", "a") != F.coalesce("b_hub", "b")
-    rest = proposed.join(first, ["a", "b"], "left_anti").join(end("a"), "a", "left").join(end("b"), "b", "left").where(apart).select("a", "b")
-    more = materialize(alike(rest, sets), "links")
+    large = groups.groupBy("group").agg(F.count("*").alias("n"), *[F.min(F.struct(F.xxhash64("node", F.lit(h)), "node"))["node"].alias(f"hub{h}") for h in range(HUBS)]).where(F.col("n") > BLOCK)
+    hubs = groups.join(F.broadcast(large), "group").select("node", F.explode(F.array(*[f"hub{h}" for h in range(HUBS)])).alias("hub")).where("node <> hub")
+    links = materialize(alike(hubs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), sets), "links")
+    # the least hub that a row is linked to, itself if it is one: rows of one label are connected
+    ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    known = ends.join(hubs.distinct(), (F.col("a") == F.col("node")) & (F.col("b") == F.col("hub"))).groupBy("node").agg(F.min("hub").alias("label"))
+    known = known.join(hubs.select(F.col("hub").alias("node")).distinct().withColumn("is_hub", F.lit(True)), "node", "left").select("node", F.when(F.col("is_hub"), F.least("label", "node")).otherwise(F.col("label")).alias("label"))
+    members = materialize(groups.join(known, "node", "left").select("node", "group", F.coalesce("label", "node").alias("label")), "members")
+    more = materialize(alike_within(members, sets), "links")
     found = materialize(connected_components(links.unionByName(more)), "roots").withColumnRenamed("node", "linked")
-    for used in (proposed, degree, up, sets, links, more):
+    for used in (sets, links, members, more):
         discard(used)
     named = classes.join(found, classes.node == found.linked, "left").select("set_a", "set_b", F.coalesce("root", "node").alias("root"))
     return table.join(named, ["set_a", "set_b"]).select("doc_id", "key_a", "key_b", "root")
