@@ -578,6 +578,7 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sets = materialize(shingle_sets(texts, shingle), "sets")
     large = groups.groupBy("group").agg(F.count("*").alias("n"), *[F.min(F.struct(F.xxhash64("node", F.lit(h)), "node"))["node"].alias(f"hub{h}") for h in range(HUBS)]).where(F.col("n") > BLOCK)
     hubs = groups.join(F.broadcast(large), "group").select("node", F.explode(F.array(*[f"hub{h}" for h in range(HUBS)])).alias("hub")).where("node <> hub")
+    hubs = materialize(hubs, "hubs")
     links = materialize(alike(hubs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), sets), "links")
     # the least hub that a row is linked to, itself if it is one: rows of one label are connected
     ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -586,7 +587,7 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     members = materialize(groups.join(known, "node", "left").select("node", "group", F.coalesce("label", "node").alias("label")), "members")
     more = materialize(alike_within(members, sets), "links")
     found = materialize(connected_components(links.unionByName(more)), "roots").withColumnRenamed("node", "linked")
-    for used in (sets, links, members, more):
+    for used in (sets, hubs, links, members, more):
         discard(used)
     named = classes.join(found, classes.node == found.linked, "left").select("set_a", "set_b", F.coalesce("root", "node").alias("root"))
     return table.join(named, ["set_a", "set_b"]).select("doc_id", "key_a", "key_b", "root")
