@@ -225,17 +225,17 @@ def gain_bootstrap(spark, sf_dir):
     return rounded(regression.gain_bootstrap(customers(spark, sf_dir), "y", ["x"], "region", ["z"], 40, 11), "delta_r2")
 
 
-_PERM = """dr AS (SELECT unnest(range(19)) AS draw), pa AS (SELECT draw, id, region, seg, {0}, row_number() OVER (PARTITION BY draw, region ORDER BY id) AS a, row_number() OVER (PARTITION BY draw, region ORDER BY md5('{1}:' || draw || ':' || id), id) AS b FROM {2}, dr)"""
+_PERM = """dr AS (SELECT unnest(range({3})) AS draw), pa AS (SELECT draw, id, region, seg, {0}, row_number() OVER (PARTITION BY draw, region ORDER BY id) AS a, row_number() OVER (PARTITION BY draw, region ORDER BY md5('{1}:' || draw || ':' || id), id) AS b FROM {2}, dr)"""
 
 
-@query(f"""WITH {_CU}, dm AS (SELECT id, region, seg, y - avg(y) OVER (PARTITION BY region) AS y FROM cu), {_PERM.format('y', 9, 'dm')}, ev AS (SELECT -1 AS draw, y, seg FROM dm UNION ALL SELECT p.draw, p.y, q.seg FROM pa p JOIN pa q ON p.draw = q.draw AND p.region = q.region AND p.a = q.b),
+@query(f"""WITH {_CU}, dm AS (SELECT id, region, seg, y - avg(y) OVER (PARTITION BY region) AS y FROM cu), {_PERM.format('y', 9, 'dm', 999)}, ev AS (SELECT -1 AS draw, y, seg FROM dm UNION ALL SELECT p.draw, p.y, q.seg FROM pa p JOIN pa q ON p.draw = q.draw AND p.region = q.region AND p.a = q.b),
 g AS (SELECT draw, seg, count(*) AS n, avg(y) AS m, var_pop(y) * count(*) AS w FROM ev GROUP BY ALL), et AS (SELECT draw, sum(n * (m - gm) ** 2) / (sum(n * (m - gm) ** 2) + sum(w)) AS e FROM g JOIN (SELECT draw, avg(y) AS gm FROM ev GROUP BY draw) USING (draw) GROUP BY draw), o AS (SELECT e AS own FROM et WHERE draw = -1)
-SELECT round(own, 6) AS eta2, round((1 + count(*) FILTER (WHERE draw >= 0 AND e >= own - 1e-12)) / 20, 6) AS p FROM et, o GROUP BY own""")
+SELECT round(own, 6) AS eta2, round((1 + count(*) FILTER (WHERE draw >= 0 AND e >= own - 1e-12)) / 1000, 6) AS p FROM et, o GROUP BY own""")
 def permutation_test(spark, sf_dir):
-    return rounded(regression.permutation_test(customers(spark, sf_dir), "id", "y", "seg", "region", 19, 9), "eta2", "p")
+    return rounded(regression.permutation_test(customers(spark, sf_dir), "id", "y", "seg", "region", 999, 9), "eta2", "p")
 
 
-@query(f"""WITH {_CU}, m AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM cu), rs AS (SELECT id, region, seg, x, z, y, a + b * x AS fit, y - a - b * x AS e FROM cu, m), {_PERM.format('x, z, fit, e', 4, 'rs')},
+@query(f"""WITH {_CU}, m AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM cu), rs AS (SELECT id, region, seg, x, z, y, a + b * x AS fit, y - a - b * x AS e FROM cu, m), {_PERM.format('x, z, fit, e', 4, 'rs', 19)},
 ev AS (SELECT -1 AS draw, y, x, z FROM rs UNION ALL SELECT p.draw, p.fit + q.e, p.x, p.z FROM pa p JOIN pa q ON p.draw = q.draw AND p.region = q.region AND p.a = q.b),
 mo AS (SELECT draw, count(*) AS n, var_pop(y) * count(*) AS yy, var_pop(x) * count(*) AS xx, var_pop(z) * count(*) AS zz, covar_pop(x, y) * count(*) AS xy, covar_pop(z, y) * count(*) AS zy, covar_pop(x, z) * count(*) AS xz FROM ev GROUP BY draw),
 fs AS (SELECT draw, n, yy - xy * xy / xx AS r0, yy - (xy * xy * zz - 2 * xy * zy * xz + zy * zy * xx) / (xx * zz - xz * xz) AS r1 FROM mo), ff AS (SELECT draw, (r0 - r1) / (r1 / (n - 3)) AS f FROM fs), o AS (SELECT f AS own FROM ff WHERE draw = -1)
